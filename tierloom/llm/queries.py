@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
+from .transducer import token_counts
 from .wavelet import wavelet_digest
 
 
@@ -22,8 +24,20 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by the compiled tokenizer."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
+
+
+def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
+    "op7_token_counts": op7_token_counts,
+    "op9_packed_sequences": op9_packed_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {}
