@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
 from .wavelet import wavelet_digest
 
@@ -19,6 +20,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by compression distance."""
+    documents = table(spark, sf_dir, "documents")
+    return score_toxicity(documents, fit_toxicity(documents, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wavelet-matrix shards of all documents, digested after reading them back."""
     return wavelet_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -35,6 +42,7 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
     "op7_token_counts": op7_token_counts,
     "op9_packed_sequences": op9_packed_sequences,
