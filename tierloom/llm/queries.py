@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .secrets import find_secrets
 from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
 from .wavelet import wavelet_digest
@@ -31,6 +32,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents, told apart by who owns their values."""
+    return find_secrets(table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the compiled tokenizer."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
@@ -44,6 +50,7 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
+    "op4_secrets": op4_secrets,
     "op7_token_counts": op7_token_counts,
     "op9_packed_sequences": op9_packed_sequences,
 }
