@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import pack_documents
 from .secrets import find_secrets
+from .simhash_bits import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
 from .wavelet import wavelet_digest
@@ -37,6 +38,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and its component of links of at most three bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the compiled tokenizer."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
     "op4_secrets": op4_secrets,
+    "op5_simhash_groups": op5_simhash_groups,
     "op7_token_counts": op7_token_counts,
     "op9_packed_sequences": op9_packed_sequences,
 }
