@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import ORACLE_SQL as CONTAINED_SQL
+from .decontaminate import contained_items
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash_bits import near_duplicates
@@ -48,6 +50,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
 
+def op8_contained_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its containment."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -59,7 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_simhash_groups": op5_simhash_groups,
     "op7_token_counts": op7_token_counts,
+    "op8_contained_benchmark": op8_contained_benchmark,
     "op9_packed_sequences": op9_packed_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_contained_benchmark": CONTAINED_SQL}

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -19,6 +18,8 @@ import numpy as np
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]*")
 _CONTRACTED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ž]+")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Texts looked up together; their pieces should stay in the processor's cache.
+_TOGETHER = 200
 #: A run of white space around a space may be one token: such spaces are no place to cut.
 _WIDE = ("  ", " \n", "\n ", "\t", "\r")
 #: Pieces kept in memory per worker; beyond it the memo starts afresh (a speed bound only).
@@ -50,10 +51,18 @@ class PieceEncoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text (null: empty), in order; dtype is little-endian ``self.dtype``."""
-        cut = [self._cut(t or "") for t in texts]
-        self._learn(set(chain.from_iterable(p for _, p in cut)))
-        known = self.memo.__getitem__
-        return [np.frombuffer(head + b"".join(map(known, pieces)), dtype=self.dtype) for head, pieces in cut]
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), _TOGETHER):
+            cut = [self._cut(t or "") for t in texts[at : at + _TOGETHER]]
+            known = self.memo.get
+            found = [list(map(known, pieces)) for _, pieces in cut]
+            unknown = {p for (_, pieces), got in zip(cut, found, strict=True) if None in got for p, g in zip(pieces, got, strict=True) if g is None}
+            if unknown:
+                self._learn(unknown)
+                new = self.memo
+                found = [[new[p] if g is None else g for p, g in zip(pieces, got, strict=True)] if None in got else got for (_, pieces), got in zip(cut, found, strict=True)]
+            out += [np.frombuffer(head + b"".join(got), dtype=self.dtype) for (head, _), got in zip(cut, found, strict=True)]
+        return out
 
     def _cut(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what has to be encoded on its own, and the pieces after it."""
@@ -72,10 +81,9 @@ class PieceEncoder:
     def _alone(self, piece: str) -> bytes:
         return self._whole(piece if self.word_ends else " " + piece)
 
-    def _learn(self, pieces: set[str]) -> None:
-        unknown = pieces.difference(self.memo)
+    def _learn(self, unknown: set[str]) -> None:
         if len(self.memo) + len(unknown) > MEMO_PIECES:
-            self.memo, unknown = {}, pieces
+            self.memo = {}
         stopped = [p for p in unknown if p and p[-1] in _STOPS and p[:-1].isalpha()]
         unknown = unknown.difference(stopped)
         unknown.update(b for p in stopped if (b := p[:-1]) not in self.memo)
