@@ -14,6 +14,8 @@ from .secrets import find_secrets
 from .simhash_bits import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import warc_digest
 from .wavelet import wavelet_digest
 
 
@@ -35,6 +37,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as segmented WARC records and read back."""
+    return warc_digest(table(spark, sf_dir, "pages"), payload="html")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents, told apart by who owns their values."""
     return find_secrets(table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
@@ -63,6 +70,7 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op4_secrets": op4_secrets,
     "op5_simhash_groups": op5_simhash_groups,
     "op7_token_counts": op7_token_counts,
@@ -70,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_sequences": op9_packed_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_contained_benchmark": CONTAINED_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL}
