@@ -12,6 +12,7 @@ from .decontaminate import contained_items
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash_bits import near_duplicates
+from .simhash_native import fingerprint_report
 from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
 from .warc import ORACLE_SQL as WARC_SQL
@@ -52,6 +53,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native SimHash of all documents, their edited texts and next documents."""
+    return fingerprint_report(table(spark, sf_dir, "documents"), radius=3, every=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the compiled tokenizer."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_secrets": op4_secrets,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_contained_benchmark": op8_contained_benchmark,
     "op9_packed_sequences": op9_packed_sequences,
