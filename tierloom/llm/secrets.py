@@ -74,6 +74,7 @@ _SCAN = pa.schema(
     [
         ("row", pa.int64()),
         ("doc_id", pa.int64()),
+        ("ident", pa.string()),
         ("owner", pa.string()),
         ("repository", pa.string()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("stop", pa.int64()), ("hash", pa.binary())]))),
@@ -83,8 +84,11 @@ _SCAN = pa.schema(
 _SPAN_DDL = "array<struct<start:long,kind:string,stop:long,hash:binary>>"
 
 
-def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Spans of every text with the hashes of their values; the texts themselves go no further."""
+def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id", ident: str = "doc_id") -> DataFrame:
+    """Spans of every text with the hashes of their values; the texts themselves go no further.
+
+    ``ident`` names a column that is handed through as text.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -92,18 +96,18 @@ def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id"
         def items() -> Iterator[tuple]:
             n = 0
             for batch in batches:
-                for doc, text, who, where in rows(batch, "doc_id", "text", "owner", "repository"):
+                for doc, text, ident_, who, where in rows(batch, "doc_id", "text", "ident", "owner", "repository"):
                     text = text or ""
                     base = base_spans(text)
                     wide = wide_spans(text, base)
                     hashed = [[{"start": a, "kind": k, "stop": b, "hash": hashlib.sha256(v.encode()).digest()} for a, k, b, v in s] for s in (base, wide)]
-                    yield part << 40 | n, doc, who, where, *hashed
+                    yield part << 40 | n, doc, ident_, who, where, *hashed
                     n += 1
 
         yield from batched(_SCAN, items(), 5000)
 
-    chosen = documents.select("doc_id", "text", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
-    return chosen.mapInArrow(find, f"row long, doc_id long, owner string, repository string, base {_SPAN_DDL}, wide {_SPAN_DDL}")
+    chosen = documents.select("doc_id", "text", F.col(ident).cast("string").alias("ident"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
+    return chosen.mapInArrow(find, f"row long, doc_id long, ident string, owner string, repository string, base {_SPAN_DDL}, wide {_SPAN_DDL}")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -149,3 +153,44 @@ def find_secrets(documents: DataFrame, owner: str = "source", repository: str =
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
     )
+
+
+MARK = "[SECRET]"
+
+
+def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text with each maximal stretch of overlapping spans replaced by one mark."""
+    if not spans or text is None:
+        return text
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], MARK]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def redact_live_secrets(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+    """All documents; spans whose value one owner alone uses are replaced, copied examples stay.
+
+    Columns are those of the documents; an n_chars column follows the new text. A document is found
+    again by its id and its text's hash, so rows that share an id keep their own spans.
+    """
+    keyed = documents.withColumn("__text_key", F.xxhash64("text"))
+    scanned = cut(scan(keyed.select("text", F.col("__text_key").alias("doc_id"), keyed["doc_id"].cast("string").alias("__id"), F.col(owner).cast("string").alias("__owner"), F.col(repository).cast("string").alias("__repository")), "__owner", "__repository", "__id"))
+    spans = scanned.select("row", F.explode(F.concat("base", "wide")).alias("s")).select("row", "s.*")
+    live = spans.join(ownership(scanned).where(F.col("owners") < COPIED_OWNERS).select("hash"), "hash", "left_semi")
+    per_row = live.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    found = scanned.join(per_row, "row").groupBy(F.col("doc_id").alias("__key"), F.col("ident").alias("__ident")).agg(F.first("__spans").alias("__spans"))
+    same = (keyed["__text_key"] == found["__key"]) & keyed["doc_id"].cast("string").eqNullSafe(found["__ident"])
+    joined = keyed.join(found, same, "left").drop("__text_key", "__key", "__ident")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [redact(t, [(s["start"], s["stop"]) for s in spans or ()]) for t, spans in rows(batch, "text", "__spans")]
+            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name != "__spans"}
+            columns["text"] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    changed = joined.mapInArrow(apply, documents.schema)
+    return changed.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else changed

@@ -217,3 +217,14 @@ def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
+    """One document of each component: the one with the smallest doc_id; all columns kept.
+
+    Rows that repeat an id and its text are one document. Rows without an id stay only where their
+    whole component has none.
+    """
+    kept = near_duplicates(documents, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    stays = documents.join(kept, documents["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"])
