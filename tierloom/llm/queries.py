@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash_bits import near_duplicates
 from .simhash_native import fingerprint_report
+from .suffix_dedup import repeated_windows
 from .toxicity import fit_toxicity, score_toxicity
 from .transducer import token_counts
 from .warc import ORACLE_SQL as WARC_SQL
@@ -73,6 +74,11 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 50-byte windows of earlier ones."""
+    return repeated_windows(table(spark, sf_dir, "documents"), threshold=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_contained_benchmark": op8_contained_benchmark,
     "op9_packed_sequences": op9_packed_sequences,
+    "op10_repeated_windows": op10_repeated_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL}
