@@ -1,4 +1,7 @@
 """Queries over the reference tables and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import corpus_queries, interval_queries
+
+_PARTS = (corpus_queries, interval_queries)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
