@@ -83,7 +83,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTERVALS = """intervals AS (
   SELECT event_id AS annotation_id, strftime(ts, '%Y-%m-%d') AS file_key, event_type AS tier_id, CAST(user_id AS VARCHAR) AS speaker_id,
-    CAST(user_id % 7 AS VARCHAR) AS region_code, epoch_ms(ts) AS start_ms, epoch_ms(ts) + CAST(floor(value * 1000) AS BIGINT) AS end_ms,
+    CAST(user_id % 7 AS VARCHAR) AS region_code, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT) AS end_ms,
     CASE WHEN event_type IN ('click', 'view') THEN 'Mouthing' WHEN event_type IN ('purchase', 'signup') THEN 'MouthGesture' ELSE 'Others' END AS category
   FROM events)"""
 
