@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import gloss_parser as gp
 from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import relations as rel
@@ -132,7 +133,21 @@ def diff_report(spark, sf_dir):
     return rel.diff(old, new, "doc_id", ["quality", "toxic"])
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, residue_check, blocking_flags, bracket_split, identity_keys, ref_chain_times, tier_closure, broken_refs, match_report, index_semi, unmatched_anti, vocab_intersect, vocab_except, union_findings, audit_copies, audit_spellings, fullest_tier, merged_cells, carried_down, signer_prefix_match, exclusions_anti, diff_report)}
+def parse_annotations(spark, sf_dir):
+    """Gloss strings, mixed with words of the documents, through the rule parser."""
+    words = tokens(spark, sf_dir).select("annotation").distinct()
+    mixed = F.concat_ws("+", "annotation", F.element_at(F.array(*map(F.lit, GLOSSES)), (F.pmod(F.crc32(F.col("annotation").cast("binary")), F.lit(len(GLOSSES))) + 1).cast("int")))
+    return words.select(gp.parse_column(mixed).alias("p")).select("p.*")
+
+
+def parse_documents(spark, sf_dir):
+    """Turns as annotations of a document, with compound groups over the whole document."""
+    t = read(spark, sf_dir, "conversations")
+    text = F.concat(F.when(F.length("text") % 7 == 0, "<").otherwise(""), F.substring("text", 1, 12), F.when(F.length("text") % 5 == 0, ">").otherwise(""))
+    return gp.parse_rows(t.select("conv_id", "turn", "role", text.alias("annotation")), "conv_id", ["turn", "role"])
+
+
+QUERIES = {f.__name__: f for f in (normalize_text, residue_check, blocking_flags, bracket_split, identity_keys, ref_chain_times, tier_closure, broken_refs, match_report, index_semi, unmatched_anti, vocab_intersect, vocab_except, union_findings, audit_copies, audit_spellings, fullest_tier, merged_cells, carried_down, signer_prefix_match, exclusions_anti, diff_report, parse_annotations, parse_documents)}
 
 _VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(GLOSSES))
 _G = f"g AS (SELECT CAST(i AS BIGINT) AS i, s FROM (VALUES {_VALUES}) AS v(i, s))"
