@@ -121,19 +121,22 @@ def fingerprint_neighbours(documents: DataFrame) -> DataFrame:
     Texts move once, into their range bucket; the votes of a document are summed where it then lies,
     and only sums pass through the second window.
     """
-    rows = edited_neighbours(documents)
-    sha = F.sha2("edited", 256)
-    versions = rows.select("bucket", "rn", "real", "doc_id", "n_chars", sha.alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("version", "body")).where("body IS NOT NULL")
+    rows = edited_neighbours(documents).withColumn("sha", F.sha2("edited", 256))
+    # The digest goes on as four longs: aggregates over fixed-width columns hash, others sort and spill.
+    digest = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
+    carried = ["real", "doc_id", "n_chars", *[f"sha{i}" for i in range(4)]]
+    versions = rows.select("bucket", "rn", "real", "doc_id", "n_chars", *digest, F.posexplode(F.array("text", "edited")).alias("version", "body")).where("body IS NOT NULL")
     worded = versions.withColumn("w", term_words(F.col("body"))).drop("body")
-    terms = worded.select("bucket", "rn", "real", "doc_id", "n_chars", "edited_sha256", "version", F.explode_outer(term_hashes(F.col("w"))).alias("h"))
+    terms = worded.select("bucket", "rn", *carried, "version", F.explode_outer(term_hashes(F.col("w"))).alias("h"))
     keys = ["bucket", "rn", "version"]
-    summed = terms.groupBy(*keys).agg(F.count("h").alias("total"), *fingerprint_sums(F.col("h")), *[F.first(c).alias(c) for c in ("real", "doc_id", "n_chars", "edited_sha256")])
-    prints = summed.select(*keys, "real", "doc_id", "n_chars", "edited_sha256", majority(F.col("total")).alias("fp"))
+    summed = terms.groupBy(*keys).agg(F.count("h").alias("total"), *fingerprint_sums(F.col("h")), *[F.first(c).alias(c) for c in carried])
+    prints = summed.select(*keys, *carried, majority(F.col("total")).alias("fp"))
     paired = prints.groupBy("bucket", "rn").agg(
-        F.max(F.when(F.col("version") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("version") == 1, F.col("fp"))).alias("edited_fp"), *[F.first(c).alias(c) for c in ("real", "doc_id", "n_chars", "edited_sha256")]
+        F.max(F.when(F.col("version") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("version") == 1, F.col("fp"))).alias("edited_fp"), *[F.max(F.when(F.col("version") == 1, F.col(c)) if c.startswith("sha") else F.col(c)).alias(c) for c in carried]
     )
     order = Window.partitionBy("bucket").orderBy("rn")
-    return paired.withColumn("next_fp", F.lead("fp").over(order)).where("real").select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 16, "0") for i in range(4)])
+    return paired.withColumn("next_fp", F.lead("fp").over(order)).where("real").select("doc_id", "n_chars", sha.alias("edited_sha256"), "fp", "edited_fp", "next_fp")
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
