@@ -60,23 +60,21 @@ def filtered(series: DataFrame, filter_: Column, name: str) -> DataFrame:
     return arrays.select("clip_id", F.posexplode(filter_).alias("i", name)).select("clip_id", (F.col("i") + 1).cast("long").alias("frame"), name)
 
 
-def yaw_series(raw: Column) -> Column:
-    """Smoothed turn of a clip from its raw turns in radians (null: not measurable); zeros where there is no signal.
+def yaw_of_clips(series: DataFrame) -> DataFrame:
+    """Per-frame smoothed yaw of every clip, in radians.
 
-    The array must come filled by ``fill_gaps`` beside the raw one; see ``yaw_of_clips``.
+    Values are raw turns, null where not measurable. Too few measured frames, or a peak too weak to be a
+    turn, give zeros. Each filter is a column of its own, so that no filter is computed again for every frame.
     """
     limit = math.radians(YAW_LIMIT_DEG)
-    smooth = F.transform(moving_average(median_filter(raw)), lambda v: F.greatest(F.lit(-limit), F.least(F.lit(limit), v)))
-    peak = F.array_max(F.transform(smooth, F.abs))
-    return F.when(peak >= math.radians(YAW_MIN_SIGNAL_DEG), smooth).otherwise(F.transform(raw, lambda _: F.lit(0.0)))
-
-
-def yaw_of_clips(series: DataFrame) -> DataFrame:
-    """Per-frame yaw of every clip; too few valid frames or too weak a signal give zeros."""
     filled = fill_gaps(series, 0, True)
     arrays = filled.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", F.coalesce("filled", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("values"), F.avg((F.col("source") == "observed").cast("double")).alias("valid"))
-    yaw = F.when(F.col("valid") >= YAW_MIN_VALID, yaw_series(F.col("values"))).otherwise(F.transform("values", lambda _: F.lit(0.0)))
-    return arrays.select("clip_id", F.posexplode(yaw).alias("i", "yaw")).select("clip_id", (F.col("i") + 1).cast("long").alias("frame"), "yaw")
+    medians = arrays.select("clip_id", "valid", median_filter(F.col("values")).alias("medians"))
+    means = medians.select("clip_id", "valid", moving_average(F.col("medians")).alias("means"))
+    smooth = means.select("clip_id", "valid", F.transform("means", lambda v: F.greatest(F.lit(-limit), F.least(F.lit(limit), v))).alias("smooth"))
+    usable = (F.col("valid") >= YAW_MIN_VALID) & (F.array_max(F.transform("smooth", F.abs)) >= math.radians(YAW_MIN_SIGNAL_DEG))
+    yaw = F.when(usable, F.col("smooth")).otherwise(F.transform("smooth", lambda _: F.lit(0.0)))
+    return smooth.select("clip_id", F.posexplode(yaw).alias("i", "yaw")).select("clip_id", (F.col("i") + 1).cast("long").alias("frame"), "yaw")
 
 
 def compound_groups(rows: DataFrame, document: str, order: list[str]) -> DataFrame:
