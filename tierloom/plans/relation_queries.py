@@ -135,7 +135,7 @@ def diff_report(spark, sf_dir):
 
 def parse_annotations(spark, sf_dir):
     """Gloss strings, mixed with words of the documents, through the rule parser."""
-    words = tokens(spark, sf_dir).select("annotation").distinct()
+    words = tokens(spark, sf_dir).select("annotation").distinct().repartition(2 * spark.sparkContext.defaultParallelism)  # a Python stage of its own size
     mixed = F.concat_ws("+", "annotation", F.element_at(F.array(*map(F.lit, GLOSSES)), (F.pmod(F.crc32(F.col("annotation").cast("binary")), F.lit(len(GLOSSES))) + 1).cast("int")))
     return words.select(gp.parse_column(mixed).alias("p")).select("p.*")
 
