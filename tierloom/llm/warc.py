@@ -34,6 +34,8 @@ CRLF = b"\r\n"
 #: Bytes of a record's block before it goes on in a continuation.
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4096
+#: Bytes of payload in an archive, about.
+ARCHIVE_BYTES = 16_000_000
 #: Records to a file at most, so that a file can be read whole.
 RECORDS_PER_FILE = 4000
 _DATE = "2024-01-01T00:00:00Z"
@@ -178,7 +180,10 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", revisit_f
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    made = marked.mapInArrow(write, "record binary")
+    # Archives of a useful size, and no fewer than can be written at once.
+    size = page.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
+    made = marked.coalesce(archives).mapInArrow(write, "record binary")
     made.select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
