@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -18,15 +20,27 @@ import numpy as np
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]*")
 _CONTRACTED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ž]+")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Texts looked up together; their pieces should stay in the processor's cache.
-_TOGETHER = 200
 #: A run of white space around a space may be one token: such spaces are no place to cut.
 _WIDE = ("  ", " \n", "\n ", "\t", "\r")
-#: Pieces kept in memory per worker; beyond it the memo starts afresh (a speed bound only).
+#: Pieces kept in memory per worker; beyond half of it the memo becomes the older half (a speed bound only).
 MEMO_PIECES = 1_300_000
 #: A mark after letters is a word of its own to both vocabularies.
-_STOPS = ("", ".", ",", ";", ":", "!", "?")
-_SPACES = ("", " ", "\t", "\n", "\r")
+_STOPS = (".", ",", ";", ":", "!", "?")
+
+
+class _Memo(dict):
+    """Ids by piece; an unknown piece is encoded when first asked for."""
+
+    def __init__(self, encode: Callable[[str, _Memo], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+        if isinstance(older, _Memo):
+            older.older = {}  # what is two halves old is forgotten
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        ids = self[piece] = self.encode(piece, self) if known is None else known
+        return ids
 
 
 class PieceEncoder:
@@ -36,81 +50,68 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        size = max(vocabulary.values()) + 1
-        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.size, self.dtype, self.code = size, ("<u2" if size <= 1 << 16 else "<u4"), ("H" if size <= 1 << 16 else "I")
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.word_ends = spec["model"].get("end_of_word_suffix") == "</w>"
-        self.marks = np.zeros(size, dtype=bool)
-        for token, i in vocabulary.items():
-            self.marks[i] = token.endswith("</w>") if self.word_ends else token.startswith("Ġ")
-        self.memo: dict[str, bytes] = {}
-        self.stops = {c: self._whole(c) for c in _STOPS if c}
+        self.symbols = {b: ord(c) for c, b in byte_alphabet().items()}
+        self.stops = {c: self._whole(c) for c in _STOPS}
+        self.line_end = b"" if self.word_ends else self._whole("\n")
+        self.memo = _Memo(self._piece, {})
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text (null: empty), in order; dtype is little-endian ``self.dtype``."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), _TOGETHER):
-            cut = [self._cut(t or "") for t in texts[at : at + _TOGETHER]]
-            known = self.memo.get
-            found = [list(map(known, pieces)) for _, pieces in cut]
-            unknown = {p for (_, pieces), got in zip(cut, found, strict=True) if None in got for p, g in zip(pieces, got, strict=True) if g is None}
-            if unknown:
-                self._learn(unknown)
-                new = self.memo
-                found = [[new[p] if g is None else g for p, g in zip(pieces, got, strict=True)] if None in got else got for (_, pieces), got in zip(cut, found, strict=True)]
-            out += [np.frombuffer(head + b"".join(got), dtype=self.dtype) for (head, _), got in zip(cut, found, strict=True)]
-        return out
-
-    def _cut(self, text: str) -> tuple[bytes, list[str]]:
-        """Ids of what has to be encoded on its own, and the pieces after it."""
+        return [np.frombuffer(self._ids(t), dtype=self.dtype) for t in texts]
+
+    def _ids(self, text: str | None) -> bytes:
         if not text:
-            return b"", []
+            return b""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return self._whole(text), []
+            return self._whole(text)
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.memo = _Memo(self._piece, self.memo)
+        known = self.memo.__getitem__
         if self.word_ends:
-            return b"", text.lower().split()
+            return b"".join(map(known, text.lower().split()))
         pieces = _SINGLE_SPACE.split(text) if any(w in text for w in _WIDE) else text.split(" ")
-        return self._whole(pieces[0]), pieces[1:]  # no space stands before the first
+        return self._whole(pieces[0]) + b"".join(map(known, pieces[1:]))  # no space stands before the first
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _alone(self, piece: str) -> bytes:
+    def _piece(self, piece: str, memo: _Memo) -> bytes:
+        """Ids of one piece: of its words where it is made of words and marks, else by the library whole."""
+        if piece.isalpha():
+            return self._word(piece if self.word_ends else " " + piece)
+        if piece[-1:] in self.stops and piece[:-1].isalpha():
+            return memo[piece[:-1]] + self.stops[piece[-1]]
+        if "\n" in piece and all(lines := piece.split("\n")) and not any(x[0].isspace() for x in lines[1:]):  # a line end between two words is a token of its own
+            return memo[lines[0]] + b"".join(self.line_end + self._line_start(x) for x in lines[1:])
         return self._whole(piece if self.word_ends else " " + piece)
 
-    def _learn(self, unknown: set[str]) -> None:
-        if len(self.memo) + len(unknown) > MEMO_PIECES:
-            self.memo = {}
-        stopped = [p for p in unknown if p and p[-1] in _STOPS and p[:-1].isalpha()]
-        unknown = unknown.difference(stopped)
-        unknown.update(b for p in stopped if (b := p[:-1]) not in self.memo)
-        plain = [p for p in unknown if " " not in p and p[:1] not in _SPACES and p[-1:] not in _SPACES]
-        for at in range(0, len(plain), 4096):
-            self._learn_block(plain[at : at + 4096])
-        for p in unknown.difference(plain):
-            self.memo[p] = self._alone(p)
-        memo, stops = self.memo, self.stops
-        memo.update((p, memo[p[:-1]] + stops[p[-1]]) for p in stopped)
-
-    def _learn_block(self, block: list[str]) -> None:
-        """One library call for many pieces, cut apart again where a piece's first or last token is marked."""
-        joined = " ".join(block) if self.word_ends else " " + " ".join(block)
-        ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        marked = np.flatnonzero(self.marks[ids])
-        if self.word_ends:
-            words = np.cumsum([len(_CONTRACTED.findall(p)) for p in block])
-            ends = marked[words - 1] + 1 if len(marked) == words[-1] else []
-        else:
-            ends = np.append(marked[1:], len(ids)) if len(marked) == len(block) else []
-        if len(ends) != len(block):  # never seen; the library's own cut then decides
-            self.memo.update((p, self._alone(p)) for p in block)
-            return
-        ends = (ends * ids.itemsize).tolist()
-        raw = ids.tobytes()
-        self.memo.update((p, raw[a:b]) for p, a, b in zip(block, [0, *ends], ends))
+    def _line_start(self, text: str) -> bytes:
+        if text.isalpha():
+            return self._word(text)
+        if text[-1:] in self.stops and text[:-1].isalpha():
+            return self._word(text[:-1]) + self.stops[text[-1]]
+        return self._whole(text)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a run of letters, by the library's merges alone: nothing is left to cut."""
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in plain}
+    for i, b in enumerate(b for b in range(256) if b not in set(plain)):
+        out[chr(0x100 + i)] = b
+    return out
 
 
 @lru_cache(maxsize=4)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batched, rows
-from .token_cache import _CONTRACTED, _PLAIN
+from .token_cache import _CONTRACTED, _PLAIN, byte_alphabet
 
 T = TypeVar("T")
 #: Characters of a chunk; its boundaries may fall anywhere.
@@ -35,15 +35,6 @@ CHUNK_CHARS = 1 << 16
 TABLE_ENTRIES = 1_000_000
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out = {chr(b): b for b in plain}
-    for i, b in enumerate(b for b in range(256) if b not in set(plain)):
-        out[chr(0x100 + i)] = b
-    return out
-
-
 class BpeTransducer:
     """Lazily determinised token counter for words in the byte alphabet."""
 
