@@ -28,8 +28,8 @@ from .common import batched, cut, delete_path, fresh_path, rows
 from .token_cache import encoder
 
 MAGIC = b"WVMX1\0\0\0"
-#: Ids of a shard; a longer document makes a longer shard.
-SHARD_TOKENS = 2_000_000
+#: Ids of a shard, so that its planes stay in a processor's cache; a longer document makes a longer shard.
+SHARD_TOKENS = 500_000
 _RANK_STEP = 4096  # bits between entries of the rank directory
 
 
@@ -45,12 +45,14 @@ class WaveletMatrix:
         """Stable partition by each bit, from the highest."""
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
-            ones = (ids >> ids.dtype.type(k)) & ids.dtype.type(1)
-            mask = ones.astype(bool)
+            mask = (ids & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(mask))
-            low = ids[~mask]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[mask]])
+            z = len(ids) - int(np.count_nonzero(mask))
+            zeros.append(z)
+            moved = np.empty_like(ids)
+            np.take(ids, np.flatnonzero(~mask), out=moved[:z])
+            np.take(ids, np.flatnonzero(mask), out=moved[z:])
+            ids = moved
         return cls(planes, len(ids), zeros)
 
     def all_ids(self, dtype: str = "<u4") -> np.ndarray:
@@ -59,8 +61,9 @@ class WaveletMatrix:
         for k, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             mask = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty_like(values)
-            above[~mask] = values[:z]
-            above[mask] = values[z:] | values.dtype.type(1 << k)
+            values[z:] |= values.dtype.type(1 << k)
+            above[np.flatnonzero(~mask)] = values[:z]  # positions scatter faster than masks
+            above[np.flatnonzero(mask)] = values[z:]
             values = above
         return values
 
@@ -169,7 +172,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        bits = max(1, (max(len(enc.marks) - 1, end_id)).bit_length())
+        bits = max(1, (max(enc.size - 1, end_id)).bit_length())
         kind = "<u2" if bits <= 16 else "<u4"
         end = np.array([end_id], dtype=kind)
         docs: list[int | None] = []
