@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .space import CORE_REGIONS
@@ -86,3 +86,30 @@ def by_role(handedness: Column, left: Column, right: Column) -> tuple[Column, Co
     """(dominant, non-dominant) of two hands' values."""
     swap = F.lower(handedness) == "left"
     return F.when(swap, left).otherwise(right), F.when(swap, right).otherwise(left)
+
+
+def region_counts(frames: DataFrame) -> DataFrame:
+    """Points of each hand role by region, per frame: clip_id, frame, hand_role, region, n.
+
+    Frames have clip_id, frame, handedness, yaw, left_shoulder and right_shoulder (x, y, v), chin and
+    face_top (x, y), left_hand and right_hand (arrays of x, y). Frames without visible shoulders, and hands
+    with a point that is not finite, count nothing. Left-handers are mirrored, so roles pool.
+    """
+    left, right = F.col("left_shoulder"), F.col("right_shoulder")
+    pair = (left["x"], left["y"]), (right["x"], right["y"])
+    mirror = F.lower("handedness") == "left"
+
+    def normal(p: Column) -> tuple[Column, Column]:
+        return normalise_point(p["x"], p["y"], *pair, F.col("yaw"), mirror)
+
+    good = frames.where(shoulders_ok(left["v"], right["v"]))
+    lines = reference_lines(normal(left)[0], normal(right)[0], normal(F.col("chin"))[1], normal(F.col("face_top"))[1])
+    dominant, other = by_role(F.col("handedness"), F.col("left_hand"), F.col("right_hand"))
+    roles = F.explode(F.array(F.struct(F.lit("dominant").alias("hand_role"), dominant.alias("points")), F.struct(F.lit("non_dominant").alias("hand_role"), other.alias("points"))))
+    hands = good.select("*", *[v.alias(f"__{k}") for k, v in lines.items()], roles.alias("hand"))
+    finite = F.forall("hand.points", lambda p: ~(F.isnan(p["x"]) | F.isnan(p["y"]) | p["x"].isNull() | p["y"].isNull()))
+    points = hands.where(finite).select("*", F.explode("hand.points").alias("p"))
+    x, y = normal(F.col("p"))
+    placed = points.select("clip_id", "frame", F.col("hand.hand_role").alias("hand_role"), x.alias("x"), y.alias("y"), *[f"__{k}" for k in lines])
+    region = classify_point(F.col("x"), F.col("y"), {k: F.col(f"__{k}") for k in lines})
+    return placed.groupBy("clip_id", "frame", "hand_role", region.alias("region")).agg(F.count("*").alias("n"))
