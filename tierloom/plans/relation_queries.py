@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gloss_parser as gp
 from ..functions import text as tx
-from ..operators import corpus as c
+from ..operators import audit as au
 from ..operators import relations as rel
 from .adapters import TOKENS, read, tokens
 
@@ -147,7 +147,33 @@ def parse_documents(spark, sf_dir):
     return gp.parse_rows(t.select("conv_id", "turn", "role", text.alias("annotation")), "conv_id", ["turn", "role"])
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, residue_check, blocking_flags, bracket_split, identity_keys, ref_chain_times, tier_closure, broken_refs, match_report, index_semi, unmatched_anti, vocab_intersect, vocab_except, union_findings, audit_copies, audit_spellings, fullest_tier, merged_cells, carried_down, signer_prefix_match, exclusions_anti, diff_report, parse_annotations, parse_documents)}
+def audit_outside_pair(spark, sf_dir):
+    """Suppliers as signers of recordings that their nation and key name."""
+    x = read(spark, sf_dir, "supplier").select(F.format_string("FO_%02d-%02d_Ani", F.col("s_nationkey"), F.col("s_nationkey") + 1).alias("recording"), F.format_string("FO%d", F.col("s_suppkey") % 26).alias("signer"))
+    return au.outside_pair(x).distinct()
+
+
+def audit_roster(spark, sf_dir):
+    """Customers against a roster that knows some of them, with some ages and genders changed."""
+    c0 = read(spark, sf_dir, "customer").select(F.format_string("FO_%d", F.col("c_custkey")).alias("signer"), (F.col("c_custkey") % 60).alias("age"), F.when(F.col("c_custkey") % 2 == 0, "f").otherwise("male").alias("gender"), "c_custkey")
+    people = c0.select("signer", F.when(F.col("c_custkey") % 11 != 0, F.col("age")).alias("age"), "gender")
+    roster = c0.where("c_custkey % 5 <> 0").select("signer", F.when(F.col("c_custkey") % 7 == 0, F.col("age") + 1).otherwise(F.col("age")).alias("age"), F.when(F.col("c_custkey") % 13 == 0, "男").otherwise(F.col("gender")).alias("gender"))
+    return au.against_roster(people, roster)
+
+
+def audit_to_do(spark, sf_dir):
+    """Events as findings of several ranks, one line per tier."""
+    e = read(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("rank"), (F.col("user_id") % 20).cast("string").alias("signer"), F.col("event_type").alias("tier_id"), F.date_format("ts", "yyyy-MM-dd").alias("doc"), F.lpad(F.col("event_id").cast("string"), 6, "0").alias("problem"), F.col("user_id").cast("string").alias("detail"))
+    return au.to_do(e)
+
+
+def resolved_tiers(spark, sf_dir):
+    """Rows of a day find their tier by id, or else by their signer."""
+    tiers = read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("doc"), F.concat_ws("-", "event_type", (F.col("user_id") % 9).cast("string")).alias("tier_id"), (F.col("user_id") % 9).cast("string").alias("participant")).where("event_id % 7 = 0").distinct()
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.date_format("ts", "yyyy-MM-dd").alias("doc"), F.concat_ws("-", "event_type", (F.col("user_id") % 9).cast("string")).alias("tier_id"), (F.col("user_id") % 9).cast("string").alias("speaker_id"))
+    return au.resolve_tiers(rows, tiers)
+
+QUERIES = {f.__name__: f for f in (normalize_text, residue_check, blocking_flags, bracket_split, identity_keys, ref_chain_times, tier_closure, broken_refs, match_report, index_semi, unmatched_anti, vocab_intersect, vocab_except, union_findings, audit_copies, audit_spellings, fullest_tier, merged_cells, carried_down, signer_prefix_match, exclusions_anti, diff_report, audit_outside_pair, audit_roster, audit_to_do, resolved_tiers, parse_annotations, parse_documents)}
 
 _VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(GLOSSES))
 _G = f"g AS (SELECT CAST(i AS BIGINT) AS i, s FROM (VALUES {_VALUES}) AS v(i, s))"
@@ -191,5 +217,16 @@ ORACLE_SQL = {
     "merged_cells": "WITH v AS (SELECT conv_id AS parent, role AS \"column\", substr(text, 1, 3) AS value, min(turn) AS first FROM conversations WHERE substr(text, 1, 3) <> '' GROUP BY 1, 2, 3) SELECT parent, \"column\", string_agg(value, ' | ' ORDER BY first, value) AS cell FROM v GROUP BY 1, 2",
     "carried_down": "SELECT s_suppkey, s_nationkey, last_value(CASE WHEN s_suppkey % 3 = 0 THEN s_name END IGNORE NULLS) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS name FROM supplier",
     "exclusions_anti": "WITH c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A/' ELSE 'b/' END || CAST(page_id % 10 AS VARCHAR) || '.mp4' AS clip FROM pages) SELECT * FROM c WHERE clip NOT LIKE 'A/%' AND clip NOT IN ('b/7.mp4', 'b/9.mp4')",
+    "audit_outside_pair": """WITH x AS (SELECT s_nationkey AS a, s_nationkey + 1 AS b, s_suppkey % 26 AS k FROM supplier)
+    SELECT DISTINCT printf('FO_%02d-%02d_Ani', a, b) AS recording, printf('FO%d', k) AS signer, printf('FO_%02d', a) AS first, printf('FO_%02d', b) AS second FROM x WHERE k NOT IN (a, b)""",
+    "audit_roster": """WITH c AS (SELECT c_custkey AS k, printf('FO_%d', c_custkey) AS signer, c_custkey % 60 AS age, CASE WHEN c_custkey % 2 = 0 THEN 'f' ELSE 'male' END AS gender FROM customer),
+      r AS (SELECT k, CASE WHEN k % 7 = 0 THEN age + 1 ELSE age END AS sheet_age, CASE WHEN k % 13 = 0 OR gender = 'male' THEN 'male' ELSE 'female' END AS sheet_gender FROM c WHERE k % 5 <> 0),
+      j AS (SELECT signer, CASE WHEN k % 11 <> 0 THEN age END AS age, gender, sheet_age, sheet_gender FROM c LEFT JOIN r USING (k)),
+      p AS (SELECT *, CASE WHEN sheet_gender IS NULL THEN 'not in roster' WHEN age IS NULL THEN 'missing' WHEN age <> sheet_age OR left(gender, 1) <> left(sheet_gender, 1) THEN 'contradicts' END AS problem FROM j) SELECT * FROM p WHERE problem IS NOT NULL""",
+    "audit_to_do": """WITH e AS (SELECT event_id % 4 AS rank, CAST(user_id % 20 AS VARCHAR) AS signer, event_type AS tier_id, strftime(ts, '%Y-%m-%d') AS doc, lpad(CAST(event_id AS VARCHAR), 6, '0') AS problem, CAST(user_id AS VARCHAR) AS detail FROM events)
+    SELECT signer, tier_id, min(rank) AS rank, arg_min(problem, (rank, doc, problem)) AS problem, arg_max(detail, (rank, doc, problem)) AS detail, string_agg(DISTINCT doc, ';' ORDER BY doc) AS docs FROM e GROUP BY signer, tier_id""",
+    "resolved_tiers": """WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS doc, event_type || '-' || CAST(user_id % 9 AS VARCHAR) AS tier_id, CAST(user_id % 9 AS VARCHAR) AS who FROM events), t AS (SELECT DISTINCT doc, tier_id, who AS participant FROM e WHERE event_id % 7 = 0),
+      s AS (SELECT e.event_id, arg_min(t.tier_id, (CASE WHEN participant = who THEN 0 ELSE 1 END, length(t.tier_id), t.tier_id)) AS r FROM e JOIN t ON t.doc = e.doc AND (participant = who OR contains(participant, who) OR contains(t.tier_id, who)) GROUP BY 1)
+    SELECT e.event_id AS row_id, coalesce(d.tier_id, s.r) AS resolved, CASE WHEN d.tier_id IS NOT NULL THEN 'tier' WHEN s.r IS NOT NULL THEN 'speaker' END AS how FROM e LEFT JOIN t d ON d.doc = e.doc AND d.tier_id = e.tier_id LEFT JOIN s USING (event_id)""",
     "diff_report": "SELECT doc_id, 'quality' AS \"column\", CAST(quality AS VARCHAR) AS old, CAST(1 - quality AS VARCHAR) AS new FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR), NULL FROM labels WHERE doc_id % 50 = 0",
 }
