@@ -127,7 +127,7 @@ def _documents(batch: pa.Table) -> Iterator[tuple[int, bytes]]:
 _A = "bucket int, g int, hashes binary, docs binary"
 _R = "g int, repeated binary, hot binary"
 _B = "bucket int, g int, hot binary, keys binary, docs binary, shared binary, sizes binary, content binary"
-_M = "g int, hot binary, content_hash binary, spans binary, span_size binary, span_doc binary"
+_M = "g int, hot binary, keys binary, content_hash binary, spans binary, span_size binary, span_doc binary"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -179,16 +179,12 @@ def find_repeated(bucket: pa.Table, hot_docs: int) -> pa.Table:
     return _table(out, _R)
 
 
-def _candidates(data: bytes, repeated: np.ndarray | None, hot: np.ndarray, threshold: int) -> Iterator[tuple[int, int, bytes]]:
-    """(key, first window, content) of the runs to compare; a hot run gives each window by itself.
-
-    Without ``repeated`` every run is given.
-    """
+def _candidates(data: bytes, repeated: np.ndarray, hot: np.ndarray, threshold: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, first window, content) of the runs to compare; a hot run gives each window by itself."""
     first, end, hashes = runs(np.frombuffer(data, np.uint8), threshold)
-    if repeated is not None:
-        at = np.searchsorted(repeated, hashes)
-        kept = repeated[np.minimum(at, max(0, len(repeated) - 1))] == hashes if len(repeated) else np.zeros(len(hashes), bool)
-        first, end, hashes = first[kept], end[kept], hashes[kept]
+    at = np.searchsorted(repeated, hashes)
+    kept = repeated[np.minimum(at, max(0, len(repeated) - 1))] == hashes if len(repeated) else np.zeros(len(hashes), bool)
+    first, end, hashes = first[kept], end[kept], hashes[kept]
     is_hot = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
     for a, b, h, burning in zip(first.tolist(), end.tolist(), hashes.tolist(), is_hot.tolist(), strict=True):
         if burning:
@@ -239,36 +235,38 @@ def smallest_owners(bucket: pa.Table, threshold: int) -> pa.Table:
     out = _empty(_M)
     owner: dict[bytes, int] = {}
     by_key: dict[int, list[bytes]] = {}
-    sent: list[tuple[int, list[bytes], np.ndarray, np.ndarray]] = []
+    sent: list[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
     for r in bucket.to_pylist():
         if r["hot"] is not None:
-            for name, value in zip(out, [r["g"], r["hot"], None, None, None, None], strict=True):
+            for name, value in zip(out, [r["g"], r["hot"], None, None, None, None, None], strict=True):
                 out[name].append(value)
             continue
         raw = zstandard.ZstdDecompressor().decompress(r["content"], max_output_size=1 << 40)
         docs, ends = np.frombuffer(r["docs"], "<i8"), np.cumsum(np.frombuffer(r["sizes"], "<u4"), dtype=np.int64).tolist()
         contents = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        for content, key, doc in zip(contents, _unpack6(r["keys"]).tolist(), docs.tolist(), strict=True):
+        keys = _unpack6(r["keys"])
+        for content, key, doc in zip(contents, keys.tolist(), docs.tolist(), strict=True):
             known = owner.get(content)
             if known is None:
                 owner[content] = doc
                 by_key.setdefault(key, []).append(content)
             elif doc < known:
                 owner[content] = doc
-        sent.append((r["g"], contents, docs, np.frombuffer(r["shared"], np.uint8)))
+        sent.append((r["g"], contents, keys, docs, np.frombuffer(r["shared"], np.uint8)))
     mixed = _sorted_owners([c for group in by_key.values() if len(group) > 1 for c in group], owner, threshold)
-    for g, contents, docs, shared in sent:
-        content_hash, spans, sizes, span_docs = [], [], [], []
-        for content, doc, several in zip(contents, docs.tolist(), shared.tolist(), strict=True):
+    for g, contents, keys, docs, shared in sent:
+        told, content_hash, spans, sizes, span_docs = [], [], [], [], []
+        for i, (content, doc, several) in enumerate(zip(contents, docs.tolist(), shared.tolist(), strict=True)):
             stretches = mixed.get(content) or [(len(content) - threshold + 1, owner[content])]
             if several or any(d < doc for _, d in stretches):
+                told.append(i)
                 content_hash.append(xxhash.xxh64_intdigest(content))
                 spans.append(len(stretches))
                 for n, d in stretches:
                     sizes.append(n)
                     span_docs.append(d)
         if content_hash:
-            row = [g, None, np.array(content_hash, "<u8").tobytes(), np.array(spans, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(span_docs, "<i8").tobytes()]
+            row = [g, None, _pack6(np.unique(keys[told])), np.array(content_hash, "<u8").tobytes(), np.array(spans, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(span_docs, "<i8").tobytes()]
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
     return _table(out, _M)
@@ -302,20 +300,23 @@ def remove_repeats(batch: pa.Table, owners: pa.Table, threshold: int) -> pa.Tabl
     if not batch.num_rows:
         return _table(out, _OUT)
     hot = np.zeros(0, np.uint64)
+    keys: list[np.ndarray] = []
     spans_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in owners.to_pylist():
         if r["hot"] is not None:
             hot = np.union1d(hot, _unpack6(r["hot"]))
             continue
+        keys.append(_unpack6(r["keys"]))
         counts, sizes, docs = np.frombuffer(r["spans"], "<u4"), np.frombuffer(r["span_size"], "<u4"), np.frombuffer(r["span_doc"], "<i8")
         ends = np.cumsum(counts, dtype=np.int64).tolist()
         for h, a, b in zip(np.frombuffer(r["content_hash"], "<u8").tolist(), [0, *ends], ends, strict=False):
             spans_of[h] = (sizes[a:b].tolist(), docs[a:b].tolist())
+    repeated = np.unique(np.concatenate([hot, *keys]))
     for doc, data in _documents(batch):
         covered = np.zeros(len(data) + 1, dtype=np.int32)
         marked = False
         if spans_of:
-            for _, at, content in _candidates(data, None, hot, threshold):
+            for _, at, content in _candidates(data, repeated, hot, threshold):
                 found = spans_of.get(xxhash.xxh64_intdigest(content))
                 if found:
                     for n, least in zip(*found, strict=True):
