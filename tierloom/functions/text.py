@@ -21,8 +21,8 @@ def strip(c: Column) -> Column:
 
 def nonempty(c: Column) -> Column:
     """Not blank and not a word for no value (statistics tables)."""
-    s = strip(F.coalesce(c.cast("string"), F.lit("")))
-    return (s != "") & ~F.lower(s).isin(*EMPTY_WORDS_STATISTICS)
+    s = F.coalesce(c.cast("string"), F.lit(""))
+    return s.rlike(r"(?U)\S") & ~s.rlike(rf"(?iU)^\s*({'|'.join(EMPTY_WORDS_STATISTICS)})\s*$")
 
 
 def nonblank(c: Column) -> Column:
