@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.llm.common import cut, table
 from tierloom.llm.decontaminate import drop_contaminated
+from tierloom.llm.near_copies import drop_near_copies
 from tierloom.llm.packing import pack_documents
 from tierloom.llm.queries import tokenizer_file
 from tierloom.llm.secrets import redact_live_secrets
-from tierloom.llm.simhash_bits import drop_near_duplicates
 from tierloom.llm.toxicity import drop_toxic, fit_toxicity
 
 
@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies stays; copies share 0.8 of their five-word shingles."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,6 +219,25 @@ def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, or without an id where all are.
+
+    named has doc_id, key (xxhash64 of the text) and component.
+    """
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
+    return rows_at(documents.withColumn("__key", F.xxhash64("text")), least.select("s.doc_id", "s.key"), "__key").drop("__key")
+
+
+def rows_at(documents: DataFrame, places: DataFrame, key: str = "key") -> DataFrame:
+    """The rows of some (doc_id, key), one of each; nulls are equal.
+
+    The join and the removal of repeated rows share one exchange of the texts.
+    """
+    place = lambda k: [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col(k).alias("__at")]
+    names = ["__id", "__none", "__at"]
+    return documents.select("*", *place(key)).join(places.select(*place("key")), names, "left_semi").dropDuplicates(names).drop(*names)
+
+
 def drop_near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id; all columns kept.
 
