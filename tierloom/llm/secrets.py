@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One scan finds the base kinds and wider candidates in every text. Candidate values are then counted by
-distinct repositories and distinct owners over the whole corpus: a value that many owners share is a
-copied example, a value that one owner alone uses looks live. Wider candidates of one owner become
-spans of their own (`owned`); the base spans are never dropped, but told apart in the same way.
+distinct repositories and distinct owners over the whole corpus, and both decide: a value in many
+repositories, or in several of several owners, is a widely copied example; any other looks live. Wider
+candidates that look live and that one owner alone uses become spans of their own (`owned`); the base
+spans are never dropped, but told apart. Both counts are returned for every span.
 
 Defined cases: a null text is empty; a null owner or repository counts as one of its own; repeated rows
 are scanned as separate rows and count once for ownership; an empty table gives no rows. Only the
@@ -35,8 +36,10 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: A wider candidate is a run of these, mixed of letters and digits and varied enough.
 _WIDE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _WIDE_ENTROPY = 3.5
-#: From so many distinct owners on, a value is a widely copied example.
-COPIED_OWNERS = 2
+#: From so many distinct repositories on, a value is a widely copied example, whoever owns them.
+COPIED_REPOSITORIES = 10
+#: From so many distinct owners on, each with a repository of its own, it is one too.
+COPIED_OWNERS = 3
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str]]:
@@ -123,14 +126,23 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return owners.join(repositories, "hash")
 
 
+def looks_live() -> F.Column:
+    """Whether a counted span is not widely copied and, for a wider candidate, has one owner alone."""
+    copied = (F.col("repositories") >= COPIED_REPOSITORIES) | ((F.col("owners") >= COPIED_OWNERS) & (F.col("repositories") >= COPIED_OWNERS))
+    return ~copied & ((F.col("kind") != "owned") | (F.col("owners") == 1))
+
+
 def find_secrets(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per document with its base spans, all spans, and how many look live or copied."""
+    """One row per document with its base spans, all spans, and how many look live or copied.
+
+    span_counts has owners:repositories of each span's value, in the order of spans.
+    """
     scanned = cut(scan(documents, owner, repository))
     counted = ownership(scanned)
     spans = scanned.select("row", F.explode(F.concat("base", "wide")).alias("s")).select("row", "s.*")
-    judged = spans.join(counted, "hash").withColumn("live", F.col("owners") < COPIED_OWNERS)
+    judged = spans.join(counted, "hash").withColumn("live", looks_live())
     per_row = judged.groupBy("row").agg(
-        F.collect_list(F.when((F.col("kind") == "owned") & F.col("live"), F.struct("start", "kind", "stop"))).alias("owned"),
+        F.collect_list(F.when((F.col("kind") != "owned") | F.col("live"), F.struct("start", "kind", "stop", "owners", "repositories"))).alias("shown"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live") & (F.col("kind") != "owned")).alias("n_copied"),
     )
@@ -138,9 +150,9 @@ def find_secrets(documents: DataFrame, owner: str = "source", repository: str =
     joined = mine.join(per_row, "row", "left")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
 
-    def text_of(spans: F.Column) -> F.Column:
-        keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-        return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    def text_of(spans: F.Column, parts: tuple[str, ...] = ("kind", "start", "stop")) -> F.Column:
+        keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["stop"].alias("stop"), F.concat_ws(":", *[s[p].cast("string") for p in parts]).alias("text"))))
+        return F.array_join(F.transform(keyed, lambda s: s["text"]), ",")
 
     def count(kind: str) -> F.Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -149,7 +161,8 @@ def find_secrets(documents: DataFrame, owner: str = "source", repository: str =
         "doc_id",
         *map(count, KINDS[:3]),
         F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
-        text_of(F.concat("base", F.coalesce("owned", F.array().cast("array<struct<start:long,kind:string,stop:long>>")))).alias("spans"),
+        F.coalesce(text_of(F.col("shown")), F.lit("")).alias("spans"),
+        F.coalesce(text_of(F.col("shown"), ("owners", "repositories")), F.lit("")).alias("span_counts"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
     )
@@ -171,7 +184,7 @@ def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def redact_live_secrets(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """All documents; spans whose value one owner alone uses are replaced, copied examples stay.
+    """All documents; spans whose value looks live are replaced, copied examples stay.
 
     Columns are those of the documents; an n_chars column follows the new text. A document is found
     again by its id and its text's hash, so rows that share an id keep their own spans.
@@ -179,7 +192,7 @@ def redact_live_secrets(documents: DataFrame, owner: str = "source", repository:
     keyed = documents.withColumn("__text_key", F.xxhash64("text"))
     scanned = cut(scan(keyed.select("text", F.col("__text_key").alias("doc_id"), keyed["doc_id"].cast("string").alias("__id"), F.col(owner).cast("string").alias("__owner"), F.col(repository).cast("string").alias("__repository")), "__owner", "__repository", "__id"))
     spans = scanned.select("row", F.explode(F.concat("base", "wide")).alias("s")).select("row", "s.*")
-    live = spans.join(ownership(scanned).where(F.col("owners") < COPIED_OWNERS).select("hash"), "hash", "left_semi")
+    live = spans.join(ownership(scanned), "hash").where(looks_live())
     per_row = live.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     found = scanned.join(per_row, "row").groupBy(F.col("doc_id").alias("__key"), F.col("ident").alias("__ident")).agg(F.first("__spans").alias("__spans"))
     same = (keyed["__text_key"] == found["__key"]) & keyed["doc_id"].cast("string").eqNullSafe(found["__ident"])
