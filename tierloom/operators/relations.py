@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,26 @@ def inherited_times(annotations: DataFrame, max_depth: int = MAX_DEPTH) -> DataF
     return state.select("doc", "id", "start_ms", "end_ms")
 
 
-def tier_closure(tiers: DataFrame, seed: Column, max_depth: int = 4) -> DataFrame:
-    """Tiers that meet a condition, and all below them; tiers have doc, tier_id and parent."""
-    found = tiers.where(seed).select("doc", "tier_id")
-    for _ in range(max_depth):
-        above = found.select("doc", F.col("tier_id").alias("parent"))
-        found = found.union(tiers.join(above, ["doc", "parent"], "left_semi").select("doc", "tier_id")).distinct()
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialised below spark.checkpoint.dir; only where it is unset (tests), in a local folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tierloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def tier_closure(tiers: DataFrame, seed: Column) -> DataFrame:
+    """Tiers that meet a condition, and all below them; tiers have doc, tier_id and parent.
+
+    Each round looks below the tiers that the last one added, until it adds none.
+    """
+    found = added = _cut(tiers.where(seed).select("doc", "tier_id").distinct())
+    links = _cut(tiers.select("doc", "tier_id", "parent"))
+    while not added.isEmpty():
+        above = added.select("doc", F.col("tier_id").alias("parent"))
+        below = links.join(above, ["doc", "parent"], "left_semi").select("doc", "tier_id").distinct()
+        added = _cut(below.join(found, ["doc", "tier_id"], "left_anti"))
+        found = _cut(found.union(added))
     return found
 
 
