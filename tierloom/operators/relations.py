@@ -9,35 +9,33 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip_key, signer_key
 
-#: Links followed from an annotation to the one with times; what is deeper, or runs in a circle, has none.
-MAX_DEPTH = 16
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialised below spark.checkpoint.dir; only where it is unset (tests), in a local folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tierloom-checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
-def inherited_times(annotations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def inherited_times(annotations: DataFrame) -> DataFrame:
     """Times of annotations that refer to others, by pointer doubling.
 
     Annotations have doc, id, ref (null for own times), start_ms and end_ms. Every round follows each
-    pending reference twice as far, so a chain of length n takes log2 n equi-joins; circles never end
-    on times and get null.
+    pending reference twice as far, so a chain of length n takes log2 n equi-joins. What is still pending
+    when the rounds exceed log2 of the pending rows runs in a circle, or into one, and gets null.
     """
-    state = annotations.select("doc", "id", F.when(F.col("start_ms").isNull(), F.col("ref")).alias("next"), "start_ms", "end_ms")
-    rounds = max(1, (max_depth - 1).bit_length())
-    for _ in range(rounds):
+    state = _cut(annotations.select("doc", "id", F.when(F.col("start_ms").isNull(), F.col("ref")).alias("next"), "start_ms", "end_ms"))
+    waiting = state.where("start_ms IS NULL AND next IS NOT NULL")
+    for _ in range(waiting.count().bit_length()):
         other = state.select(F.col("doc").alias("o_doc"), F.col("id").alias("o_id"), F.col("next").alias("o_next"), F.col("start_ms").alias("o_start"), F.col("end_ms").alias("o_end"))
         joined = state.join(other, (F.col("doc") == F.col("o_doc")) & (F.col("next") == F.col("o_id")), "left")
         pending = F.col("start_ms").isNull()
-        state = joined.select("doc", "id", F.when(pending & F.col("o_start").isNull(), F.col("o_next")).alias("next"), F.coalesce("start_ms", "o_start").alias("start_ms"), F.coalesce("end_ms", "o_end").alias("end_ms"))
+        state = _cut(joined.select("doc", "id", F.when(pending & F.col("o_start").isNull(), F.col("o_next")).alias("next"), F.coalesce("start_ms", "o_start").alias("start_ms"), F.coalesce("end_ms", "o_end").alias("end_ms")))
+        if state.where("start_ms IS NULL AND next IS NOT NULL").isEmpty():
+            break
     return state.select("doc", "id", "start_ms", "end_ms")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialised below spark.checkpoint.dir; only where it is unset (tests), in a local folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tierloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def tier_closure(tiers: DataFrame, seed: Column) -> DataFrame:
     """Tiers that meet a condition, and all below them; tiers have doc, tier_id and parent.
 

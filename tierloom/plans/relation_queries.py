@@ -45,7 +45,7 @@ def identity_keys(spark, sf_dir):
 def ref_chain_times(spark, sf_dir):
     """Documents as annotations that refer to the one five before; every sixteenth has its own times."""
     d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("doc"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 16 != 0, F.col("doc_id") - 5).alias("ref"), F.when(F.col("doc_id") % 16 == 0, F.col("n_chars")).alias("start_ms"), F.when(F.col("doc_id") % 16 == 0, F.col("n_chars") + 100).alias("end_ms"))
-    return rel.inherited_times(d, 16)
+    return rel.inherited_times(d)
 
 
 def tier_closure(spark, sf_dir):
