@@ -143,7 +143,7 @@ def parse_annotations(spark, sf_dir):
 def parse_documents(spark, sf_dir):
     """Turns as annotations of a document, with compound groups over the whole document."""
     t = read(spark, sf_dir, "conversations")
-    text = F.concat(F.when(F.length("text") % 7 == 0, "<").otherwise(""), F.substring("text", 1, 12), F.when(F.length("text") % 5 == 0, ">").otherwise(""))
+    text = F.concat(F.when(F.length("text") % 7 == 0, "<").otherwise(""), F.col("text"), F.when(F.length("text") % 5 == 0, ">").otherwise(""))
     return gp.parse_rows(t.select("conv_id", "turn", "role", text.alias("annotation")), "conv_id", ["turn", "role"])
 
 
