@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on the passages that set toxic documents apart, one on
-ordinary passages of the same amount. Every window of a text is compressed with both; the bytes that
-the toxic dictionary saves, over a threshold calibrated on documents which neither dictionary has
-seen, make the score. Training reads a bounded sample of labelled rows (`FIT_ROWS`, `FIT_CHARS`);
-scoring reads every window of every text.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary texts. As most of a toxic text is
+ordinary too, both are first freed of the words that a sample of ordinary text compresses away. Every
+window of a text is compressed with both; the bytes that the toxic dictionary saves, over a threshold
+calibrated on documents which neither dictionary has seen, make the score. Training reads a bounded sample
+of labelled rows (`FIT_ROWS`, `FIT_CHARS`); scoring reads every window of every text.
 
 Defined cases: a null text is empty and scores as a text without toxic windows; without labels of both
 kinds every score is the share of toxic labels (0 if there are none); repeated rows score alike; null
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +33,17 @@ FIT_ROWS = {1: 4000, 0: 7000}
 FIT_CHARS = 40_000
 #: Least bytes of a window; it ends at the next space.
 WINDOW = 20
-_GRAM = (5, 6)
-_CONTRAST = 7.0  # standard errors between the shares of toxic and ordinary documents
-_LEAST_DOCS = 4
-_DICTIONARY_PASSAGES = 1500
-#: Ends both dictionaries and opens every window: a block is then always compressed, and its length shows savings that would not pay for a block's headers.
+#: Bytes of each trained dictionary, and the segments that the trainer picks (their length, and what it counts).
+DICTIONARY_BYTES = 1024
+_SEGMENT, _COUNTED = 12, 6
+#: Ordinary text, at most, that explains words away before training.
+EXPLAINING_BYTES = 4_000_000
+#: A word is left for training where it takes so many bytes more than its own among the explaining text.
+_SURPRISE = 2
+#: Shorter words are no match for the compressor, with or without the text that explains them.
+_LEAST_WORD = 4
+#: Ends both dictionaries, opens every window and closes it: a block is then always compressed, its length shows
+#: savings that would not pay for a block's headers, and matches are found up to the window's own end.
 _PRIMER = bytes(range(1, 25))
 
 
@@ -65,25 +71,31 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
+def _compressor(content: bytes, window_log: int = 16, hash_log: int = 14) -> Callable[[bytes], bytes]:
+    """Compression with a dictionary; short matches say nothing about a passage, so they have at least five bytes."""
+    parameters = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=window_log, hash_log=hash_log, chain_log=hash_log, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False
+    )
+    d = zstandard.ZstdCompressionDict(content + _PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=parameters).compress
+
+
+def _framed(window: bytes) -> bytes:
+    return _PRIMER + window + _PRIMER
+
+
 class Comparer:
     """Compression lengths of windows under the two dictionaries."""
 
     def __init__(self, model: Model):
         self.model = model
-        # Short matches say nothing about a passage, so matches have at least five bytes.
-        parameters = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False
-        )
-        self.compress = []
-        for content in (model.ordinary, model.toxic):
-            d = zstandard.ZstdCompressionDict(content + _PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=parameters)
-            self.compress.append(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters).compress)
+        self.compress = [_compressor(content) for content in (model.ordinary, model.toxic)]
 
     def savings(self, text: str | None) -> list[int]:
         """Bytes that the toxic dictionary saves over the ordinary one, by window."""
         ordinary, toxic = self.compress
-        return [len(ordinary(w)) - len(toxic(w)) for w in map(_PRIMER.__add__, windows(text))]
+        return [len(ordinary(w)) - len(toxic(w)) for w in map(_framed, windows(text))]
 
     def features(self, text: str | None) -> list[float]:
         """What the score sees: the largest saving, and the savings that reach the threshold."""
@@ -100,15 +112,6 @@ class Comparer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _grams(text: str) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in set(text.lower().encode().split()):
-        w = b" " + w
-        for n in _GRAM:
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
-
-
 def _without_copies(samples: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
     """The first of every group of near copies, by shared smallest shingle hashes: a copied passage is one witness."""
     seen: dict[int, int] = {}
@@ -124,21 +127,41 @@ def _without_copies(samples: list[tuple[str, int, bool]]) -> list[tuple[str, int
     return out
 
 
-def _passages(text: str, telling: set[bytes]) -> Iterator[bytes]:
-    """Maximal stretches of words that telling grams cover."""
-    for w in set(text.lower().encode().split()):
-        w = b" " + w
-        covered = bytearray(len(w))
-        for n in _GRAM:
-            for i in range(len(w) - n + 1):
-                if w[i : i + n] in telling:
-                    covered[i : i + n] = b"\1" * n
-        at = covered.find(1)
-        while at >= 0:
-            end = covered.find(0, at)
-            end = len(w) if end < 0 else end
-            yield w[at:end]
-            at = covered.find(1, end)
+def _explaining(texts: list[str]) -> bytes:
+    """The texts up to EXPLAINING_BYTES, in an order that their content decides."""
+    out, size = [], 0
+    for data in sorted((t.lower().encode() for t in texts), key=lambda d: (zlib.crc32(d), d)):
+        out.append(data[: EXPLAINING_BYTES - size])
+        size += len(out[-1])
+        if size >= EXPLAINING_BYTES:
+            break
+    return b" ".join(out)
+
+
+def _unexplained(texts: list[str], explaining: bytes) -> list[bytes]:
+    """What the explaining text does not compress, text by text; most of any text is ordinary, also of toxic ones."""
+    compress, known = _compressor(explaining, 24, 20), {}
+    least = len(compress(_framed(b"")))
+    out = []
+    for text in texts:
+        left = []
+        for w in text.lower().encode().split():
+            kept = known.get(w)
+            if kept is None:
+                kept = known[w] = _LEAST_WORD <= len(w) <= 8 * WINDOW and len(compress(_framed(b" " + w + b" "))) - least >= len(w) + 2 + _SURPRISE
+            if kept:
+                left.append(w)
+        out.append(b" ".join(left))
+    return [x for x in out if x]
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    """A zstandard dictionary trained on texts; where they are too few to train on, they are it themselves."""
+    samples = [t for t in texts if len(t) >= 8]  # the trainer takes no shorter ones
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=_SEGMENT, d=_COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(texts)[-DICTIONARY_BYTES:]
 
 
 def train(samples: list[tuple[str, int, bool]]) -> Model:
@@ -154,33 +177,10 @@ def train(samples: list[tuple[str, int, bool]]) -> Model:
     docs = [sum(1 for _, y, _ in fit if y == k) for k in (0, 1)]
     if not all(docs) or len({y for _, y, _ in rest}) < 2:
         return Model(b"", b"", 0, [], prior)
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y, _ in fit:
-        count[y].update(_grams(text))
-    telling = set()
-    for g, a in count[1].items():
-        b = count[0][g]
-        p = (a + b) / sum(docs)
-        if a >= _LEAST_DOCS and a / docs[1] - b / docs[0] > _CONTRAST * math.sqrt(p * (1 - p) * (1 / docs[0] + 1 / docs[1])):
-            telling.add(g)
-    found: Counter = Counter()
-    for text, y, _ in fit:
-        if y:
-            found.update(_passages(text, telling))
-    best = sorted(found, key=lambda w: (found[w], w))[-_DICTIONARY_PASSAGES:]  # the commonest last, where zstd finds it cheapest
-    toxic = b"".join(best) or b" "
-    plain: Counter = Counter()
-    for text, y, _ in fit:
-        if not y:
-            plain.update(set(text.lower().encode().split()))
-    usual = sorted((w for w, c in plain.items() if 3 <= c <= max(3, docs[0] // 50)), key=lambda w: (zlib.crc32(w), w))
-    ordinary, size = [], 0
-    for w in usual:
-        if size >= len(toxic):
-            break
-        ordinary.append(b" " + w)
-        size += len(w) + 1
-    model = Model(toxic, b"".join(ordinary) or b" ", 1, [], prior)
+    ordinary = [t for t, y, _ in fit if not y]
+    explaining = _explaining(ordinary[::2])
+    trained = [_dictionary(_unexplained(texts, explaining)) for texts in ([t for t, y, _ in fit if y], ordinary[1::2] or ordinary)]
+    model = Model(*trained, 1, [], prior)
     comparer = Comparer(model)
     saved = [(max(comparer.savings(t), default=0), y) for t, y, _ in rest]
     total = {y: sum(1 for _, k in saved if k == y) for y in (0, 1)}
@@ -215,11 +215,12 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> Model:
     hashes of each label are broadcast to the scan of the documents.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (_remainder(F.col("doc_id")) != 2))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in FIT_ROWS.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     picked = documents.select("doc_id", "text").where(F.char_length("text") <= FIT_CHARS).join(chosen, "doc_id")
-    most = 2 * sum(FIT_ROWS.values())  # repeated doc_ids
-    got = picked.select("text", "toxic", (_remainder(F.col("doc_id")) == 3).alias("rest")).limit(most).collect()
+    one = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # of a repeated id one text
+    got = one.select("text", "toxic", (_remainder(F.col("doc_id")) == 3).alias("rest")).collect()
     return train([(r["text"], r["toxic"], r["rest"]) for r in got])
 
 
