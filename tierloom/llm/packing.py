@@ -2,9 +2,9 @@
 
 The histogram of piece lengths (at most ``capacity`` rows, whatever the corpus) is packed on the
 driver; documents are never collected. Large lengths are split into groups of equal cardinality and
-rounded up to the largest of their group, the few rounded sizes are packed by configurations, the
-actual lengths are then substituted for the rounded ones, and the small lengths go best-fit into what
-is left. Every step works on runs of equal sequences, so a plan's size depends on the number of
+rounded up to the largest of their group, the configurations of the few rounded sizes are optimised by
+a linear programme, the actual lengths are then substituted for the rounded ones, and the small lengths
+go best-fit into what is left. Every step works on runs of equal sequences, so a plan's size depends on the number of
 distinct lengths alone. Documents find their place by their rank among pieces of the same length.
 
 Defined cases: a null text is an empty document and holds the end id alone; an empty table gives no
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import batched, cut, rows
 from .token_cache import encoder
 
-#: Plans tried: lengths above these shares of the capacity count as large, in so many groups of equal
-#: cardinality. The plan with the fewest sequences is carried out; planning sees the histogram only.
-LARGE_OVER = (1 / 6, 1 / 4, 1 / 3, 1 / 2, 2 / 3, 5 / 6)
-GROUPS = (24, 96, 384, 1024)
+#: Lengths above this share of the capacity are large: a configuration holds three of them at most.
+LARGE_OVER = 1 / 4
+#: Groups of equal cardinality that the large lengths are rounded up within.
+GROUPS = 256
+#: Columns that the optimisation of configurations may generate per group; fewer only make a less full plan.
+_COLUMNS = 60
 
 
 @dataclass
@@ -42,9 +44,12 @@ class Run:
     left: int = field(default=0)
 
 
-def linear_groups(histogram: dict[int, int], large_over: int, groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Large lengths, longest first, in groups of equal cardinality: (rounded size, [(length, count)])."""
-    large = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if n > large_over]
+def linear_groups(histogram: dict[int, int], large_over: int, groups: int, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Large lengths, longest first, in groups of equal cardinality: (rounded size, [(length, count)]).
+
+    Lengths of the whole capacity fill a sequence alone and stand outside the groups.
+    """
+    large = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if large_over < n < capacity]
     each = max(1, -(-sum(c for _, c in large) // groups))
     out: list[tuple[int, list[tuple[int, int]]]] = []
     room = 0
@@ -60,49 +65,73 @@ def linear_groups(histogram: dict[int, int], large_over: int, groups: int) -> li
     return out
 
 
-def _fullest(sizes: list[int], capacity: int, limits: list[int]) -> list[int]:
-    """Multiset of group numbers whose sizes add up highest within the capacity (bounded knapsack).
+def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The set of at most three sizes of the highest worth within the capacity: its worth, and its members.
 
-    Bit s of ``reach[k]`` says that a sum s can be formed of the sizes from k on.
+    Sizes descend and are over a quarter of the capacity, so no more than three fit. Of every pair the best third
+    is looked up by the room that is left.
     """
-    mask = (1 << capacity + 1) - 1
-    reach = [1]
-    for size, limit in zip(reversed(sizes), reversed(limits), strict=True):
-        now = before = reach[-1]
-        for _ in range(min(limit, capacity // size)):
-            before = before << size & mask
-            now |= before
-        reach.append(now)
-    reach.reverse()
-    rest, chosen = reach[0].bit_length() - 1, []
-    for k, size in enumerate(sizes):
-        for _ in range(limits[k]):
-            if reach[k + 1] >> rest & 1 or size > rest:
-                break
-            chosen.append(k)
-            rest -= size
-    return chosen
+    best = np.zeros(capacity + 1)  # worth of the best single size within a room
+    which = np.full(capacity + 1, -1)
+    for k in np.argsort(worth, kind="stable").tolist():
+        best[sizes[k] :], which[sizes[k] :] = np.maximum(best[sizes[k] :], worth[k]), np.where(worth[k] > best[sizes[k] :], k, which[sizes[k] :])
+    room = capacity - sizes[:, None] - sizes[None, :]
+    pairs = np.where(room >= 0, worth[:, None] + worth[None, :] + best[np.maximum(room, 0)], -1.0)
+    single = worth + best[capacity - sizes]
+    i, j = divmod(int(pairs.argmax()), len(sizes))
+    if pairs[i, j] >= single.max():
+        return float(pairs[i, j]), [i, j, *([t] if (t := int(which[room[i, j]])) >= 0 else [])]
+    i = int(single.argmax())
+    return float(single[i]), [i, *([t] if (t := int(which[capacity - sizes[i]])) >= 0 else [])]
+
+
+def _solved(basis: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverse of a basis, the worth of each size in sequences, and how often each column is used."""
+    inverse = np.linalg.inv(basis)
+    return inverse, inverse.sum(axis=0), np.maximum(inverse @ demand, 0)
 
 
 def configure(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Configurations of the rounded sizes with multiplicities: the largest open size leads, the fullest completion follows."""
-    open_ = list(counts)
-    out: list[tuple[int, list[int]]] = []
-    for lead in range(len(sizes)):
-        while open_[lead]:
-            open_[lead] -= 1
-            chosen = [lead, *_fullest(sizes[lead:], capacity - sizes[lead], open_[lead:])] if sizes[lead] < capacity else [lead]
-            chosen = [lead, *(lead + k for k in chosen[1:])]
-            open_[lead] += 1
-            times = min(open_[k] // chosen.count(k) for k in set(chosen))
-            for k in chosen:
-                open_[k] -= times
-            out.append((times, chosen))
+    """Configurations of the rounded sizes with multiplicities, from the linear programme of fewest sequences.
+
+    Columns are generated: each round prices the sizes by the present basis and adds the multiset of the
+    highest worth, until none is worth more than the sequence that it takes. Multiplicities are rounded down;
+    what this leaves, less than one sequence for each configuration of the basis, is not configured.
+    """
+    if not sizes:
+        return []
+    demand, of = np.array(counts, dtype=float), np.array(sizes)
+    basis = np.diag([float(capacity // n) for n in sizes])
+    inverse, worth, amounts = _solved(basis, demand)
+    for number in range(1, _COLUMNS * len(sizes) + 1):
+        value, members = _best_column(of, worth, capacity)
+        if value <= 1 + 1e-7:
+            break
+        change = sum(inverse[:, k] for k in members)
+        ratio = np.where(change > 1e-9, amounts / np.where(change > 1e-9, change, 1), np.inf)
+        leaves = int(ratio.argmin())
+        basis[:, leaves] = np.bincount(members, minlength=len(sizes))
+        if number % 256:  # one column of the basis changes, and its inverse by a product with one row
+            row = inverse[leaves] / change[leaves]
+            worth = worth + (1 - worth[members].sum()) * row
+            inverse -= np.outer(change, row)
+            inverse[leaves] = row
+            step = amounts[leaves] / change[leaves]
+            amounts = amounts - step * change
+            amounts[leaves] = step
+            np.maximum(amounts, 0, out=amounts)
+        else:  # anew, before errors add up
+            inverse, worth, amounts = _solved(basis, demand)
+    amounts = np.maximum(np.linalg.solve(basis, demand), 0)
+    out = []
+    for j in np.lexsort((np.arange(len(sizes)), -amounts)).tolist():
+        if (times := int(amounts[j] + 1e-6)) > 0:
+            out.append((times, [k for k, n in enumerate(basis[:, j].astype(int).tolist()) for _ in range(n)]))
     return out
 
 
-def substitute(configurations: list[tuple[int, list[int]]], groups: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> list[Run]:
-    """Actual lengths for rounded ones, cutting runs where a group passes on to its next length."""
+def substitute(configurations: list[tuple[int, list[int]]], groups: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> tuple[list[Run], dict[int, int]]:
+    """Actual lengths for rounded ones, cutting runs where a group passes on to its next length; and what is left of the groups."""
     stock = [[list(x) for x in reversed(members)] for _, members in groups]
     out: list[Run] = []
     for times, chosen in configurations:
@@ -128,7 +157,10 @@ def substitute(configurations: list[tuple[int, list[int]]], groups: list[tuple[i
                             stock[k].pop()
             out.append(Run(step, lengths, capacity - sum(lengths)))
             times -= step
-    return out
+    left: dict[int, int] = {}
+    for length, count in (x for members in stock for x in members):
+        left[length] = left.get(length, 0) + count
+    return out, left
 
 
 def best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run]:
@@ -164,17 +196,19 @@ def best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run]
     return [r for room in by_room.values() for r in room if r.lengths]
 
 
-def plan(histogram: dict[int, int], capacity: int, large_over: int, groups: int) -> list[Run]:
-    """One packing: group, configure, substitute, then best-fit what is small."""
-    grouped = linear_groups(histogram, large_over, groups)
-    configurations = configure([s for s, _ in grouped], [sum(c for _, c in m) for _, m in grouped], capacity)
-    return best_fit(substitute(configurations, grouped, capacity), {n: c for n, c in histogram.items() if 0 < n <= large_over}, capacity)
+def pack_histogram(histogram: dict[int, int], capacity: int, large_over: float = LARGE_OVER, groups: int = GROUPS) -> list[Run]:
+    """Pack lengths given as counts; returns runs of equal sequences that hold every piece once.
 
-
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Run]:
-    """Pack lengths given as counts; returns runs of equal sequences that hold every piece once."""
-    plans = (plan(histogram, capacity, int(capacity * share), groups) for share in LARGE_OVER for groups in GROUPS)
-    return min(plans, key=lambda runs: sum(r.count for r in runs))
+    Large lengths are grouped, configured and substituted; the small ones, and the few large ones that whole
+    multiplicities leave, go best-fit into what room there is.
+    """
+    bound = int(capacity * large_over)
+    grouped = linear_groups(histogram, bound, groups, capacity)
+    configurations = configure([size for size, _ in grouped], [sum(c for _, c in members) for _, members in grouped], capacity)
+    runs, left = substitute(configurations, grouped, capacity)
+    if histogram.get(capacity):
+        runs.append(Run(histogram[capacity], [capacity], 0))
+    return best_fit(runs, {n: c for n, c in histogram.items() if 0 < n <= bound} | left, capacity)
 
 
 def slot_table(runs: list[Run]) -> dict[int, np.ndarray]:
