@@ -307,8 +307,50 @@ def test_contained_items(spark, docs, pairs, empty):
     kept = decontaminate.drop_contaminated(frame, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5] and kept.columns == frame.columns
     assert not decontaminate.contained_items(empty, bench).count() and not decontaminate.contained_items(docs, bench.limit(0)).count()
-    many = decontaminate.item_blocks(bench, 0.8, block_shingles=1)
-    assert sum(len(x.items) for x in many) == 2
+
+
+def test_contained_items_by_join_equal_the_broadcast(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 30)}"
+    items = [" ".join(word() for _ in range(r.choice([1, 2, 4, 9, 30, 60, 150]))) for _ in range(30)] + [None, "...", "w1 w2"]
+    items += [items[5]]
+    texts = []
+    for _ in range(60):
+        pieces = [" ".join(word() for _ in range(r.randint(0, 40)))]
+        for x in r.sample(items, 2):
+            w = (x or "").split()
+            for _ in range(len(w) // 40):
+                w[r.randrange(len(w))] = "other"
+            pieces.append(" ".join(w))
+        texts.append(" ".join(pieces))
+    pairs = [*enumerate(texts), (None, items[7]), (None, items[7]), (3, texts[3]), (90, None), (91, "")]
+    frame = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)) + [(None, items[9])], "item_id long, text string")
+
+    def brute():
+        for i, t in pairs:
+            tokens = decontaminate.words(t)
+            for j, x in [*enumerate(items), (None, items[9])]:
+                w = decontaminate.words(x)
+                n = min(5, len(w))
+                own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+                both = len(own & {tuple(tokens[k : k + n]) for k in range(len(tokens) - n + 1)})
+                if own and both >= 0.8 * len(own) - 1e-9:
+                    yield i, j, both, len(own)
+
+    want = sorted(brute(), key=str)
+    for block in (10, 1_000_000):
+        got = decontaminate.contained_items(frame, bench, block_shingles=block).collect()
+        assert sorted(((x["doc_id"], x["item_id"], x["n_shared"], x["n_shingles"]) for x in got), key=str) == want
+        kept = decontaminate.drop_contaminated(frame, bench, block_shingles=block)
+        hit = {str(i) for i, *_ in want}
+        assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(i) for i, _ in pairs if str(i) not in hit) and kept.columns == frame.columns
+    assert len(want) > 40
+
+
+def test_sketches_ask_for_no_more_than_the_threshold_shows():
+    assert [decontaminate.least_shown(n, 0.8) for n in (1, 4, 5, 32)] == [1, 4, 4, 26] and 1 < decontaminate.least_shown(33, 0.8) < 26
+    assert [decontaminate.partition_of(n) for n in (1, 2, 3, 4, 5, 9)] == [0, 1, 2, 2, 3, 4]
 
 
 def test_warc_round_trip(spark):
