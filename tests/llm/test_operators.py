@@ -77,6 +77,30 @@ def test_token_counts(docs, pairs, empty):
     got = sorted(map(tuple, transducer.token_counts(docs, path, 50).collect()), key=str)
     want = sorted(((i, len((t or "").encode()), n := len(ids_of(t, path, [])), n > 50) for i, t in pairs), key=str)
     assert got == want and not transducer.token_counts(empty, path).count()
+    for chunk_chars in (13, 200):  # long texts by chunks in tasks of their own
+        assert sorted(map(tuple, transducer.token_counts(docs, path, 50, chunk_chars).collect()), key=str) == want
+
+
+def test_chunk_maps_compose_from_any_state():
+    of = transducer.counter(tokenizer_file("word_bpe_49k.json"))
+    r = random.Random(8)
+    parts = ["walnut", "'s", "'", "'re", "'rx", "don't", "-'s", "12", "é", "²x", ". ", " ", "\n", "''ll", "'l", "ab" * 50, "?!"]
+    for _ in range(150):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want = len(ids_of(text, tokenizer_file("word_bpe_49k.json"), []))
+        assert of.chunkable(text) and of.pieces(text) == want
+        state, n = of.text.run(transducer.State(), text)
+        assert n + of.text.end(state) == want
+        cuts = sorted({0, len(text), *(r.randrange(len(text) + 1) for _ in range(4))})
+        chunks = [of.chunk_map(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        total, reached = of.total(chunks)
+        assert total == want and reached == sorted(reached) and len(reached) == len(chunks)
+        left, right = of.chunk_map(text[: cuts[1]]), of.chunk_map(text[cuts[1] :])
+        for before in ("", "wal", "x'", "x'r", "-", "1"):
+            start, _ = of.text.run(transducer.State(), before)
+            middle, one = of.apply(left, start)
+            end, two = of.apply(right, middle)
+            assert of.apply(of.compose(left, right), start) == (end, one + two)
 
 
 def test_wavelet_matrix_queries():

@@ -4,10 +4,13 @@ A BPE segmentation is valid exactly where each pair of neighbouring tokens is, b
 merges make of the two. That makes segmentation a nondeterministic transducer over (last token, place
 in the token trie) with one accepting path per word. It is determinised lazily: a state is the set of
 live paths, each with the tokens it is ahead of the set's minimum, and a transition emits by how much
-that minimum rises. Rows of a text are independent of what stands before a white space, so a chunk's
-state map is its text up to the first white space (which depends on the state before), a count, and
-the text after the last one; such maps compose associatively and long texts are joined by a prefix
-scan over their chunks.
+that minimum rises. Around it stands the transducer of a text: it cuts words as the library does and has a
+state after every character.
+
+A long text is cut into chunks, whose rows are spread over tasks. Each gives its state map: from the state
+before the chunk to the state after it and the tokens emitted on the way. All states meet at the first white
+space or digit, so a map is the run over what stands before that, and a constant after it. The maps of a text,
+a few bytes each, are composed by a prefix scan.
 
 Defined cases: null and empty texts count 0; repeated rows and null doc_ids are kept as they are; an
 empty table gives no rows. Columns other than doc_id and text are not read.
@@ -16,6 +19,7 @@ empty table gives no rows. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import json
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,15 +28,25 @@ from typing import NamedTuple, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batched, rows
 from .token_cache import _CONTRACTED, _PLAIN, byte_alphabet
 
 T = TypeVar("T")
-#: Characters of a chunk; its boundaries may fall anywhere.
+#: Characters of a chunk; its boundaries may fall anywhere. Longer texts are counted by chunks.
 CHUNK_CHARS = 1 << 16
+# Endings that are words of their own after a quote, in lower case.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_QUOTED = frozenset("'" + e for e in _ENDINGS)
+_QUOTED_STARTS = frozenset("'" + e[:1] for e in _ENDINGS if len(e) > 1)
+_DIGIT = re.compile(r"[0-9\xb2\xb3\xb9\xbc-\xbe]")
+_LETTER = re.compile(r"[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž]")
+_MEETING = re.compile(r"[\s0-9\xb2\xb3\xb9\xbc-\xbe]")
 #: Entries after which a worker's lazily built tables start afresh (a memory bound only).
 TABLE_ENTRIES = 1_000_000
+#: Longest piece that is remembered whole.
+_PIECE_CHARS = 64
 
 
 class BpeTransducer:
@@ -93,6 +107,27 @@ class BpeTransducer:
             known = self.pairs[key] = self.merge(list(chain.from_iterable(map(self._symbols, alone)))) == alone
         return known
 
+    def numbered(self, entries: tuple) -> int:
+        """The number of a set of live paths."""
+        if (number := self.number.get(entries)) is None:
+            number = self.number[entries] = len(self.states)
+            self.states.append(entries)
+        return number
+
+    def advance(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after a byte that ends no word, and the tokens emitted."""
+        key = state << 8 | byte
+        if (moved := self.step.get(key)) is None:
+            moved = self.step[key] = self._advance(state, byte)
+        return moved
+
+    def finish(self, state: int, byte: int) -> int:
+        """The tokens that are left when a byte ends the word."""
+        key = state << 8 | byte
+        if (rest := self.last.get(key)) is None:
+            rest = self.last[key] = self._finish(state, byte)
+        return rest
+
     def _advance(self, state: int, byte: int) -> tuple[int, int]:
         live, new = [], None
         for last, node, ahead in self.states[state]:
@@ -109,11 +144,7 @@ class BpeTransducer:
         if not live:
             raise ValueError("the vocabulary does not cover this byte")
         least = min(x[2] for x in live)
-        entries = tuple((last, node, ahead - least) for last, node, ahead in live)
-        if (to := self.number.get(entries)) is None:
-            to = self.number[entries] = len(self.states)
-            self.states.append(entries)
-        return to, least
+        return self.numbered(tuple((last, node, ahead - least) for last, node, ahead in live)), least
 
     def _finish(self, state: int, byte: int) -> int:
         for last, node, ahead in self.states[state]:
@@ -143,16 +174,84 @@ class BpeTransducer:
         return total + rest
 
 
+class State(NamedTuple):
+    """Where the transducer of a text stands inside a piece.
+
+    ``kind`` of the open word: none, letters or other signs; ``paths``: its live segmentations up to the byte
+    ``held`` back, as only the end of a word shows which byte is its last; ``quote``: a quote that may yet open
+    an ending, with what came after it.
+    """
+
+    kind: str = ""
+    paths: tuple = ((None, 0, 0),)
+    held: int = -1
+    quote: str = ""
+
+
+class TextTransducer:
+    """Runs over text in lower case from any state; white space ends what is open."""
+
+    def __init__(self, machine: BpeTransducer):
+        self.machine = machine
+
+    def _push(self, state: State, data: bytes) -> tuple[State, int]:
+        number, held, emitted = self.machine.numbered(state.paths), state.held, 0
+        for byte in data:
+            if held >= 0:
+                number, more = self.machine.advance(number, held)
+                emitted += more
+            held = byte
+        return State(state.kind, self.machine.states[number], held), emitted
+
+    def end(self, state: State) -> int:
+        """Tokens of what is open in a state where nothing follows."""
+        if state.quote:
+            return self.machine.count(b"'") + (self.machine.count(state.quote[1:].encode()) if state.quote[1:] else 0)
+        return self.machine.finish(self.machine.numbered(state.paths), state.held) if state.held >= 0 else 0
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after a text, and the tokens emitted on the way."""
+        total, queue = 0, list(reversed(text))
+        while queue:
+            c = queue.pop()
+            if state.quote:
+                if state.quote + c in _QUOTED:
+                    total += self.machine.count((state.quote + c).encode())
+                    state = State()
+                    continue
+                if state.quote + c in _QUOTED_STARTS:
+                    state = state._replace(quote=state.quote + c)
+                    continue
+                queue += [c, *reversed(state.quote[1:])]  # no ending: the quote is a sign like others
+                state, more = self._push(State("other"), b"'")
+            elif c.isspace() or _DIGIT.match(c):
+                more = self.end(state) + (0 if c.isspace() else self.machine.count(c.encode()))
+                state = State()
+            else:
+                kind, more = ("letters" if _LETTER.match(c) else "other"), 0
+                if kind != state.kind:
+                    more, state = self.end(state), State(kind)
+                    if c == "'":
+                        total += more
+                        state = State(quote="'")
+                        continue
+                state, emitted = self._push(state, c.encode())
+                more += emitted
+            total += more
+        return state, total
+
+
 class ChunkMap(NamedTuple):
-    """How a chunk takes the state before it to a count and the state after it.
+    """From the state before a chunk to the state after it and the tokens between.
 
-    ``head`` continues the piece before the chunk; ``tail`` is the piece still open at its end, or
-    None where the chunk holds no white space and everything is head.
+    ``head`` is what stands before the first place where all states meet. Where there is one (``met``), the
+    rest of the chunk emits ``count`` tokens from there and ends in ``state``, whatever the state before.
     """
 
     head: str
+    met: bool
     count: int
-    tail: str | None
+    state: State
 
 
 def prefix_scan(items: list[T], compose: Callable[[T, T], T]) -> list[T]:
@@ -183,10 +282,14 @@ class TokenCounter:
         self.plain = bool(self.machine.suffix)
         specials = [x["content"] for x in spec["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.text = TextTransducer(self.machine)
         self.memo: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
-        """Tokens of one white-space-delimited piece in lower case."""
+        """Tokens of one white-space-delimited piece in lower case; those of usual length are remembered as one step."""
+        if len(piece) > _PIECE_CHARS:
+            state, count = self.text.run(State(), piece)
+            return count + self.text.end(state)
         found = self.memo.get(piece)
         if found is None:
             if len(self.memo) > TABLE_ENTRIES:
@@ -194,35 +297,60 @@ class TokenCounter:
             found = self.memo[piece] = sum(self.machine.count(w.encode()) for w in _CONTRACTED.findall(piece))
         return found
 
+    def chunkable(self, text: str) -> bool:
+        """Whether the transducer's classes are the library's for all of a text."""
+        return self.plain and bool(_PLAIN.fullmatch(text)) and not (self.specials and self.specials.search(text))
+
+    def pieces(self, text: str) -> int:
+        """Tokens of a stretch in lower case that starts and ends at white space; known pieces are one step each."""
+        found = text.split()
+        known = list(map(self.memo.get, found))
+        return sum(known) if None not in known else sum(self.piece(p) if n is None else n for p, n in zip(found, known, strict=True))
+
     def chunk_map(self, chunk: str) -> ChunkMap:
         """The state map of a chunk in lower case."""
-        pieces = chunk.split()
-        if len(pieces) == 1 and pieces[0] == chunk or not chunk:
-            return ChunkMap(chunk, 0, None)
-        head = "" if chunk[0].isspace() else pieces.pop(0)
-        tail = "" if chunk[-1].isspace() else pieces.pop()
-        known = list(map(self.memo.get, pieces))
-        if None in known:
-            known = [self.piece(p) if n is None else n for p, n in zip(pieces, known, strict=True)]
-        return ChunkMap(head, sum(known), tail)
+        first = _MEETING.search(chunk)
+        if first is None:
+            return ChunkMap(chunk, False, 0, State())
+        at = first.start()
+        space = next((i for i in range(at, len(chunk)) if chunk[i].isspace()), len(chunk))
+        state, count = self.text.run(State(), chunk[at:space])  # from a digit on
+        if space < len(chunk):
+            last = len(chunk) - 1
+            while not chunk[last].isspace():
+                last -= 1
+            count += self.text.end(state) + self.pieces(chunk[space:last])
+            state, more = self.text.run(State(), chunk[last:])
+            count += more
+        return ChunkMap(chunk[:at], True, count, state)
+
+    def apply(self, chunk: ChunkMap, state: State) -> tuple[State, int]:
+        """The state after a chunk and its tokens, from the state before it."""
+        after, count = self.text.run(state, chunk.head)
+        return (chunk.state, count + self.text.end(after) + chunk.count) if chunk.met else (after, count)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two chunks in a row."""
-        if b.tail is None:
-            return ChunkMap(a.head + b.head, 0, None) if a.tail is None else ChunkMap(a.head, a.count, a.tail + b.head)
-        if a.tail is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        return ChunkMap(a.head, a.count + self.piece(a.tail + b.head) + b.count, b.tail)
+        if not a.met:
+            return b._replace(head=a.head + b.head)
+        state, count = self.apply(b, a.state)
+        return ChunkMap(a.head, True, a.count + count, state)
+
+    def total(self, chunks: list[ChunkMap]) -> tuple[int, list[int]]:
+        """Tokens of a text given by its chunks' maps, and how many are complete after each chunk."""
+        reached = [self.apply(m, State()) for m in prefix_scan(chunks, self.compose)]
+        state, count = reached[-1]
+        return count + self.text.end(state), [c for _, c in reached]
 
     def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
         """Tokens of one text (null: none)."""
         if not text:
             return 0
-        if self.plain and _PLAIN.fullmatch(text) and not (self.specials and self.specials.search(text)):
+        if self.chunkable(text):
             text = text.lower()
-            chunks = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
-            whole = prefix_scan(chunks, self.compose)[-1]
-            return self.piece(whole.head) + whole.count + self.piece(whole.tail or "")
+            if len(text) <= chunk_chars:
+                return self.pieces(text)
+            return self.total([self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)])[0]
         if not self.specials:
             return self._general(text)
         parts = self.specials.split(text)
@@ -245,10 +373,19 @@ def counter(path: str) -> TokenCounter:
 
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+_COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+_CHUNKS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("i", pa.int32()), ("whole", pa.bool_()), ("chunk", pa.string())])
+_MAPS = pa.schema([*list(_CHUNKS)[:4], ("map", pa.binary())])
+
 
+def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and whether they exceed ``limit``.
 
-def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and whether they exceed ``limit``; one pass, no shuffle."""
+    Texts of up to ``chunk_chars`` characters are counted where they are read. Longer ones are cut into chunks
+    that go to tasks of their own; only these texts are shuffled, and then one map for each chunk.
+    """
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+    some = documents.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(tokenizer_path).count
@@ -256,9 +393,52 @@ def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = 2048) -
         def items() -> Iterator[tuple]:
             for batch in batches:
                 for doc, text in rows(batch, "doc_id", "text"):
-                    n = tokens(text)
+                    n = tokens(text, chunk_chars)
                     yield doc, len((text or "").encode()), n, n > limit
 
         yield from batched(_COUNTS, items())
 
-    return documents.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunkable = counter(tokenizer_path).chunkable
+
+        def items() -> Iterator[tuple]:
+            for batch in batches:
+                for row, doc, text in rows(batch, "row", "doc_id", "text"):
+                    n_bytes = len(text.encode())
+                    if not chunkable(text):
+                        yield row, doc, n_bytes, 0, True, text
+                        continue
+                    low = text.lower()
+                    for i, at in enumerate(range(0, len(low), chunk_chars)):
+                        yield row, doc, n_bytes, i, False, low[at : at + chunk_chars]
+
+        yield from batched(_CHUNKS, items(), 16)
+
+    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = counter(tokenizer_path)
+
+        def items() -> Iterator[tuple]:
+            for batch in batches:
+                for row, doc, n_bytes, i, whole, chunk in rows(batch, "row", "doc_id", "n_bytes", "i", "whole", "chunk"):
+                    made = ChunkMap("", True, of.count(chunk), State()) if whole else of.chunk_map(chunk)
+                    yield row, doc, n_bytes, i, pickle.dumps(made)
+
+        yield from batched(_MAPS, items(), 1000)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = counter(tokenizer_path).total
+
+        def items() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, n_bytes, maps in rows(batch, "doc_id", "n_bytes", "maps"):
+                    n, _ = total([pickle.loads(m["map"]) for m in maps])
+                    yield doc, n_bytes, n, n > limit
+
+        yield from batched(_COUNTS, items(), 1000)
+
+    short = some.where(length <= chunk_chars).mapInArrow(count, _COUNTS_DDL)
+    long = some.where(length > chunk_chars).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    chunks = long.mapInArrow(cut_up, "row long, doc_id long, n_bytes long, i int, whole boolean, chunk string").repartition("row", "i")
+    maps = chunks.mapInArrow(map_chunks, "row long, doc_id long, n_bytes long, i int, map binary")
+    gathered = maps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
+    return short.unionByName(gathered.mapInArrow(scan, _COUNTS_DDL))
