@@ -114,6 +114,8 @@ def test_wavelet_matrix_queries():
             assert m.rank(int(ids[p]), p) == int((ids[:p] == ids[p]).sum())
             assert m.select(int(ids[p]), m.rank(int(ids[p]), p)) == p
         assert m.select(51, 0) == -1 and m.rank(63, n) == 0
+        every = np.arange(n + 1)
+        assert m.access_at(every[:-1]).tolist() == ids.tolist() and all(m.rank_at(k, every).tolist() == [0, *np.cumsum(ids == k).tolist()] for k in (0, 7, 49, 63))
 
 
 def test_token_shards(docs, pairs, empty, with_null_id):
@@ -122,7 +124,7 @@ def test_token_shards(docs, pairs, empty, with_null_id):
     at, want = 0, []
     for i, t in sorted(pairs, key=lambda p: (p[0], p[1] or "")):
         ids = ids_of(t, path, [1])
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(1)))
         at += len(ids)
     assert [tuple(r) for r in got] == want
     assert not wavelet.wavelet_digest(empty, path, 1).count()
@@ -133,6 +135,7 @@ def test_shard_file_round_trip():
     ids = np.arange(1000, dtype="<u2") % 77
     docs, lengths, m = wavelet.open_shard(wavelet.pack_shard([None, 5], [400, 600], ids, 7))
     assert docs == [None, 5] and lengths.tolist() == [400, 600] and m.all_ids("<u2").tolist() == ids.tolist()
+    assert [r.tolist() for r in m.ranks] == [m.directory(p).tolist() for p in m.planes] and m.rank(5, 1000) == 13
     with pytest.raises(ValueError):
         wavelet.open_shard(b"x" * 40)
 

@@ -3,8 +3,10 @@
 A shard holds the ids of consecutive documents as bit planes, most significant bit first. Each plane
 stably moves the zeros of its bit before the ones, so a token is read by following one bit per plane
 (`access`), its occurrences before a position are counted by two ranks per plane (`rank`), and its
-n-th occurrence is found by walking the planes upwards (`select`). Planes and document lengths are
-compressed one by one, and a directory of ranks lets each query touch a few words of a plane.
+n-th occurrence is found by walking the planes upwards (`select`). A shard is one file of one cell, whose
+parts are compressed one by one: documents, planes, and for each plane a directory of the ones before every
+512th bit, so that a query touches a few words of a plane. Reading back, all ids of a shard are accessed at
+once; the directories then place every document's end and count its end ids.
 
 Defined cases: a null text is an empty document; an empty document holds the end id alone; an empty
 table gives no shard and no rows; repeated doc_ids stay separate documents, ordered by text; null
@@ -27,18 +29,25 @@ from pyspark.sql import functions as F
 from .common import batched, cut, delete_path, fresh_path, rows
 from .token_cache import encoder
 
-MAGIC = b"WVMX1\0\0\0"
-#: Ids of a shard, so that its planes stay in a processor's cache; a longer document makes a longer shard.
-SHARD_TOKENS = 500_000
-_RANK_STEP = 4096  # bits between entries of the rank directory
+MAGIC = b"WVMX2\0\0\0"
+#: Ids of a shard; a longer document makes a longer shard.
+SHARD_TOKENS = 2_000_000
+_RANK_STEP = 512  # bits between entries of the rank directory
+_AT_ONCE = 10_000  # positions whose ranks are taken at once
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of ids, with rank and select."""
 
-    def __init__(self, planes: list[np.ndarray], n: int, zeros: list[int]):
+    def __init__(self, planes: list[np.ndarray], n: int, zeros: list[int], ranks: list[np.ndarray] | None = None):
         self.planes, self.n, self.zeros = planes, n, zeros
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
+        self.ranks = ranks if ranks is not None else [self.directory(p) for p in planes]
+
+    @staticmethod
+    def directory(plane: np.ndarray) -> np.ndarray:
+        """Ones before every _RANK_STEP-th bit of a plane."""
+        counts = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), _RANK_STEP // 8), dtype=np.uint32) if len(plane) else np.empty(0, np.uint32)
+        return np.concatenate([[0], np.cumsum(counts)]).astype("<u4")
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -70,14 +79,36 @@ class WaveletMatrix:
     def _ones(self, level: int, position: int) -> int:
         """Ones of a plane before a position: directory entry plus a short popcount."""
         plane = self.planes[level]
-        if self._ranks[level] is None:
-            step = _RANK_STEP // 8
-            counts = np.add.reduceat(np.bitwise_count(plane), np.arange(0, max(1, len(plane)), step)) if len(plane) else np.zeros(1)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         block, byte, bit = position // _RANK_STEP, position // 8, position % 8
-        total = int(self._ranks[level][block]) + int(np.bitwise_count(plane[block * _RANK_STEP // 8 : byte]).sum())
+        total = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block * _RANK_STEP // 8 : byte]).sum())
         return total + (int(plane[byte] >> (8 - bit)).bit_count() if bit else 0)
 
+    def _ones_at(self, level: int, positions: np.ndarray) -> np.ndarray:
+        """The same for many positions."""
+        plane = np.concatenate([self.planes[level], np.zeros(1, np.uint8)])  # a position may be the end
+        block, byte = positions // _RANK_STEP, positions // 8
+        at = (block * (_RANK_STEP // 8))[:, None] + np.arange(_RANK_STEP // 8)
+        before = np.bitwise_count(plane[np.minimum(at, len(plane) - 1)]) * (at < byte[:, None])
+        return self.ranks[level][block].astype(np.int64) + before.sum(axis=1, dtype=np.int64) + np.bitwise_count(plane[byte] >> (8 - positions % 8).astype(np.uint8))
+
+    def access_at(self, positions: np.ndarray) -> np.ndarray:
+        """The tokens at many positions."""
+        values = np.zeros(len(positions), np.int64)
+        for level, z in enumerate(self.zeros):
+            bits = self.planes[level][positions // 8] >> (7 - positions % 8).astype(np.uint8) & 1
+            ones = self._ones_at(level, positions)
+            positions = np.where(bits, z + ones, positions - ones)
+            values = values << 1 | bits
+        return values
+
+    def rank_at(self, token: int, positions: np.ndarray) -> np.ndarray:
+        """Occurrences of a token before many positions."""
+        start = np.zeros(1, np.int64)
+        for level, z in enumerate(self.zeros):
+            a, b = self._ones_at(level, start), self._ones_at(level, positions)
+            start, positions = (z + a, z + b) if token >> (len(self.zeros) - 1 - level) & 1 else (start - a, positions - b)
+        return positions - start
+
     def access(self, position: int) -> int:
         """The token at a position."""
         if not 0 <= position < self.n:
@@ -131,12 +162,12 @@ class WaveletMatrix:
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-    """One shard file: header, document table, planes; every part is compressed by itself."""
+    """One shard file: header, document table, planes, rank directories; every part is compressed by itself."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     matrix = WaveletMatrix.build(ids, bits)
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     parts = [squeeze(np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes()), squeeze(known.tobytes()), squeeze(np.array(lengths, dtype="<u8").tobytes())]
-    parts += [squeeze(p.tobytes()) for p in matrix.planes]
+    parts += [squeeze(p.tobytes()) for p in (*matrix.planes, *matrix.ranks)]
     head = struct.pack("<QQQ", len(doc_ids), len(ids), bits) + np.array(matrix.zeros, dtype="<u8").tobytes()
     return MAGIC + head + np.array([len(p) for p in parts], dtype="<u8").tobytes() + b"".join(parts)
 
@@ -147,8 +178,8 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
         raise ValueError("not a shard of this format")
     docs, n, bits = struct.unpack_from("<QQQ", data, 8)
     zeros = np.frombuffer(data, "<u8", bits, 32).tolist()
-    sizes = np.frombuffer(data, "<u8", bits + 3, 32 + 8 * bits).tolist()
-    at, parts = 32 + 8 * bits + 8 * (bits + 3), []
+    sizes = np.frombuffer(data, "<u8", 2 * bits + 3, 32 + 8 * bits).tolist()
+    at, parts = 32 + 8 * bits + 8 * (2 * bits + 3), []
     for s in sizes:
         parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + s], max_output_size=1 << 40) if s else b"")
         at += s
@@ -156,11 +187,11 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     ids = [i if k else None for i, k in zip(np.frombuffer(parts[0], "<i8").tolist(), known.tolist(), strict=True)]
     if len(ids) != docs:
         raise ValueError("document table is cut short")
-    return ids, np.frombuffer(parts[2], "<u8"), WaveletMatrix([np.frombuffer(p, np.uint8) for p in parts[3:]], n, zeros)
+    return ids, np.frombuffer(parts[2], "<u8"), WaveletMatrix([np.frombuffer(p, np.uint8) for p in parts[3 : 3 + bits]], n, zeros, [np.frombuffer(p, "<u4") for p in parts[3 + bits :]])
 
 
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("shard", pa.int32())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_end_ids", pa.int64()), ("part", pa.int32()), ("shard", pa.int32())])
 
 
 def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -202,11 +233,13 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "part int, shard int, n_docs long, n_ids long, data binary").write.parquet(path)
+    ordered.mapInArrow(encode, "part int, shard int, n_docs long, n_ids long, data binary").write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
+
 
+def read_shards(shards: DataFrame, end_id: int) -> DataFrame:
+    """Each document's place, digest and number of end ids, read back out of the shard files.
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Each document's place and digest, read back out of the shard files.
+    A document that does not end in the end id raises ValueError.
 
     A shard's first position follows from the totals of the parts before it (one row per part) and of
     the shards before it in its own part.
@@ -226,16 +259,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     docs, lengths, matrix = open_shard(data)
                     kind = "<u2" if len(matrix.planes) <= 16 else "<u4"
                     raw = memoryview(matrix.all_ids(kind).astype("<u4").tobytes())
-                    at = 0
-                    for doc, n in zip(docs, lengths.tolist(), strict=True):
-                        yield doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), part, shard
-                        at += n
+                    edges = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+                    if (matrix.access_at(edges[1:] - 1) != end_id).any():
+                        raise ValueError("a document does not end where its table says")
+                    ends = np.diff(np.concatenate([matrix.rank_at(end_id, edges[i : i + _AT_ONCE]) for i in range(0, len(edges), _AT_ONCE)]))
+                    for doc, at, n, found in zip(docs, edges.tolist(), lengths.tolist(), ends.tolist(), strict=False):
+                        yield doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), found, part, shard
 
         yield from batched(_DIGESTS, items())
 
-    found = shards.select("part", "shard", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int")
+    found = shards.select("part", "shard", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long, part int, shard int")
     placed = found.join(starts, ["part", "shard"])
-    return placed.select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids")
 
 
 def wavelet_digest(documents: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -243,6 +278,6 @@ def wavelet_digest(documents: DataFrame, tokenizer_path: str, end_id: int) -> Da
     spark = documents.sparkSession
     path = fresh_path(spark, "wavelet")
     write_shards(documents, path, tokenizer_path, end_id)
-    out = cut(read_shards(spark.read.schema("part int, shard int, n_docs long, n_ids long, data binary").parquet(path)))
+    out = cut(read_shards(spark.read.schema("part int, shard int, n_docs long, n_ids long, data binary").parquet(path), end_id))
     delete_path(spark, path)
     return out
