@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -265,9 +266,30 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
 
 
-def test_native_fingerprints(docs, spark, empty, monkeypatch):
+def native_print(text):
+    """The same votes in plain Python: Spark's hash of several columns chains their seeds."""
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if x]
+    hashes = []
+    for k in range(max(len(w) - 2, min(len(w), 1))):
+        h = 42
+        for x in w[k : k + 3] if len(w) > 2 else [" ".join(w)]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        hashes.append(h)
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hashes) * 2 > len(hashes))
+
+
+def like(a, b):
+    d = (a ^ b).bit_count()
+    return 1.0 if not d else max(0.0, math.cos(math.pi / 64 * d))
+
+
+@pytest.mark.parametrize(("bucket_rows", "groups"), [(7, 256), (3, 4), (1000, 256)])
+def test_native_fingerprints(docs, spark, empty, monkeypatch, bucket_rows, groups):
     pairs = [(i, t) for i, t in corpus(n=40)[:-2]]
-    monkeypatch.setattr(simhash_native, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(simhash_native, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(simhash_native, "GROUPS", groups)
     frame = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(3)
     got = {r["doc_id"]: r for r in simhash_native.fingerprint_report(frame, every=5).collect()}
     order = sorted(pairs)
@@ -277,12 +299,20 @@ def test_native_fingerprints(docs, spark, empty, monkeypatch):
         q = len(t) // 4
         edited = t[: len(t) - q] + nxt[:q]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert fp[i] == native_print(t) and int(got[i]["edited_fingerprint"], 16) == native_print(edited)
+        assert got[i]["near_edited"] == pytest.approx(like(fp[i], native_print(edited))) and got[i]["near_next"] == pytest.approx(like(fp[i], native_print(nxt)))
         assert got[i]["n_within"] == (sum((fp[i] ^ fp[j]).bit_count() <= 3 for j in fp) if i % 5 == 0 else None)
         assert 0 <= got[i]["near_edited"] <= 1 and (edited != t or got[i]["near_edited"] == 1)
     assert fp[3] == fp[40] and not simhash_native.fingerprint_report(empty).count()
     assert simhash_native.fingerprint_report(docs).count() == docs.count()
 
 
+def test_native_fingerprints_with_null_ids(with_null_id):
+    got = simhash_native.fingerprint_report(with_null_id, every=1).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], int(r["fingerprint"], 16)) for r in got), key=str) == sorted([(None, 7, native_print("a b c d")), (1, 7, native_print("a b c d")), (None, 0, 0), (2, 0, 0)], key=str)
+    assert {(r["doc_id"], r["n_within"]) for r in got} == {(None, None), (1, 2), (2, 2)}
+
+
 def brute_windows(pairs, k=50):
     first, out = {}, []
     for i, t in sorted(((i, t or "") for i, t in pairs), key=lambda p: p[0]):

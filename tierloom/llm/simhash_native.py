@@ -4,10 +4,12 @@ A text's terms are its runs of TERM words; a term weighs as many votes as it occ
 votes on 64 signed bits. Votes are counted two to a long: bits k and k + 32 of a hash are the
 low and high half of one sum, so a document is 32 ordinary sums over its exploded hashes, combined in
 the task that read it. Permuted block tables find all fingerprints within a Hamming radius: the bits are
-cut into radius + 1 blocks, and whatever lies within the radius agrees on one block at least.
+cut into radius + 2 blocks, and whatever lies within the radius agrees on two of them at least, so there is a
+table for every two blocks.
 
 Neighbours in id order come from range buckets: a row that opens a bucket is also given to the bucket
-before it, and a window over each bucket finds every next row. Bucket bounds are quantiles of the ids.
+before it, and a window over each bucket finds every next row. Bucket bounds are quantiles of the ids within
+quantiles of the ids, joined as a table of bounded size.
 
 Defined cases: a null text is empty; a text without terms has fingerprint zero; repeated ids are ordered by
 text, and equal rows stand beside each other; null ids come first; a single document is its own next;
@@ -16,6 +18,8 @@ an empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +27,11 @@ from .common import cut
 
 #: Words of a term.
 TERM = 3
-#: Rows of a range bucket, and the most buckets; beyond that buckets grow and their windows spill.
+#: Rows of a range bucket, about.
 BUCKET_ROWS = 1000
-MOST_BUCKETS = 16_384
-_COARSE = 128
+#: Groups of buckets, and the most buckets of a group: their bounds are at most 8 MB. Beyond a billion rows
+#: buckets grow, and their windows spill.
+GROUPS, GROUP_BUCKETS = 256, 4096
 
 
 def term_words(text: Column) -> Column:
@@ -76,29 +81,31 @@ def range_buckets(documents: DataFrame) -> DataFrame:
     Columns: bucket, real (false for those copies), place (order of the copies after the bucket's own
     rows), doc_id, text. Bounds are ids that exist, so the rows that open a bucket are known by their id.
     """
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lowest = -(1 << 63)
-    size, least = base.agg(F.count("*"), F.min(F.coalesce("doc_id", F.lit(lowest)))).first()
-    n = max(1, min(MOST_BUCKETS, size // BUCKET_ROWS))
-    shares = [i / n for i in range(1, n)]
-    got = base.agg(F.percentile_approx("doc_id", shares, 20_000).alias("q")).first()["q"] if n > 1 else []
-    bounds = sorted({q for q in got or [] if q > (least if least is not None else lowest)})
-    key = F.coalesce("doc_id", F.lit(lowest))
-    step = max(1, -(-len(bounds) // _COARSE))
-    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if bounds:
-        # Two short searches instead of one long: the group of bounds first, the bound within it then.
-        group = F.size(F.filter(F.array(*[F.lit(f[0]) for f in fine]), lambda b: b <= key))
-        inner = F.size(F.filter(F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), F.greatest(group, F.lit(1))), lambda b: b <= key))
-        bucket = F.when(group == 0, 0).otherwise((group - 1) * step + inner)
-        opens = F.array_contains(F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), F.greatest(group, F.lit(1))), key) & (group > 0)
-    else:
-        bucket, opens = F.lit(0), F.lit(False)
-    last = len(bounds)
-    with_bucket = base.withColumn("bucket", bucket).withColumn("opens", opens)
-    here = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("real"), F.lit(0).alias("place"))
-    before = F.when(F.col("opens"), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("real"), F.lit(1).alias("place")))
-    around = F.when(key == F.lit(least if least is not None else lowest), F.struct(F.lit(last).alias("bucket"), F.lit(False).alias("real"), F.lit(2).alias("place")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    size, least = base.agg(F.count("*"), F.min("key")).first()
+    buckets = max(1, size // BUCKET_ROWS)
+    groups = min(GROUPS, buckets)
+    each = min(GROUP_BUCKETS, -(-buckets // groups))
+    cuts = lambda n: F.percentile_approx("key", [i / n for i in range(1, n)], 20_000)
+    coarse = base.agg(cuts(groups).alias("q")).first()["q"] if groups > 1 else []
+    starts = sorted({least if least is not None else lowest, *(coarse or [])})
+    starts_ = F.array(*map(F.lit, starts))
+    grouped = base.withColumn("group", F.size(F.filter(starts_, lambda b: b <= F.col("key"))))
+    own = F.array(F.element_at(starts_, F.col("group")))
+    inner = grouped.groupBy("group").agg((cuts(each) if each > 1 else F.array().cast("array<bigint>")).alias("q"))
+    bounds = inner.select("group", F.array_sort(F.array_distinct(F.concat(own, "q"))).alias("bounds"))
+    every = Window.orderBy("group")  # of GROUPS rows at most
+    n = F.sum(F.size("bounds"))
+    table = cut(bounds.select("group", "bounds", (n.over(every) - F.size("bounds")).cast("int").alias("offset"), n.over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("n_buckets")))
+    placed = grouped.join(F.broadcast(table), "group")
+    bucket = F.col("offset") + F.size(F.filter("bounds", lambda b: b <= F.col("key"))) - 1
+    with_bucket = placed.select(bucket.alias("bucket"), F.array_contains("bounds", F.col("key")).alias("opens"), (F.col("key") == F.lit(starts[0])).alias("first"), "n_buckets", "doc_id", "text")
+    place = lambda at, real, number: F.struct(at.alias("bucket"), F.lit(real).alias("real"), F.lit(number).alias("place"))
+    before = F.when(F.col("opens") & ~F.col("first"), place(F.col("bucket") - 1, False, 1))
+    around = F.when(F.col("first"), place(F.col("n_buckets") - 1, False, 2))
+    here = place(F.col("bucket"), True, 0)
     return with_bucket.select(F.explode(F.array_compact(F.array(here, before, around))).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
 
 
@@ -142,22 +149,23 @@ def fingerprint_neighbours(documents: DataFrame) -> DataFrame:
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     """(query, fp, distance) for all distinct fingerprints within the radius of each query fingerprint.
 
-    A stated query set meets all fingerprints through radius + 1 permuted block tables. Both sides
-    are distinct before they are dealt out, so copies of a text count as one; crowded blocks are joins
-    that Spark may split.
+    A stated query set meets all fingerprints through permuted block tables, one for every two of radius + 2
+    blocks. Both sides are distinct before they are dealt out, so copies of a text count as one; crowded blocks
+    are joins that Spark may split.
     """
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(radius + 1)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in blocks]
+    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(radius + 2)]
+    tables = [a | b for a, b in combinations(blocks, 2)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
 
     def dealt(side: DataFrame, name: str) -> DataFrame:
-        return side.select(F.col(name), F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in signed])).alias("block", "key"))
+        return side.select(F.col(name), F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
 
-    met = dealt(queries.select("query").distinct(), "query").join(dealt(prints.select("fp").distinct(), "fp"), ["block", "key"])
+    met = dealt(queries.select("query").distinct(), "query").join(dealt(prints.select("fp").distinct(), "fp"), ["table", "key"])
     d = distance(F.col("query"), F.col("fp"))
-    # A pair is kept in the first block on which it agrees, so it needs no distinct.
+    # A pair is kept in the first table on which it agrees, so it needs no distinct.
     agrees = F.array_position(F.array(*[F.col("query").bitwiseXOR(F.col("fp")).bitwiseAND(F.lit(m)) == 0 for m in signed]), True)
-    return met.where((d <= radius) & (agrees == F.col("block") + 1)).select("query", "fp", d.alias("distance"))
+    return met.where((d <= radius) & (agrees == F.col("table") + 1)).select("query", "fp", d.alias("distance"))
 
 
 def fingerprint_report(documents: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
