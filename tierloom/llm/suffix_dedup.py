@@ -13,11 +13,13 @@ B. Batches send their distinct runs of the rest with the smallest doc_id, dealt
 C. Batches get back the smallest doc_id of each of their runs' windows and remove what a smaller
    document has as well.
 
-Texts are shuffled once, to the batch that their id names, and all three steps read that shuffle.
+Texts are shuffled once, to the batch that their id and text name, and all three steps read that shuffle. A
+much repeated id, or a missing one, is so spread over batches; a hash that rows of one id have in two batches
+is then compared in vain, with the same result.
 
 Defined cases: a null text is empty; texts under THRESHOLD bytes lose nothing; rows that repeat an id
-are one document and take nothing from each other; a null id counts as larger than any; an empty
-table gives no rows. Only doc_id and text are read.
+are one document and take nothing from each other; rows without an id are one document with an id larger
+than any; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ GRAM = 16
 #: Bytes of text in a batch, about, and documents from which on a hash is hot.
 BATCH_BYTES = 12_000_000
 HOT_DOCS = 20_000
+#: Bytes of text whose hashes meet in a bucket, about. A batch sends a row to every bucket that it has hashes for,
+#: so fewer buckets than batches keep these rows long.
+BUCKET_BYTES = 36_000_000
 _NO_ID = (1 << 63) - 1
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -77,25 +82,39 @@ def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.n
     return first, np.append(first[1:], len(least)), (mixed * _MIX[0]) >> np.uint64(16)
 
 
+def _radix_order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of numbers by counting passes over their 16-bit digits, least significant first.
+
+    NumPy sorts 16-bit numbers by radix.
+    """
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    shift, top = 16, int(keys.max(initial=0))
+    while top >> shift:
+        order = order[np.argsort((keys[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
 def radix_groups(data: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
     """Groups of two or more starts whose next ``depth`` bytes are equal (numbers into ``starts``).
 
-    Most significant digit first: each pass orders what is still together by its next eight bytes and
-    drops what is alone.
+    Most significant digit first: each pass deals what is still together by its next digit of two bytes, by
+    radix, and drops what is alone.
     """
     members = np.arange(len(starts))
     group = np.zeros(len(starts), dtype=np.int64)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    for at in range(0, depth, 8):
-        width = min(8, depth - at)
-        digit = np.zeros(len(members), dtype=np.uint64)
-        for k in range(width):
-            digit = digit << np.uint64(8) | padded[starts[members] + at + k]
-        order = np.lexsort((digit, group))
+    padded = np.concatenate([data, np.zeros(2, dtype=np.uint8)]).astype(np.uint16)
+    pairs = padded[:-1] << 8 | padded[1:]
+    for at in range(0, depth, 2):
+        digit = pairs[starts[members] + at] if at + 1 < depth else padded[starts[members] + at]
+        order = np.argsort(digit, kind="stable")
+        order = order[_radix_order(group[order])]
         members, group, digit = members[order], group[order], digit[order]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]) if len(members) else np.zeros(0, bool)
+        if not len(members):
+            return []
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
         group = np.cumsum(new) - 1
-        together = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        together = np.bincount(group)[group] > 1
         members, group = members[together], group[together]
     if not len(members):
         return []
@@ -341,11 +360,11 @@ def repeated_windows(documents: DataFrame, threshold: int = THRESHOLD, batch_byt
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(parts, -(-total // batch_bytes))
-    g = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("g")
+    batches, buckets = max(parts, -(-total // batch_bytes)), max(parts, -(-total // BUCKET_BYTES))
+    g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("g")
     dealt = documents.select(g, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    hashes = dealt.groupBy("g").applyInArrow(lambda t: send_hashes(t, batches, threshold), _A)
+    hashes = dealt.groupBy("g").applyInArrow(lambda t: send_hashes(t, buckets, threshold), _A)
     found = hashes.groupBy("bucket").applyInArrow(lambda t: find_repeated(t, hot_docs), _R)
-    sent = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda a, b: send_runs(a, b, batches, threshold), _B)
+    sent = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda a, b: send_runs(a, b, buckets, threshold), _B)
     owners = sent.groupBy("bucket").applyInArrow(lambda t: smallest_owners(t, threshold), _M)
     return dealt.groupBy("g").cogroup(owners.groupBy("g")).applyInArrow(lambda a, b: remove_repeats(a, b, threshold), _OUT)
