@@ -343,14 +343,27 @@ def test_repeated_windows(spark, hot, empty):
     assert not suffix_dedup.repeated_windows(empty).count()
 
 
+def test_repeated_windows_with_null_and_repeated_ids(spark):
+    passage = "a passage of more than fifty bytes that some of the documents share"
+    texts = [(None, f"x {passage} one"), (None, f"y {passage} two"), (7, f"z {passage}"), (7, f"{passage} again"), (9, passage * 2), (None, None), (8, "")]
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    got = suffix_dedup.repeated_windows(frame, batch_bytes=40).collect()
+    large = 1 << 40
+    want = brute_windows([(large if i is None else i, t) for i, t in texts])
+    assert sorted(map(tuple, got), key=str) == sorted(((None if w[0] == large else w[0], *w[1:]) for w in want), key=str)
+    assert all(r["n_removed"] >= len(passage) for r in got if r["doc_id"] in (9,) or r["doc_id"] is None and r["n_bytes"])
+
+
 def test_radix_groups_are_the_equal_windows():
-    data = np.frombuffer(b"abcabcabcabdabcabc", np.uint8)
-    starts = np.arange(len(data) - 4)
-    groups = {tuple(sorted(g.tolist())) for g in suffix_dedup.radix_groups(data, starts, 4)}
-    by = {}
-    for s in starts.tolist():
-        by.setdefault(bytes(data[s : s + 4]), []).append(s)
-    assert groups == {tuple(v) for v in by.values() if len(v) > 1}
+    r = np.random.default_rng(4)
+    for data, depth in ((np.frombuffer(b"abcabcabcabdabcabc", np.uint8), 4), (r.integers(0, 3, 3000).astype(np.uint8), 9), (np.zeros(70_000, np.uint8), 3), (r.integers(0, 256, 90_000).astype(np.uint8), 2)):
+        starts = np.arange(len(data) - depth)
+        groups = {tuple(sorted(g.tolist())) for g in suffix_dedup.radix_groups(data, starts, depth)}
+        by = {}
+        for s in starts.tolist():
+            by.setdefault(bytes(data[s : s + depth]), []).append(s)
+        assert groups == {tuple(v) for v in by.values() if len(v) > 1}
+    assert suffix_dedup.radix_groups(np.zeros(0, np.uint8), np.zeros(0, np.int64), 5) == []
 
 
 def test_contained_items(spark, docs, pairs, empty):

@@ -1,10 +1,12 @@
-"""Near copies by the share of common word shingles, verified exactly.
+"""Near copies by SimHash, verified exactly: the bit-sliced comparison at a radius wide enough for word shingles.
 
-A text is the set of its five-word shingles. Candidates are texts that agree on a whole band of MinHash
-values; at a similarity of 0.8 a pair shares no band, and is missed, with probability 6e-5, and less
-above. Every link is verified on the whole sets, so none stands on an estimate. Texts that share a band
-are first compared with the most central of them; only bands that this leaves in several components are
-compared whole, in pairs of cells of bounded size.
+A text is the set of its five-word shingles and has a SimHash of them. Texts that share 0.8 of their shingles
+differ in 10 of its 64 bits on average, and in more than `RADIUS` with a probability near 1e-6; no block tables
+reach so far. The blocks that the comparison runs over are therefore texts that agree on a whole band of
+MinHash values; at a similarity of 0.8 a pair shares no band, and is missed, with probability 6e-5, and less
+above. Within a block the fingerprints stand as bit planes, and what they leave is verified on the whole sets,
+so that no link stands on an estimate. Texts that share a band are first compared with the most central of
+them; only bands that this leaves in several components are compared whole, in pairs of cells of bounded size.
 
 Defined cases: null and blank texts are one text without shingles; a text of fewer words is one shingle;
 repeated rows of an id and its text are one document; of a component without ids one row stays.
@@ -21,16 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, cut, rows
+from .common import batched, cut, hot_values, rows
 from .components import connected_components
-from .simhash_bits import keep_one, rows_at, words_of
+from .simhash_bits import BITS, BitSlices, keep_one, majority, rows_at, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits in which the fingerprints of two texts may differ; texts of fewer shingles are all verified.
+RADIUS, FEW = 24, 16
 #: Bands of so many MinHash values each.
 BANDS, BAND_ROWS = 32, 6
 #: Texts of one cell; a comparison holds two cells at most.
 LANES = 256
+#: Parts of a crowded band.
+SALTS = 16
 _CHUNK = 2048  # shingles hashed anew at a time
 
 _RANDOM = np.random.default_rng(42)
@@ -72,7 +78,7 @@ def _node(found: np.ndarray) -> int:
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("found", pa.binary())])
+_SETS = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("found", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -98,12 +104,22 @@ def _sets(keyed: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from batched(_SETS, ((_node(found), found.tobytes()) for (text,) in rows(batch, "text") for found in [shingles(text)]), 500)
+            yield from batched(_SETS, ((_node(found), _signed(majority(found)), found.tobytes()) for (text,) in rows(batch, "text") for found in [shingles(text)]), 100)
 
-    return texts.select("text").mapInArrow(compute, "node long, found binary")
+    return texts.select("text").mapInArrow(compute, "node long, fp long, found binary")
 
 
-def verified_links(nodes: list[int], sets: list[np.ndarray], labels: list[int], similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sorted sets share enough of their members."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * (1 + similarity) >= similarity * (len(a) + len(b)) - 1e-9
+
+
+def verified_links(nodes: list[int], prints: list[int], sets: list[np.ndarray], labels: list[int], similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
     """Links among nodes at the similarity or above, thinned to what joins components; equal labels are joined already."""
     first: dict[int, int] = {}
     parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
@@ -115,21 +131,19 @@ def verified_links(nodes: list[int], sets: list[np.ndarray], labels: list[int],
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.zeros(tokens.max() + 1, bool)
+    slices, order = BitSlices(prints), list(range(BITS))
+    few = sum(1 << i for i, s in enumerate(sets) if len(s) < FEW)
     apart = max((i for i, label in enumerate(labels) if label != labels[-1]), default=-1)
     for i in range(apart + 1):  # those behind are joined with each other
         if parts == 1:
             return
-        mine = tokens[starts[i] : starts[i] + sizes[i]]
-        held[mine] = True
-        shared = np.add.reduceat(held[tokens], starts, dtype=np.int64)
-        held[mine] = False
-        for j in np.flatnonzero(shared * (1 + similarity) >= similarity * (sizes + sizes[i]) - 1e-9).tolist():
+        after = slices.all >> (i + 1) << (i + 1)
+        near = after if few >> i & 1 else slices.within(prints[i], RADIUS, after, order) | after & few
+        while near:
+            j = (near & -near).bit_length() - 1
+            near &= near - 1
             a, b = root(i), root(j)
-            if a != b:
+            if a != b and similar(sets[i], sets[j], similarity):
                 parent[a] = b
                 parts -= 1
                 yield nodes[i], nodes[j]
@@ -137,14 +151,15 @@ def verified_links(nodes: list[int], sets: list[np.ndarray], labels: list[int],
 
 def _compared(units: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links of units of work; units has unit, node, label and rank (what is compared first)."""
-    dealt = units.join(sets, "node").select("unit", "rank", "node", "label", "found").repartition("unit").sortWithinPartitions("unit", "rank")
+    dealt = units.join(sets, "node").select("unit", "rank", "node", "label", "fp", "found").repartition("unit").sortWithinPartitions("unit", "rank")
+    mask = (1 << BITS) - 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[tuple]:
-            every = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in rows(batch.slice(at, 256), "unit", "node", "label", "found"))
+            every = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in rows(batch.slice(at, 256), "unit", "node", "label", "fp", "found"))
             for _, held in groupby(every, key=lambda row: row[0]):
-                _, nodes, labels, found = zip(*held, strict=True)
-                yield from verified_links(nodes, [np.frombuffer(x, np.uint64) for x in found], labels)
+                _, nodes, labels, prints, found = zip(*held, strict=True)
+                yield from verified_links(nodes, [x & mask for x in prints], [np.frombuffer(x, np.uint64) for x in found], labels)
 
         yield from batched(_LINKS, items())
 
@@ -158,12 +173,19 @@ def similar_links(keyed: DataFrame, prints: DataFrame, lanes: int = LANES) -> Da
     # Bands with the same nodes are compared once.
     sizes = sizes.groupBy("n", "members0", "members1").agg(F.min("band").alias("band"), F.count("*").alias("times"))
     met = cut(bands.join(sizes.select("band", "n", "times"), "band"))
+    # A crowded band or hub is dealt into SALTS parts; the side with one row for it goes to all of them.
+    salt = lambda n: F.when(F.col(n) > lanes, F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+    salts = lambda n: F.explode(F.when(F.col(n) > lanes, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
     # The hub of a band is the node that meets the most others over all bands.
     weight = met.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
-    hubs = met.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
-    stars = cut(met.join(hubs, "band").where("node <> hub").select("hub", "node").distinct())
+    hubs = met.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("h"), F.first("n").alias("n")).select("band", F.col("h.node").alias("hub"), salts("n"))
+    starred = met.withColumn("salt", salt("n")).join(hubs, ["band", "salt"]).where("node <> hub")
+    stars = cut(starred.groupBy("hub", "node").agg(F.max("n").alias("n")))  # a hub with many leaves has a crowded band or many
     chunks = stars.groupBy("hub").agg(F.ceil(F.count("*") / lanes).cast("int").alias("chunks"))
-    leaves = stars.join(chunks, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).alias("unit"), "node", F.lit(1).alias("rank"))
+    hot = hot_values(stars, "hub")
+    few, many = chunks.join(hot, "hub", "left_anti"), chunks.join(hot, "hub", "left_semi")
+    chunked = stars.join(hot, "hub", "left_anti").join(few, "hub").unionByName(stars.join(F.broadcast(many), "hub"))
+    leaves = chunked.select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).alias("unit"), "node", F.lit(1).alias("rank"))
     heads = chunks.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(F.xxhash64("hub", "chunk").alias("unit"), F.col("hub").alias("node"), F.lit(0).alias("rank"))
     sets = cut(_sets(keyed, prints, met.select("node").distinct()))
     links = cut(_compared(leaves.unionByName(heads).withColumn("label", F.col("node")), sets))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, cut, rows
+from .common import batched, cut, join_ones, rows
 
 # The base patterns with their least lengths, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -123,7 +123,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     values = values.select(F.col("s.hash").alias("hash"), "owner", "repository")
     owners = values.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = values.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    return owners.join(repositories, "hash")
+    return cut(owners.join(repositories, "hash"))
 
 
 def looks_live() -> F.Column:
@@ -140,7 +140,7 @@ def find_secrets(documents: DataFrame, owner: str = "source", repository: str =
     scanned = cut(scan(documents, owner, repository))
     counted = ownership(scanned)
     spans = scanned.select("row", F.explode(F.concat("base", "wide")).alias("s")).select("row", "s.*")
-    judged = spans.join(counted, "hash").withColumn("live", looks_live())
+    judged = join_ones(spans, counted, "hash").withColumn("live", looks_live())
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("kind") != "owned") | F.col("live"), F.struct("start", "kind", "stop", "owners", "repositories"))).alias("shown"),
         F.count_if("live").alias("n_live"),
@@ -192,7 +192,7 @@ def redact_live_secrets(documents: DataFrame, owner: str = "source", repository:
     keyed = documents.withColumn("__text_key", F.xxhash64("text"))
     scanned = cut(scan(keyed.select("text", F.col("__text_key").alias("doc_id"), keyed["doc_id"].cast("string").alias("__id"), F.col(owner).cast("string").alias("__owner"), F.col(repository).cast("string").alias("__repository")), "__owner", "__repository", "__id"))
     spans = scanned.select("row", F.explode(F.concat("base", "wide")).alias("s")).select("row", "s.*")
-    live = spans.join(ownership(scanned), "hash").where(looks_live())
+    live = join_ones(spans, ownership(scanned), "hash").where(looks_live())
     per_row = live.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     found = scanned.join(per_row, "row").groupBy(F.col("doc_id").alias("__key"), F.col("ident").alias("__ident")).agg(F.first("__spans").alias("__spans"))
     same = (keyed["__text_key"] == found["__key"]) & keyed["doc_id"].cast("string").eqNullSafe(found["__ident"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, cut, rows
+from .common import batched, cut, join_ones, rows
 from .components import connected_components
 
 _BLANK = re.compile(r"[\x20\x09-\x0d]+")
@@ -51,19 +51,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         return 0
     raw = [w.encode() for w in words]
     if len(raw) <= shingle:
-        return _majority([xxhash.xxh64_intdigest(b" ".join(raw), seed)])
+        return majority([xxhash.xxh64_intdigest(b" ".join(raw), seed)])
     joined = b" ".join(raw)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     ends = np.cumsum(lengths) - 1
     starts = (ends + 1 - lengths)[: len(raw) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return _majority([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+    return majority([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
 
 
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
-def _majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), _HASHES):
         block = np.array(hashes[at : at + _HASHES], dtype=">u8")
@@ -75,16 +76,15 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> BITS - 1 else value
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long."""
+def fingerprints(documents: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp) of every whole text, and other long columns; fp holds the 64 bits as a signed long."""
+    names = ["doc_id", *carried]
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("fp", pa.int64())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(_PRINTS, ((doc, _signed(fingerprint(text))) for batch in batches for doc, text in rows(batch, "doc_id", "text")))
+        yield from batched(schema, ((*own, _signed(fingerprint(text))) for batch in batches for *own, text in rows(batch, *names, "text")))
 
-    return documents.select("doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    return documents.select(*names, "text").mapInArrow(compute, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def masks(radius: int, blocks: int = BLOCKS) -> list[int]:
@@ -215,8 +215,9 @@ def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     groups = connected_components(near_links(prints, radius)).withColumnRenamed("node", "fp")
     named = firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = cut(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
+    # Copies share a fingerprint, and all empty texts one.
+    return join_ones(prints, ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, named: DataFrame) -> DataFrame:
@@ -241,9 +242,11 @@ def rows_at(documents: DataFrame, places: DataFrame, key: str = "key") -> DataFr
 def drop_near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id; all columns kept.
 
-    Rows that repeat an id and its text are one document. Rows without an id stay only where their
-    whole component has none.
+    Rows are known by their id and their text. Rows that repeat both are one document; a row without an id stays
+    only where its whole component has none.
     """
-    kept = near_duplicates(documents, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    stays = documents.join(kept, documents["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    prints = cut(fingerprints(keyed, "key"))
+    groups = connected_components(near_links(prints, radius)).withColumnRenamed("node", "fp")
+    named = prints.join(groups, "fp", "left").select("doc_id", "key", F.coalesce("component", "fp").alias("component"))
+    return keep_one(documents, named)
