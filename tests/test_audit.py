@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tierloom.operators import audit, geometry
+from tierloom.operators import audit, geometry, space
 from tierloom.sources.landmarks import load_signers, read_landmarks
 
 
@@ -40,6 +40,10 @@ def test_landmarks_to_region_counts(spark, tmp_path):
     np.savez(tmp_path / "clip1.npz", pose_xyv=pose, face_xy=face, left_hand_xy=left, right_hand_xy=right)
     frames = read_landmarks(spark, str(tmp_path)).withColumns({"handedness": F.lit("left"), "yaw": F.lit(0.0)})
     assert frames.count() == 2
-    assert rows(geometry.region_counts(frames)) == [("clip1", 0, "dominant", "upper_torso", 2)]
+    counts = geometry.region_counts(frames)
+    unseen = [("clip1", 0, "non_dominant", "missing", 0), ("clip1", 1, "dominant", "missing", 0), ("clip1", 1, "non_dominant", "missing", 0)]
+    assert rows(counts) == sorted([("clip1", 0, "dominant", "upper_torso", 2), *unseen])
+    clips = space.clip_table(counts.withColumns({"keyword": F.lit("k"), "region_code": F.lit("r"), "signer_id": F.lit("s")}))
+    assert sorted((r["hand_role"], r["total_points"], r["regions_used"], r["hand_present"]) for r in clips.collect()) == [("dominant", 2, 1, True), ("non_dominant", 0, 0, False)]
     roster = spark.createDataFrame([("FO_1", "L", "30", "女"), ("#x", "", "", ""), ("FO_2", "", "x", "M")], "Signer string, Handedness string, Age string, Sex string")
     assert rows(load_signers(roster)) == [("FO_1", "left", 30.0, "female"), ("FO_2", "right", None, "male")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import participant_of_tier, signer_stem
@@ -44,6 +44,43 @@ def to_do(findings: DataFrame) -> DataFrame:
     return findings.groupBy("signer", "tier_id").agg(F.min("rank").alias("rank"), F.min_by("problem", order).alias("problem"), F.max_by("detail", order).alias("detail"), F.array_join(F.array_sort(F.collect_set("doc")), ";").alias("docs"))
 
 
+def to_do_by_signer(findings: DataFrame) -> DataFrame:
+    """One line per signer, category and rank: all recordings and tiers, and the detail of the last finding.
+
+    findings have n (their order), rank, category, signer, recording, tier_id and detail. At most three tiers are
+    named, after their number.
+    """
+    tiers = F.array_sort(F.collect_set("tier_id"))
+    shown = F.concat(F.array_join(F.slice("tiers", 1, 3), " "), F.when(F.size("tiers") > 3, " ...").otherwise(""))
+    grouped = findings.groupBy("category", "signer", "rank").agg(F.array_join(F.array_sort(F.collect_set("recording")), ", ").alias("recording"), tiers.alias("tiers"), F.max_by("detail", "n").alias("problem"))
+    return grouped.select("rank", "category", "recording", F.concat(F.size("tiers").cast("string"), F.lit(" tier(s): "), shown).alias("tier"), "signer", "problem")
+
+
+def word_variant(tier: Column) -> Column:
+    """What follows the word marker in a tier id, empty for the plain tier, null for other tiers."""
+    return F.when(tier.rlike("(?i)Word[-_ ]?jp"), F.trim(F.regexp_extract(tier, "(?i)Word[-_ ]?jp(.*)$", 1)))
+
+
+def tier_variants(tiers: DataFrame) -> DataFrame:
+    """Recordings with variants of the word tier: which, how many tiers, and annotations by variant and on plain tiers.
+
+    tiers have recording, tier_id and n (annotations).
+    """
+    words = tiers.select("recording", word_variant(F.col("tier_id")).alias("variant"), "n").where("variant IS NOT NULL")
+    each = words.groupBy("recording", "variant").agg(F.count("*").alias("tiers"), F.sum("n").alias("n"))
+    named = F.col("variant") != ""
+    listed = F.array_sort(F.collect_list(F.when(named, F.struct("variant", "n"))))
+    out = each.groupBy("recording").agg(listed.alias("v"), F.sum(F.when(named, F.col("tiers"))).alias("n_variant_tiers"), F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("variant_annotations"), F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("plain_word_jp_annotations"))
+    by = F.transform("v", lambda x: F.concat(x["variant"], F.lit("="), x["n"].cast("string")))
+    return out.where(F.size("v") > 0).select("recording", F.array_join(F.transform("v", lambda x: x["variant"]), " ").alias("variants"), "n_variant_tiers", F.array_join(by, " ").alias("annotations_by_variant"), "variant_annotations", "plain_word_jp_annotations")
+
+
+def spellings_in_one_file(tiers: DataFrame) -> DataFrame:
+    """Signers that one recording spells in several ways; tiers have recording, signer, label and tier_id."""
+    named = F.array_sort(F.collect_set("label"))
+    return tiers.groupBy("recording", "signer").agg(named.alias("labels"), F.array_join(F.array_sort(F.collect_set("tier_id")), " ").alias("tiers")).where(F.size("labels") > 1).select("recording", "signer", F.array_join("labels", " / ").alias("detail"), "tiers")
+
+
 def resolve_tiers(rows: DataFrame, tiers: DataFrame) -> DataFrame:
     """Tier of each row: its own id if the document has it, else a tier of its speaker.
 

@@ -91,6 +91,8 @@ def by_role(handedness: Column, left: Column, right: Column) -> tuple[Column, Co
 def region_counts(frames: DataFrame) -> DataFrame:
     """Points of each hand role by region, per frame: clip_id, frame, hand_role, region, n.
 
+    Every frame has rows for both roles: where a role counts nothing, one of region missing with n 0.
+
     Frames have clip_id, frame, handedness, yaw, left_shoulder and right_shoulder (x, y, v), chin and
     face_top (x, y), left_hand and right_hand (arrays of x, y). Frames without visible shoulders, and hands
     with a point that is not finite, count nothing. Left-handers are mirrored, so roles pool.
@@ -112,4 +114,7 @@ def region_counts(frames: DataFrame) -> DataFrame:
     x, y = normal(F.col("p"))
     placed = points.select("clip_id", "frame", F.col("hand.hand_role").alias("hand_role"), x.alias("x"), y.alias("y"), *[f"__{k}" for k in lines])
     region = classify_point(F.col("x"), F.col("y"), {k: F.col(f"__{k}") for k in lines})
-    return placed.groupBy("clip_id", "frame", "hand_role", region.alias("region")).agg(F.count("*").alias("n"))
+    counted = placed.groupBy("clip_id", "frame", "hand_role", region.alias("region")).agg(F.count("*").alias("n"))
+    every = frames.select("clip_id", "frame", F.explode(F.array(F.lit("dominant"), F.lit("non_dominant"))).alias("hand_role"))
+    joined = every.join(counted, ["clip_id", "frame", "hand_role"], "left")
+    return joined.select("clip_id", "frame", "hand_role", F.coalesce("region", F.lit("missing")).alias("region"), F.coalesce("n", F.lit(0)).alias("n"))

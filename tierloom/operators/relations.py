@@ -60,6 +60,12 @@ def broken_references(annotations: DataFrame) -> DataFrame:
     return annotations.where("ref IS NOT NULL").join(known, ["doc", "ref"], "left_anti").select("doc", "id", "ref")
 
 
+def broken_parents(tiers: DataFrame) -> DataFrame:
+    """Tiers whose parent the document does not have; tiers have doc, tier_id and parent."""
+    known = tiers.select("doc", F.col("tier_id").alias("parent")).distinct()
+    return tiers.where(F.col("parent").isNotNull() & (F.col("parent") != "")).join(known, ["doc", "parent"], "left_anti").select("doc", "tier_id", "parent")
+
+
 def match_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How many keys both sides have, and how many one side alone."""
     both = left.select(key).distinct().withColumn("l", F.lit(True)).join(right.select(key).distinct().withColumn("r", F.lit(True)), key, "full_outer")

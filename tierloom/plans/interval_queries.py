@@ -68,7 +68,7 @@ def mouth_coverage(spark, sf_dir):
 
 def best_match_parent(spark, sf_dir):
     e = intervals(spark, sf_dir)
-    rows = e.where("annotation_id % 2 = 0").select(F.col("annotation_id").alias("row_id"), F.col("file_key").alias("key"), (F.col("start_ms") + F.col("annotation_id") % 3 * 60).alias("start_ms"), (F.col("end_ms") + F.col("annotation_id") % 3 * 50).alias("end_ms"))
+    rows = e.select(F.col("annotation_id").alias("row_id"), F.col("file_key").alias("key"), (F.col("start_ms") + F.col("annotation_id") % 3 * 60).alias("start_ms"), (F.col("end_ms") + F.col("annotation_id") % 3 * 50).alias("end_ms"))
     return iv.best_parent(rows, e.select(F.col("annotation_id").alias("parent_id"), F.col("file_key").alias("key"), "start_ms", "end_ms"), BIN_MS)
 
 
@@ -112,7 +112,7 @@ ORACLE_SQL = {
       a AS (SELECT count(*) AS n_elan_files, count(*) FILTER (WHERE has) AS n_with_mouth_tiers, CAST(coalesce(sum(duration_ms) FILTER (WHERE has), 0) AS BIGINT) AS recording_ms_with_mouth_tiers, CAST(sum(duration_ms) AS BIGINT) AS all_ms FROM x),
       b AS (SELECT count(*) AS n_annotations_covered, count(*) FILTER (WHERE n_mouth_labels > 0) AS n_annotations_with_overlap FROM labelled)
     SELECT n_elan_files, n_with_mouth_tiers, recording_ms_with_mouth_tiers, n_annotations_covered, n_annotations_with_overlap, 100e0 * n_with_mouth_tiers / greatest(n_elan_files, 1) AS percent_files_with_mouth_tiers, 100e0 * recording_ms_with_mouth_tiers / greatest(all_ms, 1) AS percent_recording_with_mouth_tiers FROM a, b""",
-    "best_match_parent": f"""WITH {INTERVALS}, r AS (SELECT annotation_id AS row_id, file_key, start_ms + annotation_id % 3 * 60 AS s, end_ms + annotation_id % 3 * 50 AS e FROM intervals WHERE annotation_id % 2 = 0),
+    "best_match_parent": f"""WITH {INTERVALS}, r AS (SELECT annotation_id AS row_id, file_key, start_ms + annotation_id % 3 * 60 AS s, end_ms + annotation_id % 3 * 50 AS e FROM intervals),
       p AS (SELECT row_id, annotation_id AS parent_id, s = start_ms AND e = end_ms AS exact, greatest(0, least(e, end_ms) - greatest(s, start_ms)) / CAST(greatest(1, e - s) AS DOUBLE) AS overlap, abs(s - start_ms) + abs(e - end_ms) AS shift,
         abs(s - start_ms) <= 120 AND abs(e - end_ms) <= 120 AS close, start_ms, end_ms FROM r JOIN intervals USING (file_key))
     SELECT row_id, parent_id, exact, overlap, shift FROM p WHERE exact OR overlap >= 0.5 OR close

@@ -14,26 +14,28 @@ from .adapters import TOKENS, read, tokens
 GLOSSES = ("~pt2", "食べる!rep2", "//猫/犬", "口形:うん", "ＦＡＬ", "cl:猫の形(fal)", "UN:RH:猫", "ok", "pt3;5種類", "abc", "狙う(pt)", "REPEAT 歩く", "/あ/", "a/b/c", "<家", "裏>", "猫？", "QM", "dr:5種類", "＋足す＋", "[A]山", "山、川,海", "", "家(LH)+裏(RH)", "A+(B+C)+D", "NEG 行く", "d", "１２３", "fal", "D(un)")
 
 
-def _glosses(spark):
-    return spark.createDataFrame(list(enumerate(GLOSSES)), "i long, s string")
+def _glosses(spark, sf_dir):
+    """The literals, and every whole turn of the conversations."""
+    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("i"), F.col("text").alias("s"))
+    return spark.createDataFrame(list(enumerate(GLOSSES)), "i long, s string").unionByName(turns)
 
 
 def normalize_text(spark, sf_dir):
     s = F.col("s")
-    return _glosses(spark).select("i", tx.normalise_annotation(s).alias("annotation"), tx.normalise_digits(s).alias("digits"), tx.without_compound_marks(s).alias("marks"), tx.has_compound_open(s).alias("opens"), tx.has_compound_close(s).alias("closes"), tx.too_many_slashes(s).alias("slashes"))
+    return _glosses(spark, sf_dir).select("i", tx.normalise_annotation(s).alias("annotation"), tx.normalise_digits(s).alias("digits"), tx.without_compound_marks(s).alias("marks"), tx.has_compound_open(s).alias("opens"), tx.has_compound_close(s).alias("closes"), tx.too_many_slashes(s).alias("slashes"))
 
 
 def residue_check(spark, sf_dir):
-    return _glosses(spark).select("i", tx.has_residue(F.col("s")).alias("residue"))
+    return _glosses(spark, sf_dir).select("i", tx.has_residue(F.col("s")).alias("residue"))
 
 
 def blocking_flags(spark, sf_dir):
     s = F.col("s")
-    return _glosses(spark).select("i", tx.blocking_flag(s).alias("blocking"), tx.question_flag(s).alias("question"), tx.token_flag(s, "NEG").alias("neg"), F.array_join(tx.lexical_components(s), "|").alias("components"))
+    return _glosses(spark, sf_dir).select("i", tx.blocking_flag(s).alias("blocking"), tx.question_flag(s).alias("question"), tx.token_flag(s, "NEG").alias("neg"), F.array_join(tx.lexical_components(s), "|").alias("components"))
 
 
 def bracket_split(spark, sf_dir):
-    return _glosses(spark).select("i", F.array_join(tx.split_outside_brackets(F.col("s"), "+"), "|").alias("parts"))
+    return _glosses(spark, sf_dir).select("i", F.array_join(tx.split_outside_brackets(F.col("s"), "+"), "|").alias("parts"))
 
 
 def identity_keys(spark, sf_dir):
@@ -43,8 +45,11 @@ def identity_keys(spark, sf_dir):
 
 
 def ref_chain_times(spark, sf_dir):
-    """Documents as annotations that refer to the one five before; every sixteenth has its own times."""
-    d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("doc"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 16 != 0, F.col("doc_id") - 5).alias("ref"), F.when(F.col("doc_id") % 16 == 0, F.col("n_chars")).alias("start_ms"), F.when(F.col("doc_id") % 16 == 0, F.col("n_chars") + 100).alias("end_ms"))
+    """Documents as annotations that refer to the one five before, in chains of 41; the first of a chain has its own
+    times, but in the last of five it refers to the fourth of its chain, which makes a circle."""
+    place, first = F.floor(F.col("doc_id") / 5) % 41, (F.floor(F.col("doc_id") / 5) % 41 == 0) & (F.col("doc_id") % 5 != 4)
+    ref = F.when(place != 0, F.col("doc_id") - 5).when(F.col("doc_id") % 5 == 4, F.col("doc_id") + 15)
+    d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("doc"), F.col("doc_id").alias("id"), ref.alias("ref"), F.when(first, F.col("n_chars")).alias("start_ms"), F.when(first, F.col("n_chars") + 100).alias("end_ms"))
     return rel.inherited_times(d)
 
 
@@ -106,7 +111,7 @@ def fullest_tier(spark, sf_dir):
 
 
 def merged_cells(spark, sf_dir):
-    v = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("parent"), F.col("role").alias("column"), F.col("turn").alias("ordinal"), F.substring("text", 1, 3).alias("value"))
+    v = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("parent"), F.col("role").alias("column"), F.col("turn").alias("ordinal"), F.col("text").alias("value"))
     return rel.merge_cells(v)
 
 
@@ -176,7 +181,7 @@ def resolved_tiers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (normalize_text, residue_check, blocking_flags, bracket_split, identity_keys, ref_chain_times, tier_closure, broken_refs, match_report, index_semi, unmatched_anti, vocab_intersect, vocab_except, union_findings, audit_copies, audit_spellings, fullest_tier, merged_cells, carried_down, signer_prefix_match, exclusions_anti, diff_report, audit_outside_pair, audit_roster, audit_to_do, resolved_tiers, parse_annotations, parse_documents)}
 
 _VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(GLOSSES))
-_G = f"g AS (SELECT CAST(i AS BIGINT) AS i, s FROM (VALUES {_VALUES}) AS v(i, s))"
+_G = f"g AS (SELECT CAST(i AS BIGINT) AS i, s FROM (VALUES {_VALUES}) AS v(i, s) UNION ALL SELECT conv_id * 1000 + turn + 1000, text FROM conversations WHERE text IS NOT NULL)"
 _ST = lambda e: f"trim({e}, ' 　\t\n')"
 _SPELL = "drop2"
 for _old, _new in tx.KEYWORD_SPELLINGS:
@@ -197,11 +202,16 @@ ORACLE_SQL = {
     SELECT i, lower(coalesce(nullif(regexp_extract(u, '^(FAL|UN|D)([^A-Za-z]|$)', 1, 'i'), ''), nullif(regexp_extract(u, '[\\(（][\\s　]*(FAL|UN|D)[\\s　]*[\\)）][\\s　]*$', 1, 'i'), ''))) AS blocking,
       regexp_matches(s, '[?？]') OR regexp_matches(s, '(^|[^A-Za-z])QM([^A-Za-z]|$)', 'i') AS question, regexp_matches(s, '(^|[^A-Za-z])NEG([^A-Za-z]|$)', 'i') AS neg,
       array_to_string(list_filter(list_transform(regexp_split_to_array(s, '[、,，][\\s　]*'), lambda x: {_ST('x')}), lambda x: x <> ''), '|') AS components FROM t""",
+    "bracket_split": f"""WITH {_G}, c AS (SELECT i, k, substr(s, k, 1) AS ch FROM (SELECT i, s, unnest(range(1, length(s) + 1)) AS k FROM g)),
+      d AS (SELECT *, sum(CASE WHEN ch IN ('（', '(', '{{', '｛') THEN 1 WHEN ch IN ('）', ')', '}}', '｝') THEN -1 ELSE 0 END) OVER (PARTITION BY i ORDER BY k) AS level FROM c),
+      m AS (SELECT *, ch = '+' AND level = least(0, min(level) OVER (PARTITION BY i ORDER BY k)) AS cuts FROM d), p AS (SELECT *, count(*) FILTER (WHERE cuts) OVER (PARTITION BY i ORDER BY k) AS part FROM m),
+      q AS (SELECT i, part, {_ST("string_agg(ch, '' ORDER BY k) FILTER (WHERE NOT cuts)")} AS t FROM p GROUP BY i, part)
+    SELECT g.i, coalesce(string_agg(t, '|' ORDER BY part) FILTER (WHERE t <> ''), '') AS parts FROM g LEFT JOIN q USING (i) GROUP BY g.i""",
     "identity_keys": """WITH p AS (SELECT page_id, 'fo_' || lpad(CAST(page_id AS VARCHAR), 3, '0') || '_AniN_parsed_out.csv' AS name, lpad(CAST(page_id AS VARCHAR), 3, '0') AS n FROM pages)
     SELECT page_id, 'fo' || n || 'anin' AS file_key, 'FO' AS region, 'FO_' || lpad(CAST(CAST(n AS INT) AS VARCHAR), CAST(greatest(2, length(CAST(CAST(n AS INT) AS VARCHAR))) AS INT), '0') AS signer, 'FO_' || CAST(CAST(n AS INT) AS VARCHAR) || '_ANIN_PARSED_OUT_CSV' AS signer_key,
       printf('%02d:%02d:%02d', t // 3600, t // 60 % 60, t % 60) AS hms FROM (SELECT *, CAST(round_even(page_id * 1.5e0, 0) AS BIGINT) AS t FROM p)""",
-    "ref_chain_times": """WITH RECURSIVE d AS (SELECT doc_id % 5 AS doc, doc_id AS id, CASE WHEN doc_id % 16 <> 0 THEN doc_id - 5 END AS ref, CASE WHEN doc_id % 16 = 0 THEN n_chars END AS s FROM documents),
-      r AS (SELECT doc, id, ref AS next, s, 0 AS depth FROM d UNION ALL SELECT r.doc, r.id, d.ref, d.s, r.depth + 1 FROM r JOIN d ON r.s IS NULL AND d.doc = r.doc AND d.id = r.next WHERE r.depth < 16)
+    "ref_chain_times": """WITH RECURSIVE d AS (SELECT doc_id % 5 AS doc, doc_id AS id, CASE WHEN doc_id // 5 % 41 <> 0 THEN doc_id - 5 WHEN doc_id % 5 = 4 THEN doc_id + 15 END AS ref, CASE WHEN doc_id // 5 % 41 = 0 AND doc_id % 5 <> 4 THEN n_chars END AS s FROM documents),
+      r AS (SELECT doc, id, ref AS next, s FROM d UNION SELECT r.doc, r.id, d.ref, d.s FROM r JOIN d ON r.s IS NULL AND d.doc = r.doc AND d.id = r.next)
     SELECT doc, id, max(s) AS start_ms, max(s) + 100 AS end_ms FROM r GROUP BY doc, id""",
     "tier_closure": """WITH RECURSIVE t AS (SELECT s_suppkey % 3 AS doc, s_suppkey AS tier_id, s_suppkey // 3 AS parent FROM supplier), r AS (SELECT doc, tier_id FROM t WHERE tier_id % 7 = 0 UNION SELECT t.doc, t.tier_id FROM r JOIN t ON t.doc = r.doc AND t.parent = r.tier_id) SELECT * FROM r""",
     "broken_refs": "WITH d AS (SELECT doc_id % 5 AS doc, doc_id AS id, doc_id - 5 * (doc_id % 7) AS ref FROM documents) SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.doc = d.doc AND k.id = d.ref)",
@@ -214,7 +224,7 @@ ORACLE_SQL = {
     "audit_copies": "SELECT md5(text) AS recording, doc_id AS path, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents QUALIFY copies > 1",
     "audit_spellings": "WITH l AS (SELECT user_id % 50 AS signer, event_type || '-' || CAST(user_id % 2 AS VARCHAR) AS label, count(*) AS n_tiers, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS n_files FROM events GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY signer) AS n_spellings, dense_rank() OVER (PARTITION BY signer ORDER BY label) AS label_number FROM l QUALIFY n_spellings > 1",
     "fullest_tier": "WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS doc, user_id % 10 AS signer, event_type AS tier_id, count(*) - 3 AS n FROM events GROUP BY 1, 2, 3) SELECT doc, signer, arg_max(tier_id, (n, tier_id)) AS tier_id, max(n) AS n, count(*) - 1 AS dropped FROM t WHERE n > 0 GROUP BY 1, 2",
-    "merged_cells": "WITH v AS (SELECT conv_id AS parent, role AS \"column\", substr(text, 1, 3) AS value, min(turn) AS first FROM conversations WHERE substr(text, 1, 3) <> '' GROUP BY 1, 2, 3) SELECT parent, \"column\", string_agg(value, ' | ' ORDER BY first, value) AS cell FROM v GROUP BY 1, 2",
+    "merged_cells": "WITH v AS (SELECT conv_id AS parent, role AS \"column\", text AS value, min(turn) AS first FROM conversations WHERE text <> '' GROUP BY 1, 2, 3) SELECT parent, \"column\", string_agg(value, ' | ' ORDER BY first, value) AS cell FROM v GROUP BY 1, 2",
     "carried_down": "SELECT s_suppkey, s_nationkey, last_value(CASE WHEN s_suppkey % 3 = 0 THEN s_name END IGNORE NULLS) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS name FROM supplier",
     "exclusions_anti": "WITH c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A/' ELSE 'b/' END || CAST(page_id % 10 AS VARCHAR) || '.mp4' AS clip FROM pages) SELECT * FROM c WHERE clip NOT LIKE 'A/%' AND clip NOT IN ('b/7.mp4', 'b/9.mp4')",
     "audit_outside_pair": """WITH x AS (SELECT s_nationkey AS a, s_nationkey + 1 AS b, s_suppkey % 26 AS k FROM supplier)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_lower, file_key, participant_of_tier, region_of, strip
-from ..operators.relations import fullest_tier, inherited_times, tier_closure
+from ..operators.relations import broken_parents, broken_references, fullest_tier, inherited_times, tier_closure
 
 # What marks tiers of words and of mouth actions, and the three mouth categories.
 WORD_TIER, MOUTH_HINTS, WORD_HINTS = "wordjp", ("mouthaction", "mouthact", "ma"), ("wordjp", "jpword", "wordjapanese")
@@ -24,16 +24,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotations(documents: DataFrame) -> DataFrame:
-    """Every annotation with its tier; own times come from the document's slots, in order, and others are inherited."""
+    """Every annotation with its tier; own times come from the document's slots, in order, and others are inherited.
+
+    Half an interval is none, and the earlier end comes first; start_slot and end_slot keep the slots' times as they are.
+    """
     slots = F.map_from_entries(F.transform(F.coalesce("TIME_ORDER.TIME_SLOT", F.array()), lambda s: F.struct(s["_TIME_SLOT_ID"], s["_TIME_VALUE"])))
     tier = documents.select("doc", slots.alias("slots"), F.explode("TIER").alias("t"))
     rows = tier.select("doc", "slots", F.col("t._TIER_ID").alias("tier_id"), F.col("t._PARTICIPANT").alias("participant"), F.posexplode("t.ANNOTATION").alias("position", "a"))
     own, ref = F.col("a.ALIGNABLE_ANNOTATION"), F.col("a.REF_ANNOTATION")
     at = lambda name: F.try_element_at("slots", own[name]).try_cast("double")
-    s, e = at("_TIME_SLOT_REF1"), at("_TIME_SLOT_REF2")
-    flat = rows.select("doc", "tier_id", "participant", "position", F.coalesce(own["_ANNOTATION_ID"], ref["_ANNOTATION_ID"]).alias("id"), ref["_ANNOTATION_REF"].alias("ref"), s.alias("start_ms"), e.alias("end_ms"), own.isNotNull().alias("alignable"), F.coalesce(own["ANNOTATION_VALUE"], ref["ANNOTATION_VALUE"], F.lit("")).alias("value"))
-    timed = inherited_times(flat.select("doc", "id", "ref", "start_ms", "end_ms"))
-    return flat.drop("start_ms", "end_ms").join(timed, ["doc", "id"])
+    one, two = at("_TIME_SLOT_REF1"), at("_TIME_SLOT_REF2")
+    timed = one.isNotNull() & two.isNotNull()  # half an interval is none
+    s, e = F.when(timed, F.least(one, two)), F.when(timed, F.greatest(one, two))
+    flat = rows.select("doc", "tier_id", "participant", "position", F.coalesce(own["_ANNOTATION_ID"], ref["_ANNOTATION_ID"]).alias("id"), ref["_ANNOTATION_REF"].alias("ref"), s.alias("start_ms"), e.alias("end_ms"), one.alias("start_slot"), two.alias("end_slot"), own.isNotNull().alias("alignable"), F.coalesce(own["ANNOTATION_VALUE"], ref["ANNOTATION_VALUE"], F.lit("")).alias("value"))
+    times = inherited_times(flat.select("doc", "id", "ref", "start_ms", "end_ms"))
+    return flat.drop("start_ms", "end_ms").join(times, ["doc", "id"])
 
 
 def is_word_tier(tier: Column) -> Column:
@@ -72,9 +77,12 @@ def classify_mouth(value: Column) -> Column:
 def word_annotations(documents: DataFrame, speakers: list[str] | None = None) -> DataFrame:
     """Non-blank word annotations, one tier per signer: file_id, tier_id, start_ms, end_ms, annotation, as text.
 
+    Times are those of the slots, either of which may be unknown.
+
     Order for reading: file, tier, start (unknown first), position.
     """
-    rows = annotations(documents).where(F.col("alignable") & is_word_tier(F.col("tier_id")) & (strip(F.col("value")) != "")).withColumn("signer", F.upper(participant_of_tier(F.col("tier_id"))))
+    slots = annotations(documents).withColumns({"start_ms": F.col("start_slot"), "end_ms": F.col("end_slot")})
+    rows = slots.where(F.col("alignable") & is_word_tier(F.col("tier_id")) & (strip(F.col("value")) != "")).withColumn("signer", F.upper(participant_of_tier(F.col("tier_id"))))
     if speakers:
         rows = rows.where(F.col("signer").isin(*[s.upper() for s in speakers]))
     kept = fullest_tier(rows.groupBy("doc", "signer", "tier_id").agg(F.count("*").alias("n"))).select("doc", "tier_id")
@@ -96,6 +104,28 @@ def index(documents: DataFrame) -> DataFrame:
     return out.withColumns({"file_key": file_key(F.col("doc")), "region_code": region_of(F.col("doc")), "has_mouth_tiers": F.col("n_mouth_tiers") > 0})
 
 
+def flagged_documents(spark: SparkSession, index_: DataFrame, flag: str = "has_mouth_tiers") -> DataFrame:
+    """Only the documents that an index flags, read from their paths; index_ has path and the flag, of any type.
+
+    The list of files is collected, as a reader needs it; it names files of one corpus and not annotations.
+    """
+    chosen = index_.where(F.lower(F.col(flag).cast("string")).isin("true", "1", "yes")).select("path").distinct()
+    paths = [r["path"] for r in chosen.collect()]
+    raw = spark.read.format("xml").option("rowTag", "ANNOTATION_DOCUMENT").option("mode", "PERMISSIVE").schema(SCHEMA)
+    if not paths:
+        return spark.createDataFrame([], f"doc STRING, {SCHEMA}")
+    return raw.load(paths).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("doc"), "*")
+
+
+def broken(documents: DataFrame) -> DataFrame:
+    """What a document refers to and does not have: doc, tier_id, id (null for tiers) and missing."""
+    refs = documents.select("doc", F.explode("TIER").alias("t")).select("doc", F.col("t._TIER_ID").alias("tier_id"), F.col("t._PARENT_REF").alias("parent"), F.explode_outer("t.ANNOTATION").alias("a"))
+    rows = refs.select("doc", "tier_id", F.coalesce("a.ALIGNABLE_ANNOTATION._ANNOTATION_ID", "a.REF_ANNOTATION._ANNOTATION_ID").alias("id"), F.nullif(F.col("a.REF_ANNOTATION._ANNOTATION_REF"), F.lit("")).alias("ref"))
+    missing = broken_references(rows.where("id IS NOT NULL")).join(rows.select("doc", "id", "tier_id"), ["doc", "id"])
+    tiers = refs.select("doc", "tier_id", "parent").distinct()
+    return missing.select("doc", "tier_id", "id", F.col("ref").alias("missing")).unionByName(broken_parents(tiers).select("doc", "tier_id", F.lit(None).cast("string").alias("id"), F.col("parent").alias("missing")))
+
+
 def unreadable(documents: DataFrame) -> DataFrame:
     """Documents that could not be read."""
     return documents.where("_corrupt_record IS NOT NULL OR TIER IS NULL").select("doc")
@@ -118,12 +148,22 @@ def enriched(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
 
 
 def add_tiers(data: bytes, cells: list[dict]) -> str:
-    """One document's XML with child tiers for (parent annotation, column, cell)."""
+    """One document's XML with child tiers for (parent annotation, column, cell).
+
+    Tier ids are unique: where a document has the name already, a number follows it. New tiers stand after the
+    others and their type after the types, as the schema orders them. A document that refers to an annotation or
+    tier that it lacks raises ValueError: it is not written on.
+    """
     import xml.etree.ElementTree as ET
 
     root = ET.fromstring(data)
+    names = {t.get("TIER_ID") for t in root.iter("TIER")}
     tier_of = {a[0].get("ANNOTATION_ID"): t for t in root.iter("TIER") for a in t.iter("ANNOTATION") if len(a)}
     numbers = [int(i[2:]) for i in tier_of if i.startswith("pa") and i[2:].isdigit()]
+    lost = [r.get("ANNOTATION_REF") for r in root.iter("REF_ANNOTATION") if r.get("ANNOTATION_REF") and r.get("ANNOTATION_REF") not in tier_of]
+    lost += [p for t in root.iter("TIER") if (p := t.get("PARENT_REF")) and p not in names]
+    if lost:
+        raise ValueError(f"references to what the document lacks: {sorted(set(lost))[:5]}")
     number, made = max(numbers, default=0), {}
     types = {t.get("LINGUISTIC_TYPE_ID") for t in root.iter("LINGUISTIC_TYPE")}
     for c in sorted(cells, key=lambda c: (c["column"], c["parent"])):
@@ -132,7 +172,10 @@ def add_tiers(data: bytes, cells: list[dict]) -> str:
             continue
         key = (parent.get("TIER_ID"), c["column"])
         if key not in made:
-            made[key] = ET.Element("TIER", {"TIER_ID": f"{key[0]}_{key[1]}", "LINGUISTIC_TYPE_REF": "parsed", "PARENT_REF": key[0], **({"PARTICIPANT": p} if (p := parent.get("PARTICIPANT")) else {})})
+            name = f"{key[0]}_{key[1]}"
+            name = next(n for n in (name, *(f"{name}_{i}" for i in range(2, len(names) + 3))) if n not in names)
+            names.add(name)
+            made[key] = ET.Element("TIER", {"TIER_ID": name, "LINGUISTIC_TYPE_REF": "parsed", "PARENT_REF": key[0], **({"PARTICIPANT": p} if (p := parent.get("PARTICIPANT")) else {})})
         number += 1
         node = ET.SubElement(ET.SubElement(made[key], "ANNOTATION"), "REF_ANNOTATION", {"ANNOTATION_ID": f"pa{number}", "ANNOTATION_REF": c["parent"]})
         ET.SubElement(node, "ANNOTATION_VALUE").text = c["cell"]
@@ -140,5 +183,6 @@ def add_tiers(data: bytes, cells: list[dict]) -> str:
     for offset, tier in enumerate(made.values(), 1):
         root.insert(last + offset, tier)
     if made and "parsed" not in types:
-        root.insert(last + len(made) + 1, ET.Element("LINGUISTIC_TYPE", {"LINGUISTIC_TYPE_ID": "parsed", "TIME_ALIGNABLE": "false", "CONSTRAINTS": "Symbolic_Association"}))
+        kinds = [i for i, e in enumerate(root) if e.tag == "LINGUISTIC_TYPE"]
+        root.insert(kinds[-1] + 1 if kinds else last + len(made) + 1, ET.Element("LINGUISTIC_TYPE", {"LINGUISTIC_TYPE_ID": "parsed", "TIME_ALIGNABLE": "false", "CONSTRAINTS": "Symbolic_Association"}))
     return ET.tostring(root, encoding="unicode", xml_declaration=True)

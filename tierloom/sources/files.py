@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -60,6 +60,19 @@ def select_documents(files: DataFrame, wanted: DataFrame | None = None, regions:
 def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """CSV rows as (source_file, row, cells map); each file by the first encoding that fits.
 
+    Files that none fits have no rows here; ``unreadable_csv`` names them.
+    """
+    return _parsed_csv(spark, path, encodings).select("source_file", F.posexplode("rows").alias("row", "cells"))
+
+
+def unreadable_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """The files of a folder that no encoding fits."""
+    return _parsed_csv(spark, path, encodings).where("rows IS NULL").select("source_file")
+
+
+def _parsed_csv(spark: SparkSession, path: str, encodings: Sequence[str]) -> DataFrame:
+    """(source_file, rows): null rows where no encoding fits.
+
     Quoted fields may hold line ends, and encodings differ by file, so a file is decoded and cut by one task.
     """
 
@@ -68,7 +81,7 @@ def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODING
         import csv
         import io
 
-        def rows(data: bytes) -> list[dict[str, str]]:
+        def rows(data: bytes) -> list[dict[str, str]] | None:
             for encoding in encodings:
                 try:
                     text = data.decode(encoding)
@@ -76,13 +89,13 @@ def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODING
                 except UnicodeDecodeError:
                     continue
             else:
-                return []
+                return None
             return [{(k or "").lstrip("﻿").strip(): v or "" for k, v in r.items() if k is not None and not isinstance(v, list)} for r in csv.DictReader(io.StringIO(text))]
 
         return content.map(rows)
 
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), "content")
-    return files.select("source_file", F.posexplode(parse("content")).alias("row", "cells"))
+    return files.select("source_file", parse("content").alias("rows"))
 
 
 def load_parsed(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +125,41 @@ def write_partitioned(frame: DataFrame, path: str, column: str) -> None:
     frame.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Paths that a manifest lists: the path column of a CSV, or the lines of a text list without comments."""
+    if not path.lower().endswith(".csv"):
+        return read_text_list(spark, path, inline_comments=True).select(F.col("line").alias("path"))
+    cells = read_csv(spark, path)
+    if not cells.isEmpty() and cells.where(F.map_contains_key("cells", "path")).isEmpty():
+        raise ValueError(f"{path} has no path column")
+    return cells.select(strip(F.coalesce(F.try_element_at("cells", F.lit("path")), F.lit(""))).alias("path")).where("path <> ''")
+
+
+def write_manifest(selection: DataFrame, path: str) -> None:
+    """The selection of ``operators.selection.manifest`` as one CSV file, in the order of its paths."""
+    write_csv(selection.select("stem", "region_code", "path", "in_task_folder").orderBy("path"), path)
+
+
+def write_tier_report(report: DataFrame, path: str, most: int = 100) -> None:
+    """A text file per document: how many rows were matched, and the first unmatched ones in their order.
+
+    report has doc, n, matched and annotation; the number of all unmatched rows is always told.
+    """
+    w = Window.partitionBy("doc", "matched").orderBy("n")
+    some = report.withColumn("__rn", F.row_number().over(w))
+    shown = F.when(~F.col("matched") & (F.col("__rn") <= most), F.struct("n", F.concat(F.lit("  "), F.col("annotation")).alias("line")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["line"]), "\n")
+    text = F.concat(F.col("doc"), F.lit("\nmatched: "), F.count_if("matched").cast("string"), F.lit("\nunmatched: "), F.count_if(~F.col("matched")).cast("string"), F.lit("\n"), lines)
+    some.groupBy("doc").agg(text.alias("value")).write.mode("overwrite").partitionBy("doc").text(path)
+
+
+def write_rows_by_keyword(selected: DataFrame, path: str) -> None:
+    """Selected rows as CSV with a folder for each keyword."""
+    selected.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("keyword").csv(path)
+
+
 def latex_table(frame: DataFrame, caption: str, limit: int = 200) -> str:
-    """A small result as a LaTeX table; reads at most ``limit`` rows."""
+    """A small result as a LaTeX table; a larger one than ``limit`` rows raises ValueError, and none is cut."""
     special = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 
     def cell(v: object) -> str:
@@ -125,6 +171,9 @@ def latex_table(frame: DataFrame, caption: str, limit: int = 200) -> str:
             return f"{v:,}"
         return f"{v:.2f}" if isinstance(v, float) else "".join(special.get(c, c) for c in str(v))
 
-    body = [" & ".join(map(cell, r)) + r" \\" for r in frame.limit(limit).collect()]
+    rows = frame.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; choose fewer or raise the limit")
+    body = [" & ".join(map(cell, r)) + r" \\" for r in rows]
     head = " & ".join(cell(c) for c in frame.columns) + r" \\"
     return "\n".join([r"\begin{table}", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(frame.columns)}}}", r"\hline", head, r"\hline", *body, r"\hline", r"\end{tabular}", r"\end{table}"])
