@@ -226,6 +226,13 @@ ORACLE_SQL = {
     "fullest_tier": "WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS doc, user_id % 10 AS signer, event_type AS tier_id, count(*) - 3 AS n FROM events GROUP BY 1, 2, 3) SELECT doc, signer, arg_max(tier_id, (n, tier_id)) AS tier_id, max(n) AS n, count(*) - 1 AS dropped FROM t WHERE n > 0 GROUP BY 1, 2",
     "merged_cells": "WITH v AS (SELECT conv_id AS parent, role AS \"column\", text AS value, min(turn) AS first FROM conversations WHERE text <> '' GROUP BY 1, 2, 3) SELECT parent, \"column\", string_agg(value, ' | ' ORDER BY first, value) AS cell FROM v GROUP BY 1, 2",
     "carried_down": "SELECT s_suppkey, s_nationkey, last_value(CASE WHEN s_suppkey % 3 = 0 THEN s_name END IGNORE NULLS) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS name FROM supplier",
+    "signer_prefix_match": """WITH n0 AS (SELECT DISTINCT ['FO_0', 'fo', 'GM-3', 'NR_', 'XX'][s_suppkey % 5 + 1] || (s_suppkey % 13) || CASE WHEN s_suppkey % 2 = 0 THEN '_A' ELSE '' END AS name FROM supplier),
+      n AS (SELECT name, regexp_replace(upper(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS key FROM n0),
+      r AS (SELECT * FROM (VALUES ('FO_1', 'FO_1'), ('FO_12', 'FO_12'), ('FO', 'FO'), ('GM_03', 'GM_3'), ('GM_3_A', 'GM_3_A'), ('NR07', 'NR7')) AS v(signer_id, rk)),
+      j AS (SELECT name, signer_id, length(replace(rk, '_', '')) AS len, CASE WHEN key = rk THEN 0 WHEN replace(key, '_', '') = replace(rk, '_', '') THEN 1
+        WHEN starts_with(key, rk || '_') OR (starts_with(replace(key, '_', ''), replace(rk, '_', '')) AND NOT regexp_matches(replace(rk, '_', '') || '|' || substr(replace(key, '_', ''), length(replace(rk, '_', '')) + 1, 1), '[0-9][|][0-9]')) THEN 2 END AS tier FROM n, r),
+      b AS (SELECT name, arg_min(signer_id, (tier, -len, signer_id)) AS signer_id, min(tier) AS tier FROM j WHERE tier IS NOT NULL GROUP BY name)
+    SELECT n.name, b.signer_id, b.tier FROM n LEFT JOIN b USING (name)""",
     "exclusions_anti": "WITH c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A/' ELSE 'b/' END || CAST(page_id % 10 AS VARCHAR) || '.mp4' AS clip FROM pages) SELECT * FROM c WHERE clip NOT LIKE 'A/%' AND clip NOT IN ('b/7.mp4', 'b/9.mp4')",
     "audit_outside_pair": """WITH x AS (SELECT s_nationkey AS a, s_nationkey + 1 AS b, s_suppkey % 26 AS k FROM supplier)
     SELECT DISTINCT printf('FO_%02d-%02d_Ani', a, b) AS recording, printf('FO%d', k) AS signer, printf('FO_%02d', a) AS first, printf('FO_%02d', b) AS second FROM x WHERE k NOT IN (a, b)""",

@@ -8,6 +8,7 @@ from ..operators import audit as au
 from ..operators import corpus
 from ..operators import relations as rel
 from ..operators import selection as sel
+from ..operators import space as sp
 from .adapters import CLIPS, MARKED, TOKENS, clips, marked, read, tokens
 
 
@@ -131,6 +132,13 @@ def audit_to_do_signers(spark, sf_dir):
     return au.to_do_by_signer(t.select(F.col("event_id").alias("n"), rank.alias("rank"), F.concat(F.lit("c"), rank.cast("string")).alias("category"), F.concat(F.lit("s"), "signer").alias("signer"), "recording", "tier_id", F.col("user_id").cast("string").alias("detail")))
 
 
+def scoreboard_counts(spark, sf_dir):
+    """Events as pairs of levels with fixed intervals: how many separate, and how many of the reliable ones."""
+    e = read(spark, sf_dir, "events")
+    low = F.floor("value") - 2
+    return sp.scoreboard(e.select((F.col("user_id") % 9).alias("n_signers_a"), (F.col("event_id") % 8).alias("n_signers_b"), ((low > 0) | (low + F.col("event_id") % 3 < 0)).alias("separates")))
+
+
 def broken_parents(spark, sf_dir):
     """Suppliers as tiers below others, some of which are gone."""
     s = read(spark, sf_dir, "supplier")
@@ -139,7 +147,7 @@ def broken_parents(spark, sf_dir):
     return rel.broken_parents(s.select((F.col("s_suppkey") % 3).alias("doc"), tier(F.col("s_suppkey")).alias("tier_id"), parent.alias("parent")))
 
 
-QUERIES = {f.__name__: f for f in (selection_manifest, manifest_missing, selected_rows, first_clips, loaded_frames, exclusion_lists, whole_rows, largest_units, lexical_variety, top_glosses_report, overlap_order, summary_order, level_order, audit_variants, audit_file_spellings, audit_names, audit_to_do_signers, broken_parents)}
+QUERIES = {f.__name__: f for f in (selection_manifest, manifest_missing, selected_rows, first_clips, loaded_frames, exclusion_lists, whole_rows, largest_units, lexical_variety, top_glosses_report, overlap_order, summary_order, level_order, audit_variants, audit_file_spellings, audit_names, audit_to_do_signers, scoreboard_counts, broken_parents)}
 
 _PATHS = """paths AS (SELECT page_id, 'corpus/' || CASE WHEN page_id % 3 = 0 THEN 'Fukuoka' ELSE printf('%02d_Region', page_id % 47) END || '/' || ['AniN', 'cur', 'Draft', 'ReS'][page_id % 4 + 1] || '/fo_' || page_id || '.eaf' AS path FROM pages)"""
 _TIERS = """tiers AS (SELECT strftime(ts, '%Y-%m-%d') AS recording, CASE WHEN event_type = 'error' THEN NULL WHEN user_id % 5 = 0 THEN '-T' WHEN user_id % 7 = 0 THEN '2' ELSE '' END AS variant,
@@ -176,5 +184,7 @@ ORACLE_SQL = {
     "audit_to_do_signers": f"""WITH {_TIERS} SELECT event_id % 3 AS rank, 'c' || (event_id % 3) AS category, string_agg(DISTINCT recording, ', ' ORDER BY recording) AS recording,
       count(DISTINCT tier_id) || ' tier(s): ' || array_to_string(list_sort(list(DISTINCT tier_id))[1:3], ' ') || CASE WHEN count(DISTINCT tier_id) > 3 THEN ' ...' ELSE '' END AS tier, 's' || signer AS signer, arg_max(CAST(user_id AS VARCHAR), event_id) AS problem
     FROM tiers GROUP BY event_id % 3, signer""",
+    "scoreboard_counts": """WITH p AS (SELECT user_id % 9 >= 5 AND event_id % 8 >= 5 AS reliable, floor(value) > 2 OR floor(value) - 2 + event_id % 3 < 0 AS separates FROM events)
+    SELECT count(*) AS n_pairs, count(*) FILTER (WHERE separates) AS n_separating, count(*) FILTER (WHERE reliable) AS n_pairs_reliable, count(*) FILTER (WHERE reliable AND separates) AS n_separating_reliable FROM p""",
     "broken_parents": "WITH t AS (SELECT s_suppkey % 3 AS doc, 't' || s_suppkey AS tier_id, CASE WHEN s_suppkey % 4 <> 0 THEN 't' || (s_suppkey - 3 * (s_suppkey % 11)) END AS parent FROM supplier) SELECT * FROM t WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t k WHERE k.doc = t.doc AND k.tier_id = t.parent)",
 }
