@@ -39,9 +39,9 @@ GRAM = 16
 #: Bytes of text in a batch, about, and documents from which on a hash is hot.
 BATCH_BYTES = 12_000_000
 HOT_DOCS = 20_000
-#: Bytes of text whose hashes meet in a bucket, about. A batch sends a row to every bucket that it has hashes for,
-#: so fewer buckets than batches keep these rows long.
-BUCKET_BYTES = 36_000_000
+#: Bytes of text whose hashes meet in a bucket, about. A batch sends a row to every bucket that it has hashes for, so
+#: rows grow with batches times buckets; larger buckets make them fewer and a task larger.
+BUCKET_BYTES = 12_000_000
 _NO_ID = (1 << 63) - 1
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
