@@ -468,6 +468,29 @@ def test_toxicity_learns_and_is_total(spark, empty):
     assert kept.columns == frame.columns and 550 < kept.count() < 650
 
 
+def test_rows_without_ids_are_kept(with_null_id):
+    key = lambda r: tuple(map(str, r))
+    counts = transducer.token_counts(with_null_id, tokenizer_file("word_bpe_49k.json")).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"]) for r in counts), key=key) == sorted([(None, 7), (1, 7), (None, 0), (2, 0)], key=key)
+    packed = packing.pack_documents(with_null_id, tokenizer_file("byte_bpe_50k.json"), 2).collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == ["1", "2", "None", "None"] and len({r["sequence_id"] for r in packed}) == 1
+    found = secrets.find_secrets(with_null_id).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1", "2", "None", "None"] and all(r["spans"] == "" for r in found)
+    model = toxicity.Model(b"", b"", 0, [], 0.25)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in toxicity.score_toxicity(with_null_id, model).collect()) == sorted((str(i), i is not None and zlib.crc32(str(i).encode()) % 4 == 2, 0.25) for i in (None, 1, None, 2))
+    assert toxicity.drop_toxic(with_null_id, model).count() == 4
+
+
+def test_redaction_of_repeated_ids_and_missing_owners(spark):
+    secret = "password = Zx9Kq2Lm8Tr4Vb6N"
+    pairs = [(1, f"a {secret}"), (1, "b plain"), (None, f"c {secret}x"), (1, f"a {secret}")]
+    rows = [(i, t, "en", None, len(t), "x", "y", 1, 2) for i, t in pairs]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = secrets.redact_live_secrets(frame)
+    assert got.columns == frame.columns
+    assert sorted((str(r["doc_id"]), r["text"], r["fp"], r["n_chars"]) for r in got.collect()) == sorted([("1", "a [SECRET]", "x", 10), ("1", "a [SECRET]", "x", 10), ("1", "b plain", "x", 7), ("None", "c [SECRET]", "x", 10)])
+
+
 def test_oracles_match(spark):
     duckdb = pytest.importorskip("duckdb")
     from tierloom.llm.queries import ORACLE_SQL, QUERIES
