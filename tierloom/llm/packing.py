@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dense
 from .common import batched, cut, rows
 from .token_cache import encoder
 
@@ -87,8 +88,8 @@ def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
 
 def _solved(basis: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inverse of a basis, the worth of each size in sequences, and how often each column is used."""
-    inverse = np.linalg.inv(basis)
-    return inverse, inverse.sum(axis=0), np.maximum(inverse @ demand, 0)
+    inverse = dense.inverse(basis)
+    return inverse, inverse.sum(axis=0), np.maximum(dense.product(inverse, demand), 0)
 
 
 def configure(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -122,7 +123,7 @@ def configure(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[
             np.maximum(amounts, 0, out=amounts)
         else:  # anew, before errors add up
             inverse, worth, amounts = _solved(basis, demand)
-    amounts = np.maximum(np.linalg.solve(basis, demand), 0)
+    amounts = _solved(basis, demand)[2]
     out = []
     for j in np.lexsort((np.arange(len(sizes)), -amounts)).tolist():
         if (times := int(amounts[j] + 1e-6)) > 0:

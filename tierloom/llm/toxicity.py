@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dense
 from .common import batched, rows
 
 #: Labelled rows that training reads, by label, and the longest text among them.
@@ -196,8 +197,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
     ridge[0] = 1e-6
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(dense.product(x, w), -30, 30)))
+        curved = x * (p * (1 - p))[:, None]
+        normal = np.array([dense.product(curved.T, column) for column in x.T])
+        step = dense.solve(normal + np.diag(ridge), dense.product(x.T, y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
