@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import ORACLE_SQL as CONTAINED_SQL
 from .decontaminate import contained_items
+from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash_bits import near_duplicates
@@ -79,6 +80,11 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents"), threshold=50)
 
 
+def op11_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and its component of links at a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contained_benchmark": op8_contained_benchmark,
     "op9_packed_sequences": op9_packed_sequences,
     "op10_repeated_windows": op10_repeated_windows,
+    "op11_jaccard_groups": op11_jaccard_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL}
