@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from tierloom.llm import jaccard_join
-from tierloom.llm.near_copies import shingles
 from tierloom.llm.simhash_bits import words_of
 
 SCHEMA = "doc_id long, text string, lang string, size long, node string, gram int, a string, label int"
@@ -92,7 +91,7 @@ def test_sketch_never_excludes_a_link():
         other = np.unique(np.concatenate([base[r.random(len(base)) > 0.1], r.integers(0, 1 << 63, r.integers(0, 20), dtype=np.uint64)]))
         both = [base, other]
         size = np.array([len(x) for x in both])
-        sketch = np.array([np.bincount(jaccard_join.fragment_of(x, jaccard_join.SKETCH), minlength=jaccard_join.SKETCH) for x in both], np.int16)
+        sketch = np.array([np.bincount(jaccard_join._bins(x, jaccard_join.SKETCH), minlength=jaccard_join.SKETCH) for x in both], np.int16)
         linked = len(np.intersect1d(*both)) * 100 >= 80 * len(np.union1d(*both))
         assert not linked or jaccard_join.within_sketch(size, np.zeros(2, int), sketch, 0)[1]
 
@@ -101,5 +100,22 @@ def test_shared_segments_count_texts_not_rows(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f", "a b c d e f", "a b c d e g", "x y"])], "doc_id long, text string").repartition(4)
     packed = jaccard_join.packed_segments(docs, 16, np.empty(0, np.uint64))
     rows = jaccard_join.shared_segments(packed, 16).collect()
-    assert sorted(np.frombuffer(r["grams"], np.uint64).tolist() for r in rows) == [shingles("a b c d e").tolist()] * 2
-    assert all(np.frombuffer(r["counts"], np.int64).tolist() == [2] for r in rows)
+    want = jaccard_join.ngrams("a b c d e").astype(np.uint64) & np.uint64((1 << 40) - 1)
+    assert [jaccard_join._long(r["grams"]).tolist() for r in rows] == [want.tolist()] * 2
+    assert [list(r["ranks"]) for r in rows] == [jaccard_join.ranks_of(np.array([2])).tolist()] * 2
+
+
+def test_ngrams_are_those_of_the_words():
+    r = random.Random(1)
+    seen = {}
+    for _ in range(300):
+        text = " \t\n".join(r.choice(["a", "B", "b", "é", "É", "日本", "x\u00a0y", "q" * 50]) for _ in range(r.randint(0, 30)))
+        words = words_of(text)
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        got = jaccard_join.ngrams(text)
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        for gram in want:
+            one = jaccard_join.ngrams(" ".join(gram)).tolist()
+            assert len(one) == 1 and one[0] in got.tolist() and seen.setdefault(one[0], gram) == gram
+    long = "word other " * 200_000
+    assert len(jaccard_join.ngrams(long)) == 2

@@ -1,17 +1,22 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning.
 
-A text is the set of its distinct n-grams. N-grams have a global order, rarest first, which is cut into fragments
-by ranges of their hashes, so that every set falls into one segment for each fragment.
+A text is the set of its distinct n-grams. The global order of n-grams is cut into fragments by ranges
+of their hashes, so that every set falls into one segment for each fragment.
 
 1. **Counting.** Map tasks pack the segments of many texts into one row for each fragment. All that the corpus holds
    of an n-gram meets in one fragment, which counts it and drops what only one text has. A text with fewer shared
-   n-grams than the similarity asks of it, which sums over fragments tell, is out.
+   n-grams than the similarity asks of it, which the sum over its segments tells, is out. Counts make the order within
+   the fragments' sum: rarest first, in steps of a twelfth of an octave.
 2. **Candidates.** In the global order two sets within the similarity meet in a prefix of each. Texts that meet in
    an n-gram are first compared with one hub; only groups that this leaves in several components are compared whole,
    in pairs of cells of bounded size, by sizes and by `sketch`, which never excludes a true link.
 3. **Verification.** The overlap of a candidate pair is counted in each fragment apart and summed for the pair; the
    decision is made in whole numbers on that sum.
 
+Within its fragment an n-gram is known by 40 bits of its hash. A fragment holds a few million n-grams whatever the size of
+the corpus, so two of a pair of texts meet by chance once in 10^9 pairs; in the steps before the last, such a meeting can
+only add candidates.
+
 An n-gram that very many texts hold would not fit one fragment. Map tasks note what is frequent among their own texts
 (all texts are counted; one batch leaves out less than `LOCAL_SHARE` of its n-grams for any of them) and n-grams with
 a high sum are known to be shared: they go last in the order and their segments are dealt by text.
@@ -30,12 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, cut, join_ones, rows
 from .components import connected_components
-from .near_copies import shingles
 
 SHINGLE = 5
 #: Link when 100 * shared >= PERCENT * (size of the union).
@@ -57,10 +61,51 @@ LANES = 256
 
 _PACKED = pa.schema([("fragment", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("grams", pa.binary())])
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
-_SEGMENTS = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("shared", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-_NODES = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("low", pa.int32())])
+_SEGMENTS = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("fragment", pa.int64()), ("grams", pa.binary()), ("ranks", pa.binary())])
+_NODES = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("low", pa.int32()), ("pieces", pa.list_(pa.list_(pa.int64())))])
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_SLICE = 1 << 20  # bytes of a text cut into words at a time
+_MEMO_WORDS = 500_000
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd constants of well-known mixers
+_WIDTH = 40  # bits of an n-gram within its fragment
+
+
+class _Words(dict):
+    """Hashes of words, remembered while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MEMO_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_words = _Words()
+
+
+def ngrams(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``size`` words of a whole text, of all words where there are fewer."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    hashed, at = [], 0
+    while at < len(raw):
+        stop = raw.find(b" ", at + _SLICE)
+        stop = len(raw) if stop < 0 else stop
+        words = raw[at:stop].split()
+        hashed.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        at = stop
+    word = np.concatenate(hashed) if hashed else np.empty(0, np.uint64)
+    if not len(word):
+        return word
+    run = min(size, len(word))
+    total = np.full(len(word) - run + 1, run, np.uint64)
+    for k in range(run):
+        total += (word[k : len(word) - run + 1 + k] ^ (word[k : len(word) - run + 1 + k] >> np.uint64(31))) * _FACTORS[k % len(_FACTORS)] + np.uint64(k)
+    total = (total ^ (total >> np.uint64(32))) * _MIX
+    return np.unique((total ^ (total >> np.uint64(29))) * _SPREAD)
+
 
 def node_of(found: np.ndarray) -> bytes | None:
     """Digest of a set; the empty set has none."""
@@ -72,6 +117,18 @@ def fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
 
 
+def _short(values: np.ndarray) -> bytes:
+    """The low five bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WIDTH // 8].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """Values of ``_short`` again."""
+    out = np.zeros((len(raw) // (_WIDTH // 8), 8), np.uint8)
+    out[:, : _WIDTH // 8] = np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH // 8)
+    return out.view("<u8").ravel()
+
+
 def prints(documents: DataFrame, shingle: int = SHINGLE, local_least: int = LOCAL_LEAST) -> DataFrame:
     """Rows (doc_id, node, size) of every text, and rows (gram, times) of what is frequent within a batch of texts."""
 
@@ -80,7 +137,7 @@ def prints(documents: DataFrame, shingle: int = SHINGLE, local_least: int = LOCA
             for batch in batches:
                 held = []
                 for doc, text in rows(batch, "doc_id", "text"):
-                    held.append(shingles(text, shingle))
+                    held.append(ngrams(text, shingle))
                     yield doc, node_of(held[-1]), len(held[-1]), None, None
                 if held:
                     grams, times = np.unique(np.concatenate(held), return_counts=True)
@@ -96,7 +153,7 @@ def prints(documents: DataFrame, shingle: int = SHINGLE, local_least: int = LOCA
 def packed_segments(documents: DataFrame, fragments: int, frequent: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
     """One row for each batch of texts and fragment: nodes, sizes, segment lengths and n-grams, end to end.
 
-    Very frequent n-grams go into further fragments that are dealt by text.
+    Very frequent n-grams are known by their number and go into further fragments that are dealt by text.
     """
     known = documents.sparkSession.sparkContext.broadcast(frequent)
 
@@ -105,59 +162,70 @@ def packed_segments(documents: DataFrame, fragments: int, frequent: np.ndarray,
             for batch in batches:
                 sets = {}
                 for (text,) in rows(batch, "text"):
-                    found = shingles(text, shingle)
+                    found = ngrams(text, shingle)
                     if len(found):
                         sets[node_of(found)] = found
                 if not sets:
                     continue
                 ids, found = list(sets), list(sets.values())
-                sizes = np.array([len(x) for x in found], np.int64)
+                sizes = np.array([len(x) for x in found], np.uint32)
                 owner = np.repeat(np.arange(len(ids)), sizes)
                 grams = np.concatenate(found)
                 where = fragment_of(grams, fragments)
                 if len(known.value):
                     at = np.minimum(np.searchsorted(known.value, grams), len(known.value) - 1)
+                    is_known = known.value[at] == grams
                     dealt = np.array([x[0] for x in ids], np.int32) % fragments + fragments
-                    where = np.where(known.value[at] == grams, dealt[owner], where)
+                    where, grams = np.where(is_known, dealt[owner], where), np.where(is_known, at.astype(np.uint64), grams)
                 order = np.argsort(where, kind="stable")
                 where, owner, grams = where[order], owner[order], grams[order]
                 edges = np.flatnonzero(np.diff(where)) + 1
                 for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(where)], strict=True):
                     own, lengths = np.unique(owner[start:stop], return_counts=True)
-                    yield int(where[start]), b"".join(ids[i] for i in own.tolist()), sizes[own].tobytes(), lengths.astype(np.int64).tobytes(), grams[start:stop].tobytes()
+                    yield int(where[start]), b"".join(ids[i] for i in own.tolist()), sizes[own].tobytes(), lengths.astype(np.uint32).tobytes(), _short(grams[start:stop])
 
         yield from batched(_PACKED, items(), 16)
 
     return documents.select("text").mapInArrow(compute, "fragment int, nodes binary, sizes binary, lengths binary, grams binary")
 
 
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Steps of a twelfth of an octave, 255 at most."""
+    return np.minimum(np.floor(12 * np.log2(counts)), 255).astype(np.uint8)
+
+
 def shared_segments(packed: DataFrame, fragments: int) -> DataFrame:
-    """(node, size, shared, grams, counts): of every segment the n-grams that other texts hold too, with how many do."""
+    """(node, size, fragment, grams, ranks): of every segment the n-grams that other texts hold too, and how frequent they are."""
     columns = [f.name for f in _PACKED]
 
     def whole(held: list[tuple]) -> Iterator[tuple]:
         fragment = held[0][0]
-        nodes = np.frombuffer(b"".join(h[1] for h in held), "V16")
-        sizes, lengths = (np.concatenate([np.frombuffer(h[k], np.int64) for h in held]) for k in (2, 3))
-        grams = np.concatenate([np.frombuffer(h[4], np.uint64) for h in held])
-        words = np.frombuffer(nodes.tobytes(), np.uint64).reshape(-1, 2)
+        raw = b"".join(h[1] for h in held)
+        sizes, lengths = (np.concatenate([np.frombuffer(h[k], np.uint32) for h in held]) for k in (2, 3))
+        words = np.frombuffer(raw, np.uint64).reshape(-1, 2)
         order = np.lexsort((words[:, 1], words[:, 0]))
         new = np.concatenate([[True], (np.diff(words[order, 0]) != 0) | (np.diff(words[order, 1]) != 0)])
-        first = np.zeros(len(nodes), bool)
+        first = np.zeros(len(words), bool)
         first[order[new]] = True  # copies that other batches packed too
-        owner = np.repeat(np.arange(len(nodes)), lengths)
-        grams, owner = grams[first[owner]], owner[first[owner]]
+        grams = np.concatenate([_long(h[4]) for h in held])
+        owner = np.repeat(np.arange(len(words), dtype=np.uint32), lengths)
+        if not first.all():
+            once = first[owner]
+            grams, owner = grams[once], owner[once]
         if fragment < fragments:
-            _, which, times = np.unique(grams, return_inverse=True, return_counts=True)
-            counts = times[which]
+            by = np.argsort(grams, kind="stable")
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(grams[by])) + 1, [len(by)]])
+            counts = np.empty(len(by), np.int64)
+            counts[by] = np.repeat(np.diff(edges), np.diff(edges))
+            kept = counts > 1
+            grams, owner, ranks = grams[kept], owner[kept], ranks_of(counts[kept])
         else:
-            counts = np.full(len(grams), np.iinfo(np.int64).max)
-        kept = counts > 1
-        grams, owner, counts = grams[kept], owner[kept], counts[kept]
-        edges = np.searchsorted(owner, np.arange(len(nodes) + 1))
+            ranks = np.full(len(grams), 255, np.uint8)
+        edges = np.searchsorted(owner, np.arange(len(words) + 1))
+        base = min(fragment, fragments)
         for i in np.flatnonzero(np.diff(edges)).tolist():
             at = slice(edges[i], edges[i + 1])
-            yield nodes[i].tobytes(), int(sizes[i]), int(edges[i + 1] - edges[i]), grams[at].tobytes(), counts[at].tobytes()
+            yield raw[16 * i : 16 * i + 16], int(sizes[i]), base, _short(grams[at]), ranks[at].tobytes()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[tuple]:
@@ -174,39 +242,54 @@ def shared_segments(packed: DataFrame, fragments: int) -> DataFrame:
         yield from batched(_SEGMENTS, items(), 5000)
 
     dealt = packed.repartition("fragment").sortWithinPartitions("fragment")
-    return dealt.mapInArrow(compute, "node binary, size long, shared long, grams binary, counts binary")
+    return dealt.mapInArrow(compute, "node binary, size long, fragment long, grams binary, ranks binary")
 
 
-def _least_overlap(size: Column | int, other: Column | int, percent: int):
-    """Least shared n-grams times (100 + percent) that two sizes need."""
-    return percent * (size + other)
+def _bins(grams: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each n-gram; ``bins`` is a power of two."""
+    return (grams * _SPREAD >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
 
 
 def survivors(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Nodes with enough shared n-grams: (node, size, alone, sketch, prefix, low).
+    """Nodes with enough shared n-grams: (node, size, alone, sketch, prefix, low, pieces).
 
     ``alone`` counts the n-grams that no other text has; they come first in the order. ``prefix`` holds the shared
     n-grams of the prefix in the order, and the first ``low`` of them are those of which a linked pair needs one.
+    ``pieces`` are all shared n-grams in the fragments of the last step.
     """
-    enough = segments.groupBy("node").agg(F.sum("shared").alias("shared"), F.first("size").alias("size")).where(F.col("shared") * 100 >= F.col("size") * percent).select("node")
-    gathered = segments.join(enough, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.collect_list(F.struct("grams", "counts")).alias("parts"))
+
+    def node_row(held: list[tuple]) -> tuple | None:
+        node, size = held[0][0], held[0][1]
+        parts = [_long(h[3]) for h in held]
+        if 100 * (n := sum(map(len, parts))) < percent * size:
+            return None
+        grams = np.concatenate([p | np.uint64(h[2] << _WIDTH) for h, p in zip(held, parts, strict=True)])
+        ranks = np.frombuffer(b"".join(h[4] for h in held), np.uint8)
+        ordered = grams[np.lexsort((grams, ranks))].view(np.int64)
+        alone, prefix, low = size - n, size - -(-percent * size // 100) + 1, size * (100 - percent) // (100 + percent) + 1
+        head = ordered[: max(0, prefix - alone)]
+        once = np.concatenate([[True], head[1:] != head[:-1]])[: len(head)]  # chance meetings within a text stand side by side
+        sketch = np.minimum(np.bincount(_bins(grams, SKETCH), minlength=SKETCH), 255).astype(np.uint8)
+        piece = _bins(grams, OVERLAP_FRAGMENTS)
+        pieces = [grams[piece == k].view(np.int64).tolist() for k in range(OVERLAP_FRAGMENTS)]
+        return node, size, alone, sketch.tobytes(), head[once].tolist(), int(once[: max(0, low - alone)].sum()), pieces
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[tuple]:
+            held: list[tuple] = []
             for batch in batches:
-                for node, size, parts in rows(batch, "node", "size", "parts"):
-                    grams = np.frombuffer(b"".join(p["grams"] for p in parts), np.uint64)
-                    counts = np.frombuffer(b"".join(p["counts"] for p in parts), np.int64)
-                    ordered = grams[np.lexsort((grams, counts))]
-                    alone = size - len(grams)
-                    prefix = size - -(-percent * size // 100) + 1
-                    low = size * (100 - percent) // (100 + percent) + 1
-                    sketch = np.minimum(np.bincount(fragment_of(grams, SKETCH), minlength=SKETCH), 255).astype(np.uint8)
-                    yield node, size, alone, sketch.tobytes(), ordered[: max(0, prefix - alone)].view(np.int64).tolist(), max(0, low - alone)
+                for row in rows(batch, *_SEGMENTS.names):
+                    if held and held[0][0] != row[0]:
+                        yield node_row(held)
+                        held = []
+                    held.append(row)
+            if held:
+                yield node_row(held)
 
-        yield from batched(_NODES, items(), 2000)
+        yield from batched(_NODES, (found for found in items() if found), 500)
 
-    return gathered.mapInArrow(compute, "node binary, size long, alone long, sketch binary, prefix array<long>, low int")
+    dealt = segments.repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(compute, "node binary, size long, alone long, sketch binary, prefix array<long>, low int, pieces array<array<long>>")
 
 
 def within_sketch(size: np.ndarray, alone: np.ndarray, sketch: np.ndarray, one: int, percent: int = PERCENT) -> np.ndarray:
@@ -223,7 +306,7 @@ def within_sketch(size: np.ndarray, alone: np.ndarray, sketch: np.ndarray, one:
     return near
 
 
-def verified(pairs: DataFrame, pieces: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
     """The pairs (a, b) at the similarity: overlaps counted in each fragment apart and summed for the pair.
 
     A node that very many pairs name as ``a`` is dealt into parts.
@@ -232,31 +315,13 @@ def verified(pairs: DataFrame, pieces: DataFrame, percent: int = PERCENT, lanes:
     hot = F.broadcast(hot.select("a", F.ceil(F.col("n") / lanes).cast("int").alias("parts")))  # at most 1 / HOT_SHARE rows
     parts = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    pieces = nodes.select("node", "size", F.posexplode("pieces").alias("fragment", "grams")).where(F.size("grams") > 0)
     own = pieces.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "a").join(hot, "a", "left")
     left = own.select("a", "fragment", F.col("grams").alias("own"), F.col("size").alias("size_a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     met = dealt.join(left, ["a", "part"]).join(pieces.withColumnRenamed("node", "b"), ["b", "fragment"])
     counted = met.select("a", "b", "size_a", "size", F.size(F.array_intersect("own", "grams")).alias("n"))
     summed = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("size_a").alias("size_a"), F.first("size").alias("size_b"))
-    return summed.where(F.col("n") * (100 + percent) >= _least_overlap(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
-
-
-def _pieces(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, size, fragment, grams): shared n-grams of the surviving nodes in the fragments of the last step."""
-    schema = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def items() -> Iterator[tuple]:
-            for batch in batches:
-                for node, size, raw in rows(batch, "node", "size", "grams"):
-                    grams = np.frombuffer(raw, np.uint64)
-                    where = fragment_of(grams, OVERLAP_FRAGMENTS)
-                    for f in np.unique(where).tolist():
-                        yield node, size, f, grams[where == f].view(np.int64).tolist()
-
-        yield from batched(schema, items(), 2000)
-
-    made = segments.join(nodes.select("node"), "node", "left_semi").mapInArrow(compute, "node binary, size long, fragment int, grams array<long>")
-    return made.groupBy("node", "fragment").agg(F.first("size").alias("size"), F.flatten(F.collect_list("grams")).alias("grams"))
+    return summed.where(F.col("n") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def _cell_pairs(units: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +361,7 @@ def _cell_pairs(units: DataFrame, percent: int) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compute, "a binary, b binary").distinct()
 
 
-def similar_pairs(nodes: DataFrame, pieces: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
+def similar_pairs(nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all pairs at the similarity."""
     placed = nodes.select("node", F.posexplode("prefix").alias("at", "gram"), "low").withColumn("low", (F.col("at") < F.col("low")).cast("int"))
     marks = [F.sum(F.xxhash64("node", "low", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"mark{k}") for k in range(2)]
@@ -310,7 +375,7 @@ def similar_pairs(nodes: DataFrame, pieces: DataFrame, percent: int = PERCENT, l
     parts = F.ceil(F.col("n") / (16 * lanes)).cast("int")
     starred = met.withColumn("part", F.pmod(F.xxhash64("node"), parts)).join(hubs.select("gram", "a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["gram", "part"])
     stars = cut(starred.where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = cut(verified(stars, pieces, percent, lanes))
+    links = cut(verified(stars, nodes, percent, lanes))
 
     labels = connected_components(links)
     labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).where("n > 2").select("gram", "node", "low", "label")
@@ -327,7 +392,7 @@ def similar_pairs(nodes: DataFrame, pieces: DataFrame, percent: int = PERCENT, l
     among = left.where("NOT inside").select("gram", "cell", upto("outer"), *row).select(F.xxhash64("gram", F.lit(1), F.least("cell", "with"), F.greatest("cell", "with")).alias("unit"), (F.col("cell") > F.col("with")).cast("int").alias("side"), *row)
     units = within.unionByName(across).unionByName(among).join(nodes.select("node", "size", "alone", "sketch"), "node")
     open_ = cut(_cell_pairs(units, percent))
-    return links.unionByName(verified(open_, pieces, percent, lanes))
+    return links.unionByName(verified(open_, nodes, percent, lanes))
 
 
 def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fragment_ngrams: int = FRAGMENT_NGRAMS, local_least: int = LOCAL_LEAST, lanes: int = LANES) -> DataFrame:
@@ -340,9 +405,8 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     often = made.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= bound).select("gram")
     frequent = np.sort(np.array([r[0] for r in often.toLocalIterator()], np.int64).view(np.uint64))  # at most MOST_FREQUENT
 
-    segments = cut(shared_segments(packed_segments(documents, fragments, frequent, shingle), fragments))
-    nodes = cut(survivors(segments, percent))
-    links = cut(similar_pairs(nodes, cut(_pieces(segments, nodes)), percent, lanes))
+    nodes = cut(survivors(shared_segments(packed_segments(documents, fragments, frequent, shingle), fragments), percent))
+    links = cut(similar_pairs(nodes, percent, lanes))
     groups = connected_components(links)
 
     firsts = texts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
