@@ -10,6 +10,8 @@ from .common import table
 from .decontaminate import ORACLE_SQL as CONTAINED_SQL
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
+from .lexical_search import ORACLE_SQL as RANKED_SQL
+from .lexical_search import ranked
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash_bits import near_duplicates
@@ -85,6 +87,11 @@ def op11_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_sequences": op9_packed_sequences,
     "op10_repeated_windows": op10_repeated_windows,
     "op11_jaccard_groups": op11_jaccard_groups,
+    "op12_ranked_search": op12_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL, "op12_ranked_search": RANKED_SQL}
