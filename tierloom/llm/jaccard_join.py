@@ -9,7 +9,8 @@ of their hashes, so that every set falls into one segment for each fragment.
    the fragments' sum: rarest first, in steps of a twelfth of an octave.
 2. **Candidates.** In the global order two sets within the similarity meet in a prefix of each. Texts that meet in
    an n-gram are first compared with one hub; only groups that this leaves in several components are compared whole,
-   in pairs of cells of bounded size, by sizes and by `sketch`, which never excludes a true link.
+   in pairs of cells of bounded size, by sizes and by `sketch`, which never excludes a true link: first with each text's
+   most likely partners, at last with all that it allows.
 3. **Verification.** The overlap of a candidate pair is counted in each fragment apart and summed for the pair; the
    decision is made in whole numbers on that sum.
 
@@ -56,6 +57,8 @@ MOST_FREQUENT = 1_000_000
 SKETCH = 256
 #: A node that more than this share of all candidate pairs name is dealt into parts.
 HOT_SHARE = 0.0005
+#: Likely partners of a text that a comparison of cells passes on, in rounds before all of them.
+ROUNDS = (2, 4)
 #: Texts of one cell; a comparison holds two cells at most.
 LANES = 256
 
@@ -292,18 +295,16 @@ def survivors(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(compute, "node binary, size long, alone long, sketch binary, prefix array<long>, low int, pieces array<array<long>>")
 
 
-def within_sketch(size: np.ndarray, alone: np.ndarray, sketch: np.ndarray, one: int, percent: int = PERCENT) -> np.ndarray:
-    """Which nodes the sizes and sketches allow to be linked with number ``one``.
+def least_difference(size: np.ndarray, alone: np.ndarray, sketch: np.ndarray, one: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that sizes and sketches allow to be linked with number ``one``, and by how much they differ from it at least.
 
     Sets differ at least by what each has alone and by what their counts differ in any range, and may differ by
     (100 - percent) / (100 + percent) of their sizes' sum.
     """
-    total = size + size[one]
-    near = np.minimum(size, size[one]) * 100 >= np.maximum(size, size[one]) * percent
-    at = np.flatnonzero(near)
+    at = np.flatnonzero(np.minimum(size, size[one]) * 100 >= np.maximum(size, size[one]) * percent)
     apart = np.abs(sketch[at] - sketch[one]).sum(axis=1, dtype=np.int64) + alone[at] + alone[one]
-    near[at] = apart * (100 + percent) <= (100 - percent) * total[at]
-    return near
+    kept = apart * (100 + percent) <= (100 - percent) * (size[at] + size[one])
+    return at[kept], apart[kept]
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
@@ -324,24 +325,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, lanes:
     return summed.where(F.col("n") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
-def _cell_pairs(units: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a unit that are apart yet, not both high, and allowed by their sketches."""
+def _cell_pairs(units: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs of a unit that are apart yet, not both high, and allowed by their sketches; of a text the ``most`` likely ones, or all."""
 
     def whole(held: list[tuple]) -> Iterator[tuple]:
         _, side, nodes, labels, low, size, alone, sketch = zip(*held, strict=True)
-        size, alone, low, side = np.array(size), np.array(alone), np.array(low), np.array(side)
+        size, alone, low, side = np.array(size), np.array(alone), np.array(low, bool), np.array(side)
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        _, label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)
-        two = len(set(side.tolist())) > 1
-        for i in range(len(nodes)):
-            if two and side[i]:
-                continue
-            allowed = (label != label[i]) & (low | low[i]).astype(bool)
-            allowed &= side != side[i] if two else np.arange(len(nodes)) > i
-            at = np.flatnonzero(allowed)
+        _, label = np.unique(np.frombuffer(b"".join(labels), "V16").view("S16"), return_inverse=True)
+        two = 0 < side.sum() < len(side)
+        for i in np.flatnonzero(side == 1).tolist() if two else range(len(nodes)):
+            other = (label != label[i]) & (low | low[i])
+            at = np.flatnonzero(other & (side == 0) if two else other & (np.arange(len(nodes)) > i))
             if len(at):
                 at = np.concatenate([[i], at])
-                for j in at[1:][within_sketch(size[at], alone[at], sketch[at], 0, percent)[1:]].tolist():
+                near, apart = least_difference(size[at], alone[at], sketch[at], 0, percent)
+                near, apart = near[near > 0], apart[near > 0]
+                for j in at[near if most is None else near[np.argsort(apart, kind="stable")[:most]]].tolist():
                     yield (nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,7 @@ def _cell_pairs(units: DataFrame, percent: int) -> DataFrame:
 
         yield from batched(_PAIRS, items())
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compute, "a binary, b binary").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(compute, "a binary, b binary").distinct()
 
 
 def similar_pairs(nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES) -> DataFrame:
@@ -377,22 +377,30 @@ def similar_pairs(nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES)
     stars = cut(starred.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = cut(verified(stars, nodes, percent, lanes))
 
-    labels = connected_components(links)
+    # First what is most likely, so that texts with very many partners are joined by a few of them; then all that is left.
+    for most in (*ROUNDS, None):
+        units = _open_units(met, connected_components(links), lanes).join(nodes.select("node", "size", "alone", "sketch"), "node")
+        links = cut(links.unionByName(verified(cut(_cell_pairs(units, percent, most)), nodes, percent, lanes)))
+    return links
+
+
+def _open_units(met: DataFrame, labels: DataFrame, lanes: int) -> DataFrame:
+    """Pairs of cells (unit, side, node, label, low) of the groups whose nodes are in several components yet.
+
+    What is outside the largest component of a group meets all of it; inside there is nothing left to join.
+    """
     labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).where("n > 2").select("gram", "node", "low", "label")
-    counts = labelled.groupBy("gram", "label").agg(F.count("*").alias("c"), F.sum("low").alias("lows"))
+    counts = labelled.groupBy("gram", "label").agg(F.count("*").alias("c"))
     top = counts.groupBy("gram").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     top = top.select("gram", F.col("t.label").alias("top"), F.ceil(F.col("t.c") / lanes).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("t.c")) / lanes).cast("int").alias("outer"))
     left = labelled.join(top, "gram").withColumn("inside", F.col("label") == F.col("top"))
     left = left.withColumn("cell", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
-    # What is outside the largest component of a group meets all of it; inside there is nothing left to join.
     upto = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1)).alias("with")
     row = ["node", "label", "low"]
     within = left.where("inside").select("gram", "cell", upto("outer"), *row).select(F.xxhash64("gram", F.lit(0), "cell", "with").alias("unit"), F.lit(0).alias("side"), *row)
     across = left.where("NOT inside").select("gram", "cell", upto("inner"), *row).select(F.xxhash64("gram", F.lit(0), "with", "cell").alias("unit"), F.lit(1).alias("side"), *row)
     among = left.where("NOT inside").select("gram", "cell", upto("outer"), *row).select(F.xxhash64("gram", F.lit(1), F.least("cell", "with"), F.greatest("cell", "with")).alias("unit"), (F.col("cell") > F.col("with")).cast("int").alias("side"), *row)
-    units = within.unionByName(across).unionByName(among).join(nodes.select("node", "size", "alone", "sketch"), "node")
-    open_ = cut(_cell_pairs(units, percent))
-    return links.unionByName(verified(open_, nodes, percent, lanes))
+    return within.unionByName(across).unionByName(among)
 
 
 def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fragment_ngrams: int = FRAGMENT_NGRAMS, local_least: int = LOCAL_LEAST, lanes: int = LANES) -> DataFrame:
