@@ -58,9 +58,9 @@ SKETCH = 256
 #: A node that more than this share of all candidate pairs name is dealt into parts.
 HOT_SHARE = 0.0005
 #: Likely partners of a text that a comparison of cells passes on, in rounds before all of them.
-ROUNDS = (2, 4)
+ROUNDS = (3,)
 #: Texts of one cell; a comparison holds two cells at most.
-LANES = 256
+LANES = 1024
 
 _PACKED = pa.schema([("fragment", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("grams", pa.binary())])
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
@@ -372,7 +372,7 @@ def similar_pairs(nodes: DataFrame, percent: int = PERCENT, lanes: int = LANES)
     weight = met.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
     hubs = met.join(weight, "node").groupBy("gram").agg(F.max(F.struct("weight", "node")).alias("h"), F.first("n").alias("n")).select("gram", F.col("h.node").alias("a"), "n")
     # The hub's one row goes to every part of a crowded group.
-    parts = F.ceil(F.col("n") / (16 * lanes)).cast("int")
+    parts = F.ceil(F.col("n") / (4 * lanes)).cast("int")
     starred = met.withColumn("part", F.pmod(F.xxhash64("node"), parts)).join(hubs.select("gram", "a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["gram", "part"])
     stars = cut(starred.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = cut(verified(stars, nodes, percent, lanes))
