@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import batched, cut, rows
 
 #: What lies between terms; A to Z in lower case, every other character is part of a term.
-_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: A shard closes when it has so many documents or postings; one text is never split.
 SHARD_DOCUMENTS, SHARD_POSTINGS = 32_768, 2_000_000
@@ -57,9 +56,15 @@ def terms_of(text: str | None) -> Iterator[list[bytes]]:
 
 def corpus_size(documents: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all terms with repeats."""
-    n = F.regexp_count("text", F.lit(_TERM))
-    got = documents.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("documents"), F.sum("n").alias("terms")).first()
-    return got["documents"], got["terms"] or 0
+    schema = pa.schema([("documents", pa.int64()), ("terms", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sum(map(len, terms_of(text))) for (text,) in rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)]), pa.array([sum(sizes)])], schema=schema)
+
+    got = documents.select("text").mapInArrow(count, "documents long, terms long").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
+    return got["documents"] or 0, got["terms"] or 0
 
 
 def impacts_of(tf: np.ndarray, length: int, documents: int, terms: int) -> np.ndarray:
