@@ -133,6 +133,24 @@ def _lexical(flagged: DataFrame) -> DataFrame:
     return flagged.where(F.col("is_parsed") & F.col("has_lexical"))
 
 
+def gloss_cells(flagged: DataFrame) -> DataFrame:
+    """Occurrences of each lexical item of parsed rows by region, speaker and recording: what every other count is a sum of."""
+    return _lexical(flagged).groupBy("region_code", F.col("lexical_item").alias("gloss"), "speaker_id", "source_file").agg(F.count("*").alias("occurrences"))
+
+
+def gloss_totals(counts: DataFrame, signers: DataFrame) -> DataFrame:
+    """One row per scope and lexical item from partial counts.
+
+    counts have region_code, gloss, occurrences and n_files, of recordings that are in one part only; signers have region_code,
+    gloss and speaker_id, once or more. Distinct speakers are counted by grouping twice, so nothing is expanded.
+    """
+    main = by_scope(counts, F.sum("occurrences").alias("occurrences"), F.sum("n_files").alias("n_files"), keys=["gloss"])
+    who = by_scope(signers, F.count("*").alias("times"), keys=["gloss", "speaker_id"]).groupBy(F.col("tag").alias("who_tag"), F.col("gloss").alias("who_gloss")).agg(F.count("speaker_id").alias("n_signers"))
+    totals = main.groupBy(F.col("tag").alias("all_tag")).agg(F.sum("occurrences").alias("all"))
+    joined = main.join(who, (F.col("gloss") == F.col("who_gloss")) & F.col("tag").eqNullSafe(F.col("who_tag")), "left").join(totals, F.col("tag").eqNullSafe(F.col("all_tag")))
+    return joined.select("tag", "gloss", "occurrences", "n_files", F.coalesce("n_signers", F.lit(0)).alias("n_signers"), percent(F.col("occurrences"), F.col("all")).alias("percent_of_tokens"))
+
+
 def gloss_statistics(flagged: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """One row per lexical item of parsed rows; regions are filtered before anything is counted."""
     rows = _lexical(flagged)

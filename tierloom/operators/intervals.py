@@ -54,15 +54,48 @@ def _side(frame: DataFrame, prefix: str, **names: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(f"{prefix}_{name}") for name, c in names.items()])
 
 
+def counts_before(events: DataFrame, keys: list[str], bin_width: float) -> DataFrame:
+    """The queries among events, each with how many data events of its keys stand before it (``before``).
+
+    events have the keys, at, order (what comes first among equal times) and is_query, and may have more. Events are counted
+    within bins of time by a running sum, and whole bins by one over their totals, so no task holds a dense key.
+    """
+    binned = events.withColumn("__bin", F.floor(F.col("at") / bin_width))
+    data = F.when(F.col("is_query"), 0).otherwise(1)
+    inner = Window.partitionBy(*keys, "__bin").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = binned.withColumn("__within", F.sum(data).over(inner)).where("is_query")
+    totals = binned.groupBy(*keys, "__bin").agg(F.sum(data).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bin").alias("__other_bin"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier"))
+    same = F.col("__bin") == F.col("__other_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = numbered.join(totals, same)
+    return joined.withColumn("before", F.col("__within") + F.col("__earlier")).drop("__bin", "__other_bin", "__within", "__earlier", *[f"__{k}" for k in keys])
+
+
 def label_status(labels: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
-    """Each label with its overlapping labels of other tiers, agreeing and conflicting.
+    """Each label with how many overlapping labels of other tiers agree and conflict.
 
-    Labels have annotation_id, file_key, tier_id, start_ms, end_ms and category.
+    Labels have annotation_id (unique in a file), file_key, tier_id, start_ms, end_ms and category. Two labels overlap where
+    each begins early enough before the other ends, so a label's counterparts are the starts up to its end less the ends
+    before its start: counts from a sweep over time, for the file and its category, without a pair. Those of its own tier,
+    itself among them, are taken off by the same sweep over the tier. Labels without
+    times, tier or category have no counterparts and are none.
     """
-    names = {"id": "annotation_id", "file": "file_key", "tier": "tier_id", "start": "start_ms", "end": "end_ms", "category": "category"}
-    pairs = overlapping(_side(labels, "l", **names), _side(labels, "r", **names), bin_ms=bin_ms).where((F.col("l_tier") != F.col("r_tier")) & (F.col("l_id") != F.col("r_id")))
-    same = F.col("l_category") == F.col("r_category")
-    counts = pairs.groupBy(F.col("l_file").alias("file_key"), F.col("l_id").alias("annotation_id")).agg(F.count_if(same).alias("n_agreeing"), F.count_if(~same).alias("n_conflicting"))
+    timed = labels.where(F.col("end_ms") - F.col("start_ms") >= MIN_OVERLAP_MS).where("category IS NOT NULL AND tier_id IS NOT NULL")
+    nothing = F.lit(None).cast("string")
+    scope = lambda tier, category, own, all_: F.struct(tier.alias("tier"), category.alias("of"), F.lit(own).alias("own"), F.lit(all_).alias("all"))
+    tier, category = F.col("tier_id").cast("string"), F.col("category").cast("string")
+    scopes = F.array(scope(nothing, nothing, 0, 1), scope(tier, nothing, 0, -1), scope(nothing, category, 1, 0), scope(tier, category, -1, 0))
+    event = lambda kind, at, order, query, sign: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("at"), at.cast("double"), F.lit("order"), F.lit(order), F.lit("is_query"), F.lit(query), F.lit("sign"), F.lit(sign))
+    start, end = F.col("start_ms"), F.col("end_ms")
+    events = F.array(event("start", start, 0, False, 0), event("start", end - MIN_OVERLAP_MS, 1, True, 1), event("end", end, 1, False, 0), event("end", start + MIN_OVERLAP_MS, 0, True, -1))
+    rows = timed.select("file_key", "annotation_id", F.explode(scopes).alias("s"), events.alias("e")).select("file_key", "annotation_id", "s.*", F.explode("e").alias("e")).select("*", "e.*").drop("e")
+    counted = counts_before(rows, ["file_key", "tier", "of", "kind"], bin_ms)
+    n = F.col("before") * F.col("sign")
+    counts = counted.groupBy("file_key", "annotation_id").agg(F.sum(n * F.col("own")).alias("n_agreeing"), F.sum(n * F.col("all")).alias("__all"))
+    counts = counts.select("file_key", "annotation_id", "n_agreeing", (F.col("__all") - F.col("n_agreeing")).alias("n_conflicting"))
     out = labels.join(counts, ["file_key", "annotation_id"], "left").na.fill(0, ["n_agreeing", "n_conflicting"])
     return out.withColumns({"n_counterparts": F.col("n_agreeing") + F.col("n_conflicting"), "status": F.when(F.col("n_conflicting") > 0, "disagreed").otherwise("agreed")})
 

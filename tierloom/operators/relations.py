@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_key, signer_key
+from ..scratch import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Materialised below spark.checkpoint.dir; without it an error, but in local mode, where all share a disk."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if root is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tierloom-checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

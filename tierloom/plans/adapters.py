@@ -12,13 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as lexical items: one row per space-separated word."""
+    """documents as lexical items, dealt to all cores."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     cores = spark.sparkContext.defaultParallelism
     if len(d.inputFiles()) < cores:  # a table of few files would be cut into words by few tasks
         d = d.repartition(2 * cores)
+    return tokens_of(d)
+
+
+def tokens_of(documents: DataFrame) -> DataFrame:
+    """One row per space-separated word: the source is who speaks, the language where, the document the recording."""
     word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ")).alias("lexical_item")
-    rows = d.select(F.col("doc_id").cast("string").alias("source_file"), F.col("source").alias("speaker_id"), F.col("lang").alias("region_code"), word).where("lexical_item <> ''")
+    rows = documents.select(F.col("doc_id").cast("string").alias("source_file"), F.col("source").alias("speaker_id"), F.col("lang").alias("region_code"), word).where("lexical_item <> ''")
     return rows.select("*", F.col("lexical_item").alias("annotation"), F.lit("").alias("compound"), F.lit("").alias("ambiguous"))
 
 
