@@ -115,9 +115,16 @@ def first_existing(frame: DataFrame, *names: str) -> Column:
     return F.coalesce(*values, F.lit("")) if values else F.lit("")
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    """A table as CSV with a header in one file; Parquet is the native form, this one is for export."""
-    frame.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(frame: DataFrame, path: str, parts: int = 1) -> None:
+    """A table as CSV for spreadsheets: a byte order mark, a header and blanks for nulls, in the order of the frame's columns.
+
+    Parquet is the native form; an export is one file, or ``parts`` of them, each with its header and mark. The mark is the
+    first character of the header's first name, so that Spark's own writer and its commits do the rest.
+    """
+    first, *rest = frame.columns
+    marked = frame.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in rest])
+    plain = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    marked.coalesce(parts).write.mode("overwrite").options(**plain).csv(path)
 
 
 def write_partitioned(frame: DataFrame, path: str, column: str) -> None:
