@@ -14,6 +14,7 @@ def test_parsing_run(spark, tmp_path):
     (tmp_path / "in" / "FO_01_Task.eaf").write_text(EAF, encoding="utf-8")
     out = str(tmp_path / "out")
     first = pipelines.parsing(spark, str(tmp_path / "in"), out, Rules())
+    assert first.totals == {"parsed": {"rows": 2, "ambiguous": 0}} and first.resolved_percent == 100.0
     assert first.exit_code == 0 and first.written == ["index", "unreadable", "words", "parsed", "ambiguous"]
     assert [r["lexical_item"] for r in spark.read.parquet(f"{out}/parsed").orderBy("time_start").collect()] == ["猫", "犬"]
     assert pipelines.parsing(spark, str(tmp_path / "in"), out).skipped == first.written

@@ -45,6 +45,8 @@ def main(arguments: list[str] | None = None) -> int:
         report = pipelines.run_steps(spark, options.out, {n: (lambda n=n: registry.QUERIES[n](spark, options.tables)) for n in options.names}, overwrite=options.overwrite)
     for name, error in report.failed.items():
         print(name, error, file=sys.stderr)
+    for name, totals in report.totals.items():
+        print(name, *(f"{k}={v}" for k, v in totals.items()), f"resolved={report.resolved_percent:.1f}%")
     print("written:", *report.written, "skipped:", *report.skipped)
     return report.exit_code
 

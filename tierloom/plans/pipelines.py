@@ -7,9 +7,9 @@ A step that fails stops a run before what needs it; a step whose output exists i
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gloss_parser import Rules, parse_rows
@@ -25,6 +25,13 @@ class Report:
     written: list[str]
     skipped: list[str]
     failed: dict[str, str]
+    totals: dict[str, dict] = field(default_factory=dict)
+
+    @property
+    def resolved_percent(self) -> float:
+        """Share of parsed rows that need no review, over all steps that observed them; of nothing, 0."""
+        rows, ambiguous = (sum(t.get(k, 0) for t in self.totals.values()) for k in ("rows", "ambiguous"))
+        return 100.0 * (rows - ambiguous) / rows if rows else 0.0
 
     @property
     def exit_code(self) -> int:
@@ -39,8 +46,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def run_steps(spark: SparkSession, out: str, steps: dict[str, Callable[[], DataFrame]], only: Sequence[str] = (), overwrite: bool = False) -> Report:
-    """Write each step's table below ``out`` as Parquet."""
+def run_steps(spark: SparkSession, out: str, steps: dict[str, Callable[[], DataFrame]], only: Sequence[str] = (), overwrite: bool = False, totals: dict[str, dict[str, Column]] | None = None) -> Report:
+    """Write each step's table below ``out`` as Parquet; ``totals`` names aggregates that are observed in the pass that writes a step."""
     report = Report([], [], {})
     for name, step in steps.items():
         if only and name not in only:
@@ -50,8 +57,12 @@ def run_steps(spark: SparkSession, out: str, steps: dict[str, Callable[[], DataF
             report.skipped.append(name)
             continue
         try:
-            step().write.mode("overwrite").parquet(path)
+            wanted = {k: v.alias(k) for k, v in (totals or {}).get(name, {}).items()}
+            seen = Observation(name) if wanted else None
+            (step().observe(seen, *wanted.values()) if seen else step()).write.mode("overwrite").parquet(path)
             report.written.append(name)
+            if seen:
+                report.totals[name] = seen.get
         except Exception as e:  # reported, and the exit code tells
             report.failed[name] = str(e)[:500]
     return report
@@ -72,7 +83,7 @@ def parsing(spark: SparkSession, folder: str, out: str, rules: Rules = Rules(),
     def ambiguous() -> DataFrame:
         return spark.read.parquet(f"{out}/parsed").where("ambiguous <> ''")
 
-    return run_steps(spark, out, {"index": lambda: dx.index(docs), "unreadable": lambda: dx.unreadable(docs), "words": words, "parsed": parsed, "ambiguous": ambiguous}, overwrite=overwrite)
+    return run_steps(spark, out, {"index": lambda: dx.index(docs), "unreadable": lambda: dx.unreadable(docs), "words": words, "parsed": parsed, "ambiguous": ambiguous}, overwrite=overwrite, totals={"parsed": {"rows": F.count("*"), "ambiguous": F.count_if(F.col("ambiguous") != "")}})
 
 
 def statistics(spark: SparkSession, annotations: DataFrame, index: DataFrame, out: str, labels: DataFrame | None = None, only: Sequence[str] = (), overwrite: bool = False) -> Report:
