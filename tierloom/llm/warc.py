@@ -7,7 +7,8 @@ Records are dealt to archives by themselves, so the segments of one record may l
 
 Reading: archives are cut into records by their Content-Length. Records of one segment are decoded
 where they are read; the others are grouped by origin, ordered by segment number, verified against
-the total length, and decoded from their chunks.
+the total length, and decoded from their chunks. Payloads of responses are held against their digests, and what
+revisits claim against the responses that they name.
 
 Defined cases: a null payload is empty; repeated rows are records of their own (a page_id never
 revisits itself); a null page_id is kept, and revisits any page with its payload that has one; an empty
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,6 +105,26 @@ def parse(archive: bytes) -> Iterator[Record]:
         yield Record(fields, block)
 
 
+def inflated(archive: bytes) -> bytes:
+    """An archive without compression: all its gzip members, of which writers often make one for each record; a plain one as it is.
+
+    A member that is cut short raises ValueError, as does anything that stands between members, but for zero bytes at the end.
+    """
+    if not archive.startswith(b"\x1f\x8b"):
+        return archive
+    out = []
+    while archive:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(archive))
+        except zlib.error as e:
+            raise ValueError(f"broken member of an archive: {e}") from None
+        if not member.eof:
+            raise ValueError("an archive is cut short")
+        archive = member.unused_data.lstrip(b"\x00")
+    return b"".join(out)
+
+
 def segments(record_id: str, fields: dict[str, str], block: bytes, size: int = SEGMENT_BYTES) -> list[Record]:
     """A record as one segment, or as its origin and continuations."""
     name = f"<urn:uuid:{record_id}>"
@@ -195,16 +217,14 @@ _RESULT = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """One row per whole record of gzip-compressed archives, given as (content) rows."""
+    """One row per whole record of archives, given as (content) rows: gzip of one or many members, or plain."""
     import json
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         def items() -> Iterator[tuple]:
             for batch in batches:
                 for (content,) in rows(batch, "content"):
-                    for r in parse(zlib.decompress(content, 31) if content else b""):
+                    for r in parse(inflated(content or b"")):
                         number = r.fields.get("WARC-Segment-Number")
                         if number is None:
                             yield *_digest(r.fields, r.block), None, None, None, None, None
@@ -235,12 +255,25 @@ def read_archives(files: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select("parts").mapInArrow(join_up, ddl))
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Every payload that a revisit claims is one that the page it names was a response with; else ValueError.
+
+    Claims are made distinct before they are dealt, so a page that very many revisit is one row.
+    """
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    responses = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes").distinct()
+    lost = claims.join(responses, ["page_id", "payload_digest", "payload_bytes"], "left_anti").first()
+    if lost is not None:
+        raise ValueError(f"no response of page {lost['page_id']} has the payload {lost['payload_digest']}")
+
+
 def warc_digest(pages: DataFrame, payload: str = "html") -> DataFrame:
     """Write the pages below the shared folder and return what the archives give back."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path, payload)
     out = cut(read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)))
+    check_revisits(out)
     delete_path(spark, path)
     return out
 
