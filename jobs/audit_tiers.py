@@ -79,7 +79,7 @@ def main(arguments: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = SparkSession.builder.appName("audit-tiers").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        run(spark, config["orders"], config["customers"], config["out"])
+        run(spark, **config)
     finally:
         spark.stop()
     return 0

@@ -10,8 +10,12 @@ tables, in a folder of its own number, so that a batch that is run again replace
     state/signers       region, gloss, speaker
 
 A document is counted when its id first arrives; rows that bring a known id again, or none, are left out and told in the
-log. After the stream the published table is made from the partial tables alone: out/glosses, one folder for each scope
-(GLOBAL and every region). A run without new files publishes the same rows again.
+log. After the stream two tables are made from the partial tables alone, one folder for each scope (GLOBAL and every region):
+
+    out/glosses         every gloss: occurrences, documents, speakers, share of the scope's tokens
+    out/top             the most frequent glosses that speakers enough use, ranked
+
+A run without new files publishes the same rows again. A run that dies goes on with the batch that it was in.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ log = logging.getLogger("jobs.gloss_counts")
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 STATE = {
-    "documents": "doc_id long, batch long",
+    "documents": "doc_id string, batch long",
     "counts": "region_code string, gloss string, occurrences long, n_files long, batch long",
     "signers": "region_code string, gloss string, speaker_id string, batch long",
 }
+TOP_N, MIN_SIGNERS = 100, 2
 GLOSSES = "gloss string, occurrences long, n_files long, n_signers long, percent_of_tokens double, tag string"
 
 
@@ -61,10 +66,12 @@ def count_batch(documents: DataFrame, number: int, out: str) -> int:
     spark = documents.sparkSession
     known = state(spark, out, "documents").where(F.col("batch") < number).select("doc_id")
     taken, read = Observation(f"taken-{number}"), documents.count()  # Parquet knows its rows without reading them
-    new = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
+    # Ids as text, as the library has recordings: documents are dealt by id once, and their words are counted where they are.
+    named = documents.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("string"))
+    new = named.dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
     folder = lambda name: f"{out}/state/{name}/batch={number}"
     # The words are counted once and written; the two smaller tables are made from what was written.
-    rows = tokens_of(new)  # dealt by id already
+    rows = tokens_of(new)
     cells = f"{out}/state/cells"
     corpus.gloss_cells(corpus.add_flags(rows)).write.mode("overwrite").parquet(cells)
     written = spark.read.schema("region_code string, gloss string, speaker_id string, source_file string, occurrences long").parquet(cells)
@@ -77,18 +84,24 @@ def count_batch(documents: DataFrame, number: int, out: str) -> int:
     return read
 
 
-def run(spark: SparkSession, documents: str, out: str, checkpoint: str, files_per_batch: int = 64) -> dict[str, int]:
-    """Count what is new, publish the whole; returns what was read and written."""
+def _publish(frame: DataFrame, path: str) -> int:
+    """Write a table by scope; returns its rows, counted on the way."""
+    counted = Observation(path.rsplit("/", 1)[-1])
+    frame.observe(counted, F.count("*").alias("rows")).write.mode("overwrite").partitionBy("tag").parquet(path)
+    log.info("wrote %d rows to %s", counted.get["rows"], path)
+    return counted.get["rows"]
+
+
+def run(spark: SparkSession, documents: str, out: str, checkpoint: str, files_per_batch: int = 64, top_n: int = TOP_N, min_signers: int = MIN_SIGNERS) -> dict[str, int]:
+    """Count what is new, publish the whole; returns how many rows were read and how many each table has."""
     new = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(_watched(documents))
     rows: list[int] = []
     query = new.writeStream.foreachBatch(lambda frame, number: rows.append(count_batch(frame, number, out))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("read %d rows of new files below %s", sum(rows), documents)
-    counted = Observation("published")
-    totals = corpus.gloss_totals(state(spark, out, "counts"), state(spark, out, "signers"))
-    totals.observe(counted, F.count("*").alias("rows")).write.mode("overwrite").partitionBy("tag").parquet(f"{out}/glosses")
-    log.info("wrote %d rows to %s", counted.get["rows"], f"{out}/glosses")
-    return {"read": sum(rows), "written": counted.get["rows"]}
+    written = _publish(corpus.gloss_totals(state(spark, out, "counts"), state(spark, out, "signers")), f"{out}/glosses")
+    top = _publish(corpus.top_by_scope(published(spark, out), top_n, min_signers), f"{out}/top")
+    return {"read": sum(rows), "written": written, "top": top}
 
 
 def published(spark: SparkSession, out: str) -> DataFrame:
@@ -125,7 +138,7 @@ def main(arguments: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = SparkSession.builder.appName("gloss-counts").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        run(spark, config["documents"], config["out"], config["checkpoint"], config.get("files_per_batch", 64))
+        run(spark, **config)
     finally:
         spark.stop()
     return 0

@@ -1,7 +1,10 @@
 """The jobs: two runs over growing copies, runs again, and their command lines' configuration."""
 
+import inspect
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,7 +78,7 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
 def test_a_single_file_and_an_empty_table(spark, tmp_path):
     source = str(tmp_path / "d.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(source)
-    assert gloss_counts.run(spark, source, str(tmp_path / "o"), str(tmp_path / "m")) == {"read": 0, "written": 0}
+    assert gloss_counts.run(spark, source, str(tmp_path / "o"), str(tmp_path / "m")) == {"read": 0, "written": 0, "top": 0}
     spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "one"))
     single = files_of(str(tmp_path / "one"))[0]
     assert gloss_counts.run(spark, single, str(tmp_path / "o1"), str(tmp_path / "m1"))["read"] == len(ROWS)
@@ -94,9 +97,58 @@ def test_audit_runs_again(spark, tmp_path):
     assert len({r for r in os.listdir(f"{out}/to_do") if r.startswith("category=")}) >= 4
 
 
+def test_top_of_every_scope(spark, tmp_path):
+    source, out = str(tmp_path / "d"), str(tmp_path / "out")
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(source)
+    gloss_counts.run(spark, source, out, str(tmp_path / "mark"), top_n=2, min_signers=2)
+    got = {(r["tag"], r["rank"], r["gloss"]) for r in spark.read.parquet(f"{out}/top").collect()}
+    assert got == {("GLOBAL", 1, "a"), ("GLOBAL", 2, "b"), ("en", 1, "b")}
+
+
+def test_words_are_counted_where_their_documents_are(spark, tmp_path):
+    """The words of a document are not dealt anew: one exchange of documents, none of words."""
+    from tierloom.operators import corpus
+    from tierloom.plans.adapters import tokens_of
+
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(str(tmp_path / "d"))
+    documents = spark.read.parquet(str(tmp_path / "d")).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source").dropDuplicates(["doc_id"])
+    plan = corpus.gloss_cells(corpus.add_flags(tokens_of(documents)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_run_that_dies_is_taken_up(spark, tmp_path, monkeypatch):
+    source, out, mark = (str(tmp_path / n) for n in ("d", "out", "mark"))
+    spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(source)
+    count, calls = gloss_counts.count_batch, []
+
+    def dying(frame, number, where):
+        calls.append(number)
+        read = count(frame, number, where)
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost after it wrote")
+        return read
+
+    monkeypatch.setattr(gloss_counts, "count_batch", dying)
+    with pytest.raises(Exception, match="the driver is lost"):
+        gloss_counts.run(spark, source, out, mark, files_per_batch=1)
+    gloss_counts.run(spark, source, out, mark, files_per_batch=1)
+    assert calls == [0, 1, 1, 2]  # the batch that was not committed runs again
+    assert rows(gloss_counts.published(spark, out)) == want([r for r in ROWS if r[0] is not None])
+
+
+@pytest.mark.parametrize(("job", "tables"), [("gloss_counts", {"documents": "documents"}), ("audit_tiers", {"orders": "orders", "customers": "customer"})])
+def test_command_line(job, tables, tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(gloss_counts.__file__)))
+    paths = [x for k, t in tables.items() for x in (f"--{k}", f"/root/testdata/sf0.001/{t}.parquet")] + ["--out", str(tmp_path / "out")]
+    paths += ["--checkpoint", str(tmp_path / "mark")] if job == "gloss_counts" else []
+    done = subprocess.run([sys.executable, "-m", f"jobs.{job}", f"jobs/{job}.json", *paths], cwd=root, capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "wrote" in done.stderr and "_SUCCESS" in os.listdir(tmp_path / "out" / ("glosses" if job == "gloss_counts" else "to_do"))
+
+
 @pytest.mark.parametrize("job", [gloss_counts, audit_tiers])
 def test_configuration_names_what_the_command_line_needs(job):
     name = job.__name__.split(".")[-1]
     with open(os.path.join(os.path.dirname(job.__file__), f"{name}.json"), encoding="utf-8") as file:
         config = json.load(file)
-    assert "out" in config and set(config) <= {"documents", "out", "checkpoint", "files_per_batch", "orders", "customers"}
+    assert "out" in config and set(config) <= set(inspect.signature(job.run).parameters)

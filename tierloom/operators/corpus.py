@@ -151,6 +151,15 @@ def gloss_totals(counts: DataFrame, signers: DataFrame) -> DataFrame:
     return joined.select("tag", "gloss", "occurrences", "n_files", F.coalesce("n_signers", F.lit(0)).alias("n_signers"), percent(F.col("occurrences"), F.col("all")).alias("percent_of_tokens"))
 
 
+def top_by_scope(totals: DataFrame, top_n: int = 100, min_signers: int = 2) -> DataFrame:
+    """The most frequent glosses of every scope among those with signers enough, with their rank; ties by signers, then gloss.
+
+    totals are those of ``gloss_totals``. Only top_n rows of a scope leave a task, so no task sorts a scope's vocabulary.
+    """
+    order = Window.partitionBy("tag").orderBy(F.desc("occurrences"), F.desc("n_signers"), "gloss")
+    return totals.where(F.col("n_signers") >= min_signers).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
 def gloss_statistics(flagged: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """One row per lexical item of parsed rows; regions are filtered before anything is counted."""
     rows = _lexical(flagged)
