@@ -118,3 +118,31 @@ def region_counts(frames: DataFrame) -> DataFrame:
     every = frames.select("clip_id", "frame", F.explode(F.array(F.lit("dominant"), F.lit("non_dominant"))).alias("hand_role"))
     joined = every.join(counted, ["clip_id", "frame", "hand_role"], "left")
     return joined.select("clip_id", "frame", "hand_role", F.coalesce("region", F.lit("missing")).alias("region"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def mask_runs(mask: Column) -> Column:
+    """The runs of ones of a mask's row (an array of 0 and 1): array of (first, last), from 0."""
+    at = F.sequence(F.lit(0), F.size(mask) - 1)
+    starts = F.filter(at, lambda i: (F.get(mask, i) == 1) & ((i == 0) | (F.coalesce(F.get(mask, i - 1), F.lit(0)) != 1)))
+    ends = F.filter(at, lambda i: (F.get(mask, i) == 1) & (F.coalesce(F.get(mask, i + 1), F.lit(0)) != 1))
+    return F.when(F.size(mask) > 0, F.transform(F.arrays_zip(starts.alias("first"), ends.alias("last")), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+
+def on_target(points: DataFrame, runs: DataFrame, keys: list[str], min_fraction: float = 0.6, dilate: int = 0) -> DataFrame:
+    """Whether enough of the points of each key lie on its mask: keys, n_points, inside (fraction) and on_target.
+
+    points have the keys, x and y normalised to the frame and its width and height in pixels; runs have the keys, row, first
+    and last of the mask's runs of pixels, so a mask is never laid out. Points outside the frame count at its edge; a
+    coordinate that is missing (null or NaN) makes a point that is not on the mask. ``dilate`` widens the mask by so many
+    pixels on all sides. Keys without points have no row, keys without a mask have no point on it.
+    """
+    pixel = lambda v, size: F.greatest(F.lit(0), F.least(F.rint(F.col(v) * F.col(size)), F.col(size) - 1)).cast("int")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    placed = points.where(known).select(*keys, pixel("x", "width").alias("__x"), pixel("y", "height").alias("__row")).groupBy(*keys, "__row", "__x").agg(F.count("*").alias("__n"))
+    # Points of a row meet the runs of that row; equal pixels are one row with their number.
+    rows = runs.select(*keys, F.explode(F.sequence(F.col("row") - dilate, F.col("row") + dilate)).alias("__row"), (F.col("first") - dilate).alias("__first"), (F.col("last") + dilate).alias("__last"))
+    hit = placed.join(rows, [*keys, "__row"]).where("__x BETWEEN __first AND __last").select(*keys, "__row", "__x", "__n").distinct()
+    inside = hit.groupBy(*keys).agg(F.sum("__n").alias("__inside"))
+    out = points.groupBy(*keys).agg(F.count("*").alias("n_points")).join(inside, keys, "left")
+    share = F.coalesce("__inside", F.lit(0)) / F.col("n_points")
+    return out.select(*keys, "n_points", share.alias("inside"), (share >= min_fraction).alias("on_target"))

@@ -72,12 +72,14 @@ def match_signers(names: DataFrame, roster: DataFrame) -> DataFrame:
     """The roster entry of each name: equal key, equal without underscores, or the longest leading part.
 
     names has name; roster has signer_id. A leading part ends at an underscore, or anywhere but inside a
-    number. Candidates share their first two compact characters, so the join is an equi-join.
+    number. Every leading part of a name that is as long as some entry is a key of its own, so the join is on the whole entry.
     """
     compact = lambda c: F.replace(c, F.lit("_"), F.lit(""))
     n = names.select("name", signer_key(F.col("name")).alias("key")).withColumn("ck", compact(F.col("key")))
     r = roster.select("signer_id", signer_key(F.col("signer_id")).alias("rk")).withColumn("rck", compact(F.col("rk"))).where("rck <> ''")
-    pairs = n.join(r, F.substring("ck", 1, 2) == F.substring("rck", 1, 2))
+    lengths = r.agg(F.collect_set(F.length("rck")).alias("lengths"))  # one row of as many numbers as entries have lengths
+    parts = F.explode(F.transform(F.filter("lengths", lambda x: x <= F.length("ck")), lambda x: F.substr(F.col("ck"), F.lit(1), x)))
+    pairs = n.crossJoin(F.broadcast(lengths)).select("name", "key", "ck", parts.alias("part")).join(r, F.col("part") == F.col("rck"))
     after = F.substr(F.col("ck"), F.length("rck") + 1, F.lit(1))
     guard = ~(F.substr(F.col("rck"), F.length("rck"), F.lit(1)).rlike("[0-9]") & after.rlike("[0-9]"))
     tier = F.when(F.col("key") == F.col("rk"), 0).when(F.col("ck") == F.col("rck"), 1).when(F.col("key").startswith(F.concat("rk", F.lit("_"))) | (F.col("ck").startswith(F.col("rck")) & guard), 2)

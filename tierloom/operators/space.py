@@ -47,9 +47,22 @@ def normalise_gender(value: Column) -> Column:
     return F.when(v.isin("m", "male", "man", "男", "男性"), "male").when(v.isin("f", "female", "woman", "女", "女性"), "female").otherwise("unknown")
 
 
-def infer_side(signer: Column) -> Column:
-    """Signers with an odd number sit right, others left."""
-    return F.when(F.try_to_number(F.regexp_extract(signer, r"(\d+)\D*$", 1), F.lit("999999999")) % 2 == 1, "right").otherwise("left")
+def infer_side(signer: Column, forced: str | None = None, overrides: dict[str, str] | None = None) -> Column:
+    """Which half of the frame a signer sits in: a forced side, that of the first override whose key the name holds, else right
+    where the first number of the name is odd and left where it is even or missing."""
+    if forced in ("left", "right"):
+        return F.lit(forced)
+    odd = F.regexp_extract(F.coalesce(signer, F.lit("")), r"(\d+)", 1).rlike("[13579]$")
+    side = F.when(odd, "right").otherwise("left")
+    for key, own in reversed([(k, v) for k, v in (overrides or {}).items() if k]):
+        side = F.when(signer.contains(key), own).otherwise(side)
+    return side
+
+
+def to_seconds(time: Column) -> Column:
+    """A time in seconds: numbers above 1000 are milliseconds, others seconds already; text that is no number is null."""
+    number = time.try_cast("double")
+    return F.when(number > 1000, number / 1000.0).otherwise(number)
 
 
 def clip_table(counts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import corpus
 from ..operators import relations as rel
 from ..operators import selection as sel
 from ..operators import space as sp
+from .corpus_queries import ORACLE_SQL as _CORPUS
 from .adapters import CLIPS, MARKED, TOKENS, clips, marked, read, tokens
 
 
@@ -154,7 +155,9 @@ _TIERS = """tiers AS (SELECT strftime(ts, '%Y-%m-%d') AS recording, CASE WHEN ev
   CASE WHEN event_type = 'error' THEN 'Other' ELSE event_type || '-Word-jp' || CASE WHEN user_id % 5 = 0 THEN '-T' WHEN user_id % 7 = 0 THEN '2' ELSE '' END END AS tier_id,
   user_id % 10 AS signer, 'FO_' || (user_id % 10) || CASE WHEN event_id % 90 = 0 THEN '_x' ELSE '' END AS label, event_id, user_id FROM events)"""
 
+_KEY_COUNTS = _CORPUS["key_counts"]
 ORACLE_SQL = {
+    "whole_rows": f"SELECT tag, key, n_annotations FROM ({_KEY_COUNTS}) WHERE tag = 'GLOBAL'",
     "selection_manifest": f"WITH {_PATHS} SELECT 'fo_' || page_id AS stem, 'FO' AS region_code, path, CASE WHEN page_id % 3 <> 0 AND page_id % 4 <> 2 THEN 'yes' ELSE 'no' END AS in_task_folder FROM paths",
     "manifest_missing": f"WITH {_PATHS} SELECT path FROM paths WHERE page_id % 7 = 0",
     "selected_rows": f"""WITH {MARKED}, k AS (

@@ -41,6 +41,13 @@ def read_text_list(spark: SparkSession, path: str, inline_comments: bool = False
     return lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
+def read_file_list(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that a list names (stem, line, number): one for each stem, as it is first written, in the list's order."""
+    lines = read_text_list(spark, path).select(stem_key(F.col("line")).alias("stem"), "line", "number").where("stem <> ''")
+    first = lines.groupBy("stem").agg(F.min(F.struct("number", "line")).alias("f"))
+    return first.select("stem", "f.line", "f.number").orderBy("number")
+
+
 def select_documents(files: DataFrame, wanted: DataFrame | None = None, regions: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The chosen documents, one path to a stem, with what is missing and what is doubled.
 
