@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, numbering
+from ..operators import geometry, numbering, order_stats
 from ..sources import typed as ty
 from .adapters import read
 
@@ -48,9 +48,17 @@ def masked_points(spark, sf_dir):
     return geometry.on_target(points, runs, ["vec_id"], min_fraction=0.25)
 
 
-QUERIES = {f.__name__: f for f in (numbered_documents, free_annotation_ids, unique_tier_names, typed_orders, masked_points)}
+def exact_percentiles(spark, sf_dir):
+    """Percentiles of a continuous value by flag and status, without a buffer of a group's values."""
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    found = order_stats.percentiles(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return found.select("l_returnflag", "l_linestatus", *[F.floor(F.col("percentiles")[i] * 1e4 + 0.5).alias(f"p{p}_e4") for i, p in enumerate((5, 50, 95))])
+
+
+QUERIES = {f.__name__: f for f in (exact_percentiles, numbered_documents, free_annotation_ids, unique_tier_names, typed_orders, masked_points)}
 
 ORACLE_SQL = {
+    "exact_percentiles": f"""SELECT l_returnflag, l_linestatus, {", ".join(f"CAST(floor(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p / 100}) * 1e4 + 0.5) AS BIGINT) AS p{p}_e4" for p in (5, 50, 95))} FROM lineitem GROUP BY ALL""",
     "numbered_documents": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST) AS number FROM documents",
     "free_annotation_ids": """SELECT o_custkey AS doc, o_orderkey AS n, 'pa' || (coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS id
       FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
