@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import ORACLE_SQL as CONTAINED_SQL
 from .decontaminate import contained_items
+from .jaccard_join import ORACLE_SQL as JACCARD_SQL
 from .jaccard_join import jaccard_components
 from .lexical_search import ORACLE_SQL as RANKED_SQL
 from .lexical_search import ranked
@@ -107,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_ranked_search": op12_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL, "op12_ranked_search": RANKED_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op8_contained_benchmark": CONTAINED_SQL, "op11_jaccard_groups": JACCARD_SQL, "op12_ranked_search": RANKED_SQL}
