@@ -162,11 +162,10 @@ def top_by_scope(totals: DataFrame, top_n: int = 100, min_signers: int = 2) -> D
 
 def gloss_statistics(flagged: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """One row per lexical item of parsed rows; regions are filtered before anything is counted."""
-    rows = _lexical(flagged)
-    if regions:
-        rows = rows.where(F.upper("region_code").isin(*[r.upper() for r in regions]))
-    out = rows.groupBy(F.col("lexical_item").alias("gloss")).agg(
-        F.count("*").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), F.count_distinct("source_file").alias("n_files"), F.array_join(F.array_sort(F.collect_set("region_code")), ";").alias("regions"), F.count_distinct("region_code").alias("n_regions")
+    rows = flagged.where(F.upper("region_code").isin(*[r.upper() for r in regions])) if regions else flagged
+    # Cells first, so that what the distinct counts expand is one row for each speaker and recording, not each token.
+    out = gloss_cells(rows).groupBy("gloss").agg(
+        F.sum("occurrences").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), F.count_distinct("source_file").alias("n_files"), F.array_join(F.array_sort(F.collect_set("region_code")), ";").alias("regions"), F.count_distinct("region_code").alias("n_regions")
     )
     return out.withColumn("occurrences_per_signer", F.col("occurrences") / F.col("n_signers"))
 
@@ -204,8 +203,8 @@ def ordered_prefix(frame: DataFrame, count: str, key: str, descending: bool = Tr
 
 def coverage_table(flagged: DataFrame, specs: Sequence[tuple[str, int, int]] = COVERAGE_SPECS, cap: int = OCCURRENCE_CAP) -> DataFrame:
     """The shape of each candidate vocabulary, for the corpus and for each region."""
-    rows = _lexical(flagged)
-    stats = by_scope(rows, F.count("*").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), keys=["lexical_item"]).withColumnRenamed("lexical_item", "gloss")
+    by_speaker = _lexical(flagged).groupBy("region_code", F.col("lexical_item").alias("gloss"), "speaker_id").agg(F.count("*").alias("n"))
+    stats = by_scope(by_speaker, F.sum("n").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), keys=["gloss"])
     totals = stats.groupBy("tag").agg(F.sum("occurrences").alias("corpus_tokens"))
     parts = []
     for label, top_n, floor in specs:
