@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. The last returns the packed pieces.
+
+Defined cases: a null text is an empty one in every stage and is kept as null; empty and blank texts are near copies of each
+other, so one of them stays; rows that repeat an id and a text are one document after the near-dedup stage, rows of one id with
+different texts are documents of their own; rows without an id are documents, and of a group of near copies one of them stays only
+where none has an id; columns that documents do not have pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
