@@ -122,14 +122,15 @@ def first_existing(frame: DataFrame, *names: str) -> Column:
     return F.coalesce(*values, F.lit("")) if values else F.lit("")
 
 
-def write_csv(frame: DataFrame, path: str, parts: int = 1) -> None:
+def write_csv(frame: DataFrame, path: str, parts: int = 1, mark: bool = True) -> None:
     """A table as CSV for spreadsheets: a byte order mark, a header and blanks for nulls, in the order of the frame's columns.
 
     Parquet is the native form; an export is one file, or ``parts`` of them, each with its header and mark. The mark is the
-    first character of the header's first name, so that Spark's own writer and its commits do the rest.
+    first character of the header's first name, so that Spark's own writer and its commits do the rest; lists for programs
+    go without it.
     """
     first, *rest = frame.columns
-    marked = frame.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in rest])
+    marked = frame.select(F.col(f"`{first}`").alias(("\ufeff" if mark else "") + first), *[F.col(f"`{c}`") for c in rest])
     plain = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     marked.coalesce(parts).write.mode("overwrite").options(**plain).csv(path)
 
@@ -151,7 +152,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_manifest(selection: DataFrame, path: str) -> None:
     """The selection of ``operators.selection.manifest`` as one CSV file, in the order of its paths."""
-    write_csv(selection.select("stem", "region_code", "path", "in_task_folder").orderBy("path"), path)
+    write_csv(selection.select("stem", "region_code", "path", "in_task_folder").orderBy("path"), path, mark=False)
 
 
 def write_tier_report(report: DataFrame, path: str, most: int = 100) -> None:
