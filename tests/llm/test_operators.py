@@ -506,3 +506,40 @@ def test_oracles_match(spark):
         assert columns == sorted(want.columns)
         rows = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
         assert sorted(json.dumps([r[c] for c in columns]) for r in got.collect()) == sorted(json.dumps([r[c] for c in columns]) for r in rows)
+
+
+def test_repeated_windows_dealt_in_steps(spark):
+    pairs = corpus(n=40)
+    shared = " ".join(f"passage{i}" for i in range(12))
+    pairs += [(300 + i, f"{i} {shared} {i * 7} " + "xy" * (i % 60)) for i in range(30)] + [(900, "one row, again and again, of more than fifty bytes of text")] * 25
+    frame = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(5)
+    got = suffix_dedup.repeated_windows(frame, batch_bytes=1500, hot_docs=25, fan=2)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_windows(pairs))
+
+
+def test_bundles_reach_their_destinations(spark):
+    import pyarrow as pa
+
+    from tierloom.llm import bundles
+
+    schema = pa.schema([("to", pa.int32()), ("v", pa.int64())])
+    assert bundles.widths(1) == [1] and bundles.widths(256) == [1] and bundles.widths(257) == [256, 1] and bundles.widths(17, 4) == [16, 4, 1]
+    for fan, destinations in ((2, 37), (3, 9), (4, 100)):
+        steps = bundles.widths(destinations, fan)
+        rows = lambda s, n=destinations: [((s + i * i) % n, i) for i in range(50)]
+
+        def send(key, t):
+            to, v = zip(*rows(key[0].as_py()), strict=True)
+            return bundles.bundle(pa.table([to, v], schema=schema), "to", steps[0], key[0].as_py())
+
+        first = spark.range(30).withColumnRenamed("id", "s").groupBy("s").applyInArrow(send, bundles.BUNDLE)
+        assert first.groupBy("carrier").count().agg({"count": "max"}).first()[0] <= fan
+
+        def last(key, t):
+            found = bundles.unbundle(t, schema)
+            return pa.table({"slot": pa.array([key[0].as_py()] * len(found), pa.int32()), "to": found.column("to"), "v": found.column("v")})
+
+        got = bundles.hand_on(first, "to", steps, schema, fan).groupBy("slot").applyInArrow(last, "slot int, to int, v long").collect()
+        assert all(r["slot"] == r["to"] for r in got)
+        assert sorted((r["to"], r["v"]) for r in got) == sorted(x for s in range(30) for x in rows(s))
+    assert bundles.unbundle(bundles.bundle(schema.empty_table(), "to", 1, 0), schema).num_rows == 0

@@ -13,9 +13,12 @@ B. Batches send their distinct runs of the rest with the smallest doc_id, dealt
 C. Batches get back the smallest doc_id of each of their runs' windows and remove what a smaller
    document has as well.
 
-Texts are shuffled once, to the batch that their id and text name, and all three steps read that shuffle. A
-much repeated id, or a missing one, is so spread over batches; a hash that rows of one id have in two batches
-is then compared in vain, with the same result.
+Batches and buckets both grow with the input; what they send each other goes in bundles, so rows grow with the
+number of batches and not with its square.
+
+Texts are shuffled once, to the batch that their id, text and input partition name, and all three steps read that
+shuffle. A much repeated id, a missing one and a much repeated row are so spread over batches; a hash that rows of
+one id have in two batches is then compared in vain, with the same result.
 
 Defined cases: a null text is empty; texts under THRESHOLD bytes lose nothing; rows that repeat an id
 are one document and take nothing from each other; rows without an id are one document with an id larger
@@ -30,17 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bundles import BUNDLE, FAN, bundle, hand_on, unbundle, widths
+
 THRESHOLD = 50
 GRAM = 16
 #: Bytes of text in a batch, about, and documents from which on a hash is hot.
 BATCH_BYTES = 12_000_000
 HOT_DOCS = 20_000
-#: Bytes of text whose hashes meet in a bucket, about. A batch sends a row to every bucket that it has hashes for, so
-#: rows grow with batches times buckets; larger buckets make them fewer and a task larger.
+#: Bytes of text whose hashes meet in a bucket, about.
 BUCKET_BYTES = 12_000_000
 _NO_ID = (1 << 63) - 1
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -121,16 +124,6 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, depth: int) -> list[np.nd
     return np.split(members, np.flatnonzero(group[1:] != group[:-1]) + 1)
 
 
-def _pack6(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -143,59 +136,36 @@ def _documents(batch: pa.Table) -> Iterator[tuple[int, bytes]]:
             yield (_NO_ID if doc is None else doc), data.as_py()
 
 
-_A = "bucket int, g int, hashes binary, docs binary"
-_R = "g int, repeated binary, hot binary"
-_B = "bucket int, g int, hot binary, keys binary, docs binary, shared binary, sizes binary, content binary"
-_M = "g int, hot binary, keys binary, content_hash binary, spans binary, span_size binary, span_doc binary"
+#: What A sends and gets back, what B sends and C gets: rows in bundles. A run is one of a hot hash where content is null.
+_A = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("hash", pa.uint64()), ("docs", pa.int32())])
+_R = pa.schema([("g", pa.int32()), ("hash", pa.uint64()), ("hot", pa.bool_())])
+_B = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("hash", pa.uint64()), ("doc", pa.int64()), ("several", pa.bool_()), ("content", pa.binary())])
+_M = pa.schema([("g", pa.int32()), ("hash", pa.uint64()), ("content", pa.uint64()), ("at", pa.int32()), ("windows", pa.int32()), ("doc", pa.int64())])
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _table(columns: dict[str, list], ddl: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    fields = [x.split() for x in ddl.split(", ")]
-    return pa.table({name: pa.array(columns[name], kinds[kind]) for name, kind in fields})
-
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
 
-def _empty(ddl: str) -> dict[str, list]:
-    return {x.split()[0]: [] for x in ddl.split(", ")}
 
-
-def send_hashes(batch: pa.Table, buckets: int, threshold: int) -> pa.Table:
-    """A: the batch's distinct hashes with their number of documents, by bucket."""
+def send_hashes(batch: pa.Table, g: int, buckets: int, threshold: int) -> pa.Table:
+    """A: the batch's distinct hashes with their number of documents."""
     by_doc: dict[int, list[np.ndarray]] = {}
     for doc, data in _documents(batch):
         by_doc.setdefault(doc, []).append(np.unique(runs(np.frombuffer(data, np.uint8), threshold)[2]))
-    out = _empty(_A)
-    if by_doc:
-        each = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in by_doc.values()]
-        hashes, docs = np.unique(np.concatenate(each), return_counts=True)
-        g = batch.column("g")[0].as_py()
-        at = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-        for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
-            some = slice(at[b], at[b + 1])
-            out["bucket"].append(b)
-            out["g"].append(g)
-            out["hashes"].append(_pack6(hashes[some]))
-            out["docs"].append(docs[some].astype("<u4").tobytes())
-    return _table(out, _A)
+    each = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in by_doc.values()]
+    hashes, docs = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    return pa.table([_bucket(hashes, buckets).astype(np.int32), np.full(len(hashes), g, np.int32), hashes, docs.astype(np.int32)], schema=_A)
 
 
 def find_repeated(bucket: pa.Table, hot_docs: int) -> pa.Table:
-    """A: for every batch, those of its hashes that two documents have, and the hot ones among them."""
-    batches = bucket.column("g").to_pylist()
-    hashes = [_unpack6(x) for x in bucket.column("hashes").to_pylist()]
-    docs = [np.frombuffer(x, "<u4") for x in bucket.column("docs").to_pylist()]
-    values, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(docs)).astype(np.int64)
-    out, at = _empty(_R), 0
-    for g, own in zip(batches, hashes, strict=True):
-        n = total[inverse[at : at + len(own)]]
-        at += len(own)
-        if (n > 1).any():
-            out["g"].append(g)
-            out["repeated"].append(_pack6(own[n > 1]))
-            out["hot"].append(_pack6(own[n >= hot_docs]))
-    return _table(out, _R)
+    """A: for every batch, those of its hashes that two documents have, told whether hot."""
+    hashes = _numbers(bucket, "hash")
+    _, inverse = np.unique(hashes, return_inverse=True)
+    n = np.bincount(inverse, weights=_numbers(bucket, "docs"))[inverse]
+    kept = n > 1
+    return pa.table([_numbers(bucket, "g")[kept], hashes[kept], n[kept] >= hot_docs], schema=_R)
 
 
 def _candidates(data: bytes, repeated: np.ndarray, hot: np.ndarray, threshold: int) -> Iterator[tuple[int, int, bytes]]:
@@ -214,81 +184,54 @@ def _candidates(data: bytes, repeated: np.ndarray, hot: np.ndarray, threshold: i
             yield h, a, data[a : b - 1 + threshold]
 
 
-def send_runs(batch: pa.Table, found: pa.Table, buckets: int, threshold: int) -> pa.Table:
-    """B: the batch's distinct runs with repeated hashes and their smallest doc_id, by bucket."""
-    repeated = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_unpack6, found.column("repeated").to_pylist())]))
-    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_unpack6, found.column("hot").to_pylist())]))
-    out = _empty(_B)
-    if not batch.num_rows:
-        return _table(out, _B)
-    g = batch.column("g")[0].as_py()
+def send_runs(batch: pa.Table, found: pa.Table, g: int, buckets: int, threshold: int) -> pa.Table:
+    """B: the batch's distinct runs with repeated hashes and their smallest doc_id; its hot hashes, for C."""
+    is_hot = _numbers(found, "hot").astype(bool)
+    repeated, hot = np.sort(_numbers(found, "hash")), np.sort(_numbers(found, "hash")[is_hot])
     seen: dict[bytes, list] = {}
     for doc, data in _documents(batch):
         for key, _, content in _candidates(data, repeated, hot, threshold):
             known = seen.get(content)
             if known is None:
-                seen[content] = [key, doc, 0]
+                seen[content] = [key, doc, False]
             elif doc != known[1]:
-                known[1:] = [min(doc, known[1]), 1]
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    contents = list(seen)
-    keys = np.fromiter((x[0] for x in seen.values()), np.uint64, len(seen))
-    docs = np.fromiter((x[1] for x in seen.values()), np.int64, len(seen))
-    shared = np.fromiter((x[2] for x in seen.values()), np.uint8, len(seen))
-    sizes = np.fromiter(map(len, contents), np.uint32, len(seen))
-    order = np.argsort(keys, kind="stable")
-    at = np.searchsorted(_bucket(keys[order], buckets), np.arange(buckets + 1))
-    for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
-        some = order[at[b] : at[b + 1]]
-        row = [b, g, None, _pack6(keys[some]), docs[some].astype("<i8").tobytes(), shared[some].tobytes(), sizes[some].astype("<u4").tobytes(), squeeze(b"".join(contents[i] for i in some.tolist()))]
-        for name, value in zip(out, row, strict=True):
-            out[name].append(value)
-    if len(hot):  # comes back to this batch, for C
-        for name, value in zip(out, [g % buckets, g, _pack6(hot), None, None, None, None, None], strict=True):
-            out[name].append(value)
-    return _table(out, _B)
+                known[1:] = [min(doc, known[1]), True]
+    told = list(seen.values())
+    keys = np.fromiter((x[0] for x in told), np.uint64, len(told))
+    where = np.concatenate([_bucket(keys, buckets), np.full(len(hot), g % buckets)]).astype(np.int32)
+    none = [None] * len(hot)
+    columns = [where, np.full(len(where), g, np.int32), np.concatenate([keys, hot]), [x[1] for x in told] + none, [x[2] for x in told] + none, [*seen, *none]]
+    return pa.table(columns, schema=_B)
 
 
 def smallest_owners(bucket: pa.Table, threshold: int) -> pa.Table:
     """B: for every batch and run, the smallest doc_id of each stretch of its windows."""
-    out = _empty(_M)
     owner: dict[bytes, int] = {}
     by_key: dict[int, list[bytes]] = {}
-    sent: list[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
-    for r in bucket.to_pylist():
-        if r["hot"] is not None:
-            for name, value in zip(out, [r["g"], r["hot"], None, None, None, None, None], strict=True):
-                out[name].append(value)
+    columns = [bucket.column(name).to_pylist() for name in ("g", "hash", "doc", "several", "content")]
+    for _, key, doc, _, content in zip(*columns, strict=True):
+        if content is None:
             continue
-        raw = zstandard.ZstdDecompressor().decompress(r["content"], max_output_size=1 << 40)
-        docs, ends = np.frombuffer(r["docs"], "<i8"), np.cumsum(np.frombuffer(r["sizes"], "<u4"), dtype=np.int64).tolist()
-        contents = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        keys = _unpack6(r["keys"])
-        for content, key, doc in zip(contents, keys.tolist(), docs.tolist(), strict=True):
-            known = owner.get(content)
-            if known is None:
-                owner[content] = doc
-                by_key.setdefault(key, []).append(content)
-            elif doc < known:
-                owner[content] = doc
-        sent.append((r["g"], contents, keys, docs, np.frombuffer(r["shared"], np.uint8)))
+        known = owner.get(content)
+        if known is None:
+            owner[content] = doc
+            by_key.setdefault(key, []).append(content)
+        elif doc < known:
+            owner[content] = doc
     mixed = _sorted_owners([c for group in by_key.values() if len(group) > 1 for c in group], owner, threshold)
-    for g, contents, keys, docs, shared in sent:
-        told, content_hash, spans, sizes, span_docs = [], [], [], [], []
-        for i, (content, doc, several) in enumerate(zip(contents, docs.tolist(), shared.tolist(), strict=True)):
+    out: list[list] = [[] for _ in _M]
+    for g, key, doc, several, content in zip(*columns, strict=True):
+        if content is None:
+            stretches, digest = [(None, None)], None
+        else:
             stretches = mixed.get(content) or [(len(content) - threshold + 1, owner[content])]
-            if several or any(d < doc for _, d in stretches):
-                told.append(i)
-                content_hash.append(xxhash.xxh64_intdigest(content))
-                spans.append(len(stretches))
-                for n, d in stretches:
-                    sizes.append(n)
-                    span_docs.append(d)
-        if content_hash:
-            row = [g, None, _pack6(np.unique(keys[told])), np.array(content_hash, "<u8").tobytes(), np.array(spans, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(span_docs, "<i8").tobytes()]
-            for name, value in zip(out, row, strict=True):
-                out[name].append(value)
-    return _table(out, _M)
+            if not several and all(d >= doc for _, d in stretches):
+                continue
+            digest = xxhash.xxh64_intdigest(content)
+        for at, (windows, least) in enumerate(stretches):
+            for column, value in zip(out, (g, key, digest, at, windows, least), strict=True):
+                column.append(value)
+    return pa.table(out, schema=_M)
 
 
 def _sorted_owners(contents: list[bytes], owner: dict[bytes, int], threshold: int) -> dict[bytes, list[tuple[int, int]]]:
@@ -315,56 +258,65 @@ def _sorted_owners(contents: list[bytes], owner: dict[bytes, int], threshold: in
 
 def remove_repeats(batch: pa.Table, owners: pa.Table, threshold: int) -> pa.Table:
     """C: what is left of each document of a batch."""
-    out = _empty(_OUT)
-    if not batch.num_rows:
-        return _table(out, _OUT)
-    hot = np.zeros(0, np.uint64)
-    keys: list[np.ndarray] = []
-    spans_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in owners.to_pylist():
-        if r["hot"] is not None:
-            hot = np.union1d(hot, _unpack6(r["hot"]))
-            continue
-        keys.append(_unpack6(r["keys"]))
-        counts, sizes, docs = np.frombuffer(r["spans"], "<u4"), np.frombuffer(r["span_size"], "<u4"), np.frombuffer(r["span_doc"], "<i8")
-        ends = np.cumsum(counts, dtype=np.int64).tolist()
-        for h, a, b in zip(np.frombuffer(r["content_hash"], "<u8").tolist(), [0, *ends], ends, strict=False):
-            spans_of[h] = (sizes[a:b].tolist(), docs[a:b].tolist())
-    repeated = np.unique(np.concatenate([hot, *keys]))
+    owners = owners.sort_by([("content", "ascending"), ("at", "ascending")])
+    runs_ = owners.filter(owners.column("content").is_valid())
+    hot = np.unique(_numbers(owners.filter(owners.column("content").is_null()), "hash"))
+    repeated = np.unique(_numbers(owners, "hash"))
+    spans_of: dict[int, list[tuple[int, int]]] = {}
+    for digest, windows, least in zip(*(runs_.column(name).to_pylist() for name in ("content", "windows", "doc")), strict=True):
+        spans_of.setdefault(digest, []).append((windows, least))
+    out: list[list] = [[] for _ in _RESULT]
     for doc, data in _documents(batch):
         covered = np.zeros(len(data) + 1, dtype=np.int32)
         marked = False
         if spans_of:
             for _, at, content in _candidates(data, repeated, hot, threshold):
-                found = spans_of.get(xxhash.xxh64_intdigest(content))
-                if found:
-                    for n, least in zip(*found, strict=True):
-                        if least < doc:
-                            covered[at] += 1
-                            covered[at + n - 1 + threshold] -= 1
-                            marked = True
-                        at += n
+                for n, least in spans_of.get(xxhash.xxh64_intdigest(content), ()):
+                    if least < doc:
+                        covered[at] += 1
+                        covered[at + n - 1 + threshold] -= 1
+                        marked = True
+                    at += n
         kept, removed, spans = data, 0, 0
         if marked:
             gone = np.cumsum(covered[:-1]) > 0
             removed = int(gone.sum())
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        row = [None if doc == _NO_ID else doc, len(data), removed, spans, hashlib.sha256(kept).hexdigest()]
-        for name, value in zip(out, row, strict=True):
-            out[name].append(value)
-    return _table(out, _OUT)
+        row = (None if doc == _NO_ID else doc, len(data), removed, spans, hashlib.sha256(kept).hexdigest())
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    return pa.table(out, schema=_RESULT)
 
 
-def repeated_windows(documents: DataFrame, threshold: int = THRESHOLD, batch_bytes: int = BATCH_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
+def repeated_windows(documents: DataFrame, threshold: int = THRESHOLD, batch_bytes: int = BATCH_BYTES, hot_docs: int = HOT_DOCS, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = max(parts, -(-total // batch_bytes)), max(parts, -(-total // BUCKET_BYTES))
-    g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("g")
+    out, back = widths(buckets, fan), widths(batches, fan)
+    g = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)).cast("int").alias("g")
     dealt = documents.select(g, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    hashes = dealt.groupBy("g").applyInArrow(lambda t: send_hashes(t, buckets, threshold), _A)
-    found = hashes.groupBy("bucket").applyInArrow(lambda t: find_repeated(t, hot_docs), _R)
-    sent = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(lambda a, b: send_runs(a, b, buckets, threshold), _B)
-    owners = sent.groupBy("bucket").applyInArrow(lambda t: smallest_owners(t, threshold), _M)
-    return dealt.groupBy("g").cogroup(owners.groupBy("g")).applyInArrow(lambda a, b: remove_repeats(a, b, threshold), _OUT)
+
+    def hashes(key: tuple, batch: pa.Table) -> pa.Table:
+        g = key[0].as_py()
+        return bundle(send_hashes(batch, g, buckets, threshold), "bucket", out[0], g)
+
+    def repeated(key: tuple, held: pa.Table) -> pa.Table:
+        return bundle(find_repeated(unbundle(held, _A), hot_docs), "g", back[0], key[0].as_py())
+
+    def compared(key: tuple, batch: pa.Table, held: pa.Table) -> pa.Table:
+        g = key[0].as_py()
+        return bundle(send_runs(batch, unbundle(held, _R), g, buckets, threshold), "bucket", out[0], g)
+
+    def owners(key: tuple, held: pa.Table) -> pa.Table:
+        return bundle(smallest_owners(unbundle(held, _B), threshold), "g", back[0], key[0].as_py())
+
+    def left(key: tuple, batch: pa.Table, held: pa.Table) -> pa.Table:
+        return remove_repeats(batch, unbundle(held, _M), threshold)
+
+    met = hand_on(dealt.groupBy("g").applyInArrow(hashes, BUNDLE), "bucket", out, _A, fan)
+    found = hand_on(met.groupBy("slot").applyInArrow(repeated, BUNDLE), "g", back, _R, fan)
+    sent = hand_on(dealt.groupBy("g").cogroup(found.groupBy("slot")).applyInArrow(compared, BUNDLE), "bucket", out, _B, fan)
+    told = hand_on(sent.groupBy("slot").applyInArrow(owners, BUNDLE), "g", back, _M, fan)
+    return dealt.groupBy("g").cogroup(told.groupBy("slot")).applyInArrow(left, _OUT)
