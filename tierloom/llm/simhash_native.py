@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_ones
 
 #: Words of a term.
 TERM = 3
@@ -174,9 +174,12 @@ def fingerprint_report(documents: DataFrame, radius: int = 3, every: int = 100)
     prints = cut(fingerprint_neighbours(documents))
     counts = prints.groupBy("fp").agg(F.count("*").alias("n"))
     asked = prints.where(F.col("doc_id") % every == 0).select(F.col("fp").alias("query"))
-    near = within_radius(counts, asked, radius).join(counts, "fp").groupBy("query").agg(F.sum("n").alias("n_within"))
+    near = cut(within_radius(counts, asked, radius).join(counts, "fp").groupBy("query").agg(F.sum("n").alias("n_within"))).withColumnRenamed("query", "fp")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    joined = prints.join(near, (prints["fp"] == near["query"]) & (prints["doc_id"] % every == 0), "left")
+    # A query fingerprint is near itself, so every query row meets a row of near; copies share theirs, so hot ones are joined apart.
+    is_asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    rest = prints.where(~is_asked).withColumn("n_within", F.lit(None).cast("long"))
+    joined = join_ones(prints.where(is_asked), near, "fp").unionByName(rest)
     return joined.select(
         "doc_id",
         "n_chars",
