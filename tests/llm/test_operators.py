@@ -543,3 +543,26 @@ def test_bundles_reach_their_destinations(spark):
         assert all(r["slot"] == r["to"] for r in got)
         assert sorted((r["to"], r["v"]) for r in got) == sorted(x for s in range(30) for x in rows(s))
     assert bundles.unbundle(bundles.bundle(schema.empty_table(), "to", 1, 0), schema).num_rows == 0
+
+
+def test_steps_are_even_just_beyond_a_power_of_the_fan():
+    """500 destinations in two steps: not two ranges of 256, which would meet in tasks of 128 sources' bytes."""
+    from tierloom.llm import bundles
+
+    assert [bundles.balanced(n) for n in (1, 256, 257, 500, 2500, 65536)] == [2, 256, 17, 23, 50, 256]
+    for n in (257, 500, 2500, 70_000):
+        steps = bundles.widths(n, bundles.balanced(n))
+        assert len(steps) == len(bundles.widths(n)) and -(-n // steps[0]) > 0.5 * bundles.balanced(n)
+
+
+def test_bundles_of_ascending_hashes_are_small():
+    import pyarrow as pa
+
+    from tierloom.llm import bundles
+
+    hashes = np.sort(np.random.default_rng(0).integers(0, 1 << 48, 100_000)).astype(np.uint64)
+    hashes[-1] = (1 << 64) - 1
+    rows = pa.table({"to": pa.array(np.zeros(len(hashes), np.int32)), "hash": hashes})
+    held = bundles.bundle(rows, "to", 1, 0)
+    assert bundles.unbundle(held, rows.schema).equals(rows)
+    assert len(held.column("held")[0].as_py()) < 5.5 * len(hashes)  # 6.4 bytes each before

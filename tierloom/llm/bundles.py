@@ -30,6 +30,32 @@ def widths(destinations: int, fan: int = FAN) -> list[int]:
     return found
 
 
+def balanced(destinations: int, fan: int = FAN) -> int:
+    """The smallest fan that takes no more steps: with it all steps have about as many ranges, so a task between
+    two of them holds about as many bytes as a source sends, also a little beyond a power of ``fan``."""
+    steps = len(widths(destinations, fan))
+    low, high = 2, max(2, fan)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(widths(destinations, middle)) <= steps else (middle + 1, high)
+    return low
+
+
+def _differences(rows: pa.Table) -> pa.Table:
+    """Unsigned 64-bit columns as differences from the row before, which compress where they ascend."""
+    for i, field in enumerate(rows.schema):
+        if field.type == pa.uint64() and not rows.column(i).null_count and len(rows):
+            rows = rows.set_column(i, field, pa.array(np.diff(rows.column(i).to_numpy(), prepend=np.uint64(0))))
+    return rows
+
+
+def _sums(rows: pa.Table) -> pa.Table:
+    for i, field in enumerate(rows.schema):
+        if field.type == pa.uint64() and not rows.column(i).null_count and len(rows):
+            rows = rows.set_column(i, field, pa.array(np.cumsum(rows.column(i).to_numpy(), dtype=np.uint64)))
+    return rows
+
+
 def bundle(rows: pa.Table, to: str, width: int, carrier: int) -> pa.Table:
     """``rows`` by ranges of ``width`` destinations, which column ``to`` names."""
     slot = rows.column(to).to_numpy() // width
@@ -41,7 +67,7 @@ def bundle(rows: pa.Table, to: str, width: int, carrier: int) -> pa.Table:
     for a, b in zip(edges, edges[1:], strict=False):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-            stream.write_table(rows.slice(a, b - a))
+            stream.write_table(_differences(rows.slice(a, b - a)))
         held.append(sink.getvalue().to_pybytes())
     slots = slot[edges[:-1]].tolist()
     return pa.table([slots, [carrier] * len(held), held], schema=_WRITTEN)
@@ -49,7 +75,7 @@ def bundle(rows: pa.Table, to: str, width: int, carrier: int) -> pa.Table:
 
 def unbundle(bundles: pa.Table, schema: pa.Schema) -> pa.Table:
     """The rows of all bundles of a table, none of none."""
-    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(x.as_buffer()).read_all() for x in bundles.column("held"))])
+    return pa.concat_tables([schema.empty_table(), *(_sums(pa.ipc.open_stream(x.as_buffer()).read_all()) for x in bundles.column("held"))])
 
 
 def hand_on(bundles: DataFrame, to: str, steps: list[int], schema: pa.Schema, fan: int = FAN) -> DataFrame:

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bundles import BUNDLE, FAN, bundle, hand_on, unbundle, widths
+from .bundles import BUNDLE, FAN, balanced, bundle, hand_on, unbundle, widths
 
 THRESHOLD = 50
 GRAM = 16
@@ -46,6 +47,8 @@ HOT_DOCS = 20_000
 #: Bytes of text whose hashes meet in a bucket, about.
 BUCKET_BYTES = 12_000_000
 _NO_ID = (1 << 63) - 1
+_CODEC = "zstd"
+_DEALT = pa.schema([("g", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int32()), ("body", pa.binary())])
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -131,9 +134,17 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _documents(batch: pa.Table) -> Iterator[tuple[int, bytes]]:
     """(id, bytes) of the documents of a batch, without copying its columns into lists of text."""
     for part in batch.to_batches():
-        ids = part.column("doc_id").to_pylist()
-        for doc, data in zip(ids, part.column("body"), strict=True):
-            yield (_NO_ID if doc is None else doc), data.as_py()
+        ids, sizes = part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist()
+        for doc, size, data in zip(ids, sizes, part.column("body"), strict=True):
+            yield (_NO_ID if doc is None else doc), pa.decompress(data.as_buffer(), size, _CODEC, asbytes=True) if size else b""
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are dealt: compressed one by one, as the shuffle keeps them until the end."""
+    for batch in batches:
+        body = [x.as_buffer() for x in batch.column("body")]
+        held = pa.array([pa.compress(x, _CODEC, asbytes=True) if x.size else b"" for x in body], pa.binary())
+        yield pa.record_batch([batch.column("g"), batch.column("doc_id"), pa.array([x.size for x in body], pa.int32()), held], schema=_DEALT)
 
 
 #: What A sends and gets back, what B sends and C gets: rows in bundles. A run is one of a hot hash where content is null.
@@ -201,37 +212,45 @@ def send_runs(batch: pa.Table, found: pa.Table, g: int, buckets: int, threshold:
     where = np.concatenate([_bucket(keys, buckets), np.full(len(hot), g % buckets)]).astype(np.int32)
     none = [None] * len(hot)
     columns = [where, np.full(len(where), g, np.int32), np.concatenate([keys, hot]), [x[1] for x in told] + none, [x[2] for x in told] + none, [*seen, *none]]
-    return pa.table(columns, schema=_B)
+    return pa.table(columns, schema=_B).take(np.lexsort((columns[2], where)))
 
 
 def smallest_owners(bucket: pa.Table, threshold: int) -> pa.Table:
     """B: for every batch and run, the smallest doc_id of each stretch of its windows."""
-    owner: dict[bytes, int] = {}
-    by_key: dict[int, list[bytes]] = {}
-    columns = [bucket.column(name).to_pylist() for name in ("g", "hash", "doc", "several", "content")]
-    for _, key, doc, _, content in zip(*columns, strict=True):
-        if content is None:
-            continue
-        known = owner.get(content)
-        if known is None:
-            owner[content] = doc
-            by_key.setdefault(key, []).append(content)
-        elif doc < known:
-            owner[content] = doc
-    mixed = _sorted_owners([c for group in by_key.values() if len(group) > 1 for c in group], owner, threshold)
+    lone = bucket.filter(pc.is_null(bucket.column("content")))
+    bucket = bucket.filter(pc.is_valid(bucket.column("content"))).combine_chunks()
+    hot = pa.table([lone.column("g"), lone.column("hash"), *(pa.nulls(len(lone), field.type) for field in list(_M)[2:])], schema=_M)
+    if not len(bucket):
+        return hot
+    coded = pa.concat_arrays(bucket.column("content").chunks).dictionary_encode()
+    codes, contents = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    g, keys, docs, several = (_numbers(bucket, name) for name in ("g", "hash", "doc", "several"))
+    least = np.full(len(contents), _NO_ID, np.int64)
+    np.minimum.at(least, codes, docs)
+    key_of = np.zeros(len(contents), np.uint64)
+    key_of[codes] = keys
+    _, which, times = np.unique(key_of, return_inverse=True, return_counts=True)
+    crowd = np.flatnonzero(times[which] > 1)
+    crowd = crowd[np.argsort(which[crowd], kind="stable")].tolist()
+    mixed = _sorted_owners([contents[i] for i in crowd], {contents[i]: int(least[i]) for i in crowd}, threshold)
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, contents), np.uint64, len(contents))
+    windows = np.fromiter(map(len, contents), np.int64, len(contents)) - (threshold - 1)
+    is_mixed = np.zeros(len(contents), bool)
+    is_mixed[crowd] = True
+    # Rows whose run is one stretch, then those of the rest, for which each stretch counts.
+    row = np.flatnonzero(~is_mixed[codes] & (several.astype(bool) | (least[codes] < docs)))
+    code = codes[row]
+    parts = [pa.table([g[row], keys[row], digests[code], np.zeros(len(row), np.int32), windows[code].astype(np.int32), least[code]], schema=_M), hot]
     out: list[list] = [[] for _ in _M]
-    for g, key, doc, several, content in zip(*columns, strict=True):
-        if content is None:
-            stretches, digest = [(None, None)], None
-        else:
-            stretches = mixed.get(content) or [(len(content) - threshold + 1, owner[content])]
-            if not several and all(d >= doc for _, d in stretches):
-                continue
-            digest = xxhash.xxh64_intdigest(content)
-        for at, (windows, least) in enumerate(stretches):
-            for column, value in zip(out, (g, key, digest, at, windows, least), strict=True):
+    rest = np.flatnonzero(is_mixed[codes])
+    for at_g, key, doc, twice, code in zip(*(x[rest].tolist() for x in (g, keys, docs, several, codes)), strict=True):
+        stretches = mixed[contents[code]]
+        if not twice and all(d >= doc for _, d in stretches):
+            continue
+        for at, (n, smallest) in enumerate(stretches):
+            for column, value in zip(out, (at_g, key, int(digests[code]), at, n, smallest), strict=True):
                 column.append(value)
-    return pa.table(out, schema=_M)
+    return pa.concat_tables([*parts, pa.table(out, schema=_M)])
 
 
 def _sorted_owners(contents: list[bytes], owner: dict[bytes, int], threshold: int) -> dict[bytes, list[tuple[int, int]]]:
@@ -294,9 +313,11 @@ def repeated_windows(documents: DataFrame, threshold: int = THRESHOLD, batch_byt
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = max(parts, -(-total // batch_bytes)), max(parts, -(-total // BUCKET_BYTES))
+    fan = balanced(max(buckets, batches), fan)
     out, back = widths(buckets, fan), widths(batches, fan)
     g = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)).cast("int").alias("g")
     dealt = documents.select(g, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    dealt = dealt.mapInArrow(_packed, "g int, doc_id long, n_bytes int, body binary")
 
     def hashes(key: tuple, batch: pa.Table) -> pa.Table:
         g = key[0].as_py()
