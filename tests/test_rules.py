@@ -69,3 +69,14 @@ def test_one_scan(spark, tmp_path):
     plan = rules.findings(spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame(SHEET, ROSTER))
     assert "Scan parquet" not in plan._jdf.queryExecution().executedPlan().toString()  # what remains reads the labels alone
     assert plan.count() == 11
+
+
+def test_long_lists_of_recordings_are_not_carried_through_joins(spark, tmp_path):
+    """Whether a signer's recordings are in use is known before they are listed: one list a row, none for each member."""
+    people = [("FO_01-02_%d" % i, "/%d.eaf" % i, "FO_02", "FO_02_XY_50M says 50, sheet says 60", "FO_02_XY_50M-Word-jp", rules.AGE) for i in range(30)]
+    found = spark.createDataFrame(people, "recording string, path string, signer string, detail string, tiers string, problem string")
+    unread, roster = spark.createDataFrame([], "recording string, path string, variants string, unread long"), spark.createDataFrame(SHEET, ROSTER)
+    for used, said in (("FO_01-02_29", "yes"), ("FO_01-02_30", "no")):
+        rows = rules.to_do_list(found, unread, roster, spark.createDataFrame([(used,)], "recording string"))
+        assert [(r["recording"].count(", "), r["in_selection"]) for r in rows.collect()] == [(29, said)]
+        assert "explode(split(recording" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -156,29 +156,29 @@ def to_do_list(found: DataFrame, unread: DataFrame, roster: DataFrame, selected:
     """
     spark = found.sparkSession
     ranks = spark.createDataFrame([(p, r, c, k == 0) for k, x in enumerate((PER_TIER, PER_SIGNER)) for p, (r, c) in x.items()], "problem string, rank int, category string, by_tier boolean")
-    ranked = found.join(F.broadcast(ranks), "problem")
+    used = selected.select("recording").distinct().withColumn("used", F.lit(True))
+    ranked = found.join(F.broadcast(ranks), "problem").join(used, "recording", "left")
     order = F.struct("problem", "signer", "recording", "path", "detail")
-    tiers = ranked.where("by_tier").select("rank", "category", "recording", "signer", "detail", F.explode(F.split("tiers", " ")).alias("tier"), order.alias("at"))
-    by_tier = tiers.groupBy("rank", "category", "recording", "tier").agg(F.min_by("signer", "at").alias("signer"), F.min_by("detail", "at").alias("problem"))
+    tiers = ranked.where("by_tier").select("rank", "category", "recording", "signer", "detail", "used", F.explode(F.split("tiers", " ")).alias("tier"), order.alias("at"))
+    by_tier = tiers.groupBy("rank", "category", "recording", "tier").agg(F.min_by("signer", "at").alias("signer"), F.min_by("detail", "at").alias("problem"), F.max("used").alias("used"))
     # The last detail in the order of the findings stands for a signer.
     people = ranked.where("NOT by_tier").select(order.alias("n"), "rank", "category", "signer", "recording", "detail", F.explode(F.split("tiers", " ")).alias("tier_id"))
-    by_signer = to_do_by_signer(people)
+    # A row of a signer names several recordings; one that is in use is enough. The long list of them stands in one row and is
+    # not carried through a join for each of its members.
+    in_use = ranked.where("NOT by_tier").groupBy("category", "signer", "rank").agg(F.max("used").alias("used"))
+    by_signer = to_do_by_signer(people).join(in_use, ["category", "signer", "rank"])
     pair = F.regexp_extract("recording", _PAIR, 2), F.regexp_extract("recording", _PAIR, 3)
     prefix = F.regexp_extract("recording", _PAIR, 1)
     both = F.when(prefix != "", F.concat(prefix, F.lit("_"), pair[0], F.lit(" and "), prefix, F.lit("_"), pair[1])).otherwise("")
     told = F.concat(F.lit("gloss is on "), F.col("variants"), F.lit(" instead; "), F.col("unread").cast("string"), F.lit(" annotations unread"))
-    files = unread.select(F.lit(UNREADABLE[0]).alias("rank"), F.lit(UNREADABLE[1]).alias("category"), "recording", F.lit("all Word-jp tiers are empty").alias("tier"), both.alias("signer"), told.alias("problem"))
+    files = unread.join(used, "recording", "left").select(F.lit(UNREADABLE[0]).alias("rank"), F.lit(UNREADABLE[1]).alias("category"), "recording", F.lit("all Word-jp tiers are empty").alias("tier"), both.alias("signer"), told.alias("problem"), "used")
     rows = by_tier.unionByName(by_signer).unionByName(files)
 
     says = F.concat(F.lit("age "), F.coalesce(F.col("age").cast("string"), F.lit("")), F.lit(", "), F.coalesce("gender", F.lit("")))
     sheet = roster.select("signer", says.alias("says"))
     rows = rows.join(sheet, "signer", "left").withColumn("spreadsheet", F.when(F.col("category") == UNREADABLE[1], "").otherwise(F.coalesce("says", F.lit("not in spreadsheet")))).drop("says")
-    # A row of a signer names several recordings; one that is in use is enough.
-    place = rows.select("rank", "category", "signer", "recording", "tier", F.explode(F.split("recording", ", ")).alias("one"))
-    used = place.join(selected.select(F.col("recording").alias("one")).distinct(), "one", "left_semi").select("rank", "category", "signer", "recording", "tier").distinct().withColumn("used", F.lit(True))
     action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
-    marked = rows.join(used, ["rank", "category", "signer", "recording", "tier"], "left")
-    return marked.select("rank", "category", "signer", "recording", "tier", "problem", "spreadsheet", F.when(F.col("used"), "yes").otherwise("no").alias("in_selection"), action[F.col("category")].alias("action"))
+    return rows.select("rank", "category", "signer", "recording", "tier", "problem", "spreadsheet", F.when(F.col("used"), "yes").otherwise("no").alias("in_selection"), action[F.col("category")].alias("action"))
 
 
 def to_do_order(rows: DataFrame) -> DataFrame:
