@@ -47,3 +47,10 @@ def test_landmarks_to_region_counts(spark, tmp_path):
     assert sorted((r["hand_role"], r["total_points"], r["regions_used"], r["hand_present"]) for r in clips.collect()) == [("dominant", 2, 1, True), ("non_dominant", 0, 0, False)]
     roster = spark.createDataFrame([("FO_1", "L", "30", "女"), ("#x", "", "", ""), ("FO_2", "", "x", "M")], "Signer string, Handedness string, Age string, Sex string")
     assert rows(load_signers(roster)) == [("FO_1", "left", 30.0, "female"), ("FO_2", "right", None, "male")]
+
+
+def test_equal_findings_are_told_by_the_first(spark):
+    rows = [(n, 1, "A", "t", "d", "100000", str(100 - n)) for n in range(20)]
+    for some in (rows, rows[::-1], rows[7:] + rows[:7]):
+        findings = spark.createDataFrame(some, "n long, rank long, signer string, tier_id string, doc string, problem string, detail string").repartition(3)
+        assert [tuple(r) for r in audit.to_do(findings).collect()] == [("A", "t", 1, "100000", "100", "d")]

@@ -39,9 +39,11 @@ def against_roster(people: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def to_do(findings: DataFrame) -> DataFrame:
-    """One line per tier: the first problem by rank and all files; findings have rank, signer, tier_id, doc, problem, detail."""
+    """One line per tier: the first problem by rank and all files; findings have rank, signer, tier_id, doc, problem,
+    detail and, where they may be equal in rank, doc and problem, n (their order): the first of equals gives the detail."""
     order = F.struct("rank", "doc", "problem")
-    return findings.groupBy("signer", "tier_id").agg(F.min("rank").alias("rank"), F.min_by("problem", order).alias("problem"), F.max_by("detail", order).alias("detail"), F.array_join(F.array_sort(F.collect_set("doc")), ";").alias("docs"))
+    first = [-F.col("n")] if "n" in findings.columns else []
+    return findings.groupBy("signer", "tier_id").agg(F.min("rank").alias("rank"), F.min_by("problem", order).alias("problem"), F.max_by("detail", F.struct("rank", "doc", "problem", *first)).alias("detail"), F.array_join(F.array_sort(F.collect_set("doc")), ";").alias("docs"))
 
 
 def to_do_by_signer(findings: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def audit_roster(spark, sf_dir):
 
 def audit_to_do(spark, sf_dir):
     """Events as findings of several ranks, one line per tier."""
-    e = read(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("rank"), (F.col("user_id") % 20).cast("string").alias("signer"), F.col("event_type").alias("tier_id"), F.date_format("ts", "yyyy-MM-dd").alias("doc"), F.lpad(F.col("event_id").cast("string"), 6, "0").alias("problem"), F.col("user_id").cast("string").alias("detail"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 4).alias("rank"), (F.col("user_id") % 20).cast("string").alias("signer"), F.col("event_type").alias("tier_id"), F.date_format("ts", "yyyy-MM-dd").alias("doc"), F.lpad(F.col("event_id").cast("string"), 6, "0").alias("problem"), F.col("user_id").cast("string").alias("detail"))
     return au.to_do(e)
 
 
