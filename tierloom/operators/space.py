@@ -29,6 +29,8 @@ AGE_BANDS = (("<50", 0, 50), ("50+", 50, 200))
 QUALITY_TIERS = ((8, "solid"), (5, "usable"), (3, "indicative"), (2, "unstable"))
 STABLE_SIGNERS = 5
 ITERATIONS, CONFIDENCE, SEED = 2000, 0.95, 20260806
+#: Draws of a bootstrap that are held at once; more are drawn in turn.
+DRAWS = 4_000_000
 
 
 def bucket(value: Column, bands: Sequence[tuple[str, float, float]]) -> Column:
@@ -154,8 +156,12 @@ def bootstrap_mean(sums: np.ndarray, counts: np.ndarray, iterations: int = ITERA
     n = len(sums)
     if n < 2:
         return float("nan"), float("nan")
-    drawn = np.random.default_rng(seed).integers(0, n, size=(iterations, n))
-    means = sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1)
+    # One generator in rows of draws, as many at once as fit DRAWS: the same draws as all at once.
+    rng, means = np.random.default_rng(seed), np.empty(iterations)
+    step = max(1, DRAWS // n)
+    for i in range(0, iterations, step):
+        drawn = rng.integers(0, n, size=(min(step, iterations - i), n))
+        means[i : i + step] = sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1)
     alpha = (1 - confidence) / 2
     low, high = np.percentile(means, [100 * alpha, 100 * (1 - alpha)])
     return float(low), float(high)
@@ -185,13 +191,13 @@ def bootstrap_ci(clips: DataFrame, keys: Sequence[str], value: str = "regions_us
     cells = _signer_sums(clips.where("hand_present"), keys, value)
 
     @F.pandas_udf("struct<low:double,high:double>")
-    def interval(signers):
+    def interval(sums, counts):
         import pandas as pd
 
-        found = [bootstrap_mean(np.array([x["s"] for x in cell]), np.array([x["c"] for x in cell])) for cell in signers]
+        found = [bootstrap_mean(np.asarray(s, float), np.asarray(c, float)) for s, c in zip(sums, counts, strict=True)]
         return pd.DataFrame(found, columns=["low", "high"])
 
-    ci = F.when(F.size("signers") >= 2, interval("signers"))
+    ci = F.when(F.size("signers") >= 2, interval(*(F.transform("signers", lambda x, k=k: x[k]) for k in "sc")))
     out = cells.select(*keys, F.size("signers").alias("n_signers"), ci.alias("ci"))
     return out.select(*keys, "n_signers", F.col("ci.low").alias("ci_low"), F.col("ci.high").alias("ci_high"), ci_quality(F.col("n_signers")).alias("ci_quality"))
 
