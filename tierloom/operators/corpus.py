@@ -163,9 +163,13 @@ def top_by_scope(totals: DataFrame, top_n: int = 100, min_signers: int = 2) -> D
 def gloss_statistics(flagged: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """One row per lexical item of parsed rows; regions are filtered before anything is counted."""
     rows = flagged.where(F.upper("region_code").isin(*[r.upper() for r in regions])) if regions else flagged
-    # Cells first, so that what the distinct counts expand is one row for each speaker and recording, not each token.
-    out = gloss_cells(rows).groupBy("gloss").agg(
-        F.sum("occurrences").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), F.count_distinct("source_file").alias("n_files"), F.array_join(F.array_sort(F.collect_set("region_code")), ";").alias("regions"), F.count_distinct("region_code").alias("n_regions")
+    # A recording's first cell of a gloss counts the recording, so that recordings are summed and no
+    # distinct count copies every cell; what is left for each gloss, region and speaker is little.
+    first = F.row_number().over(Window.partitionBy("source_file", "gloss").orderBy("region_code", "speaker_id")) == 1
+    cells = gloss_cells(rows).withColumn("__file", (first & F.col("source_file").isNotNull()).cast("int"))
+    small = cells.groupBy("gloss", "region_code", "speaker_id").agg(F.sum("occurrences").alias("occurrences"), F.sum("__file").alias("n_files"))
+    out = small.groupBy("gloss").agg(
+        F.sum("occurrences").alias("occurrences"), F.count_distinct("speaker_id").alias("n_signers"), F.sum("n_files").alias("n_files"), F.array_join(F.array_sort(F.collect_set("region_code")), ";").alias("regions"), F.count_distinct("region_code").alias("n_regions")
     )
     return out.withColumn("occurrences_per_signer", F.col("occurrences") / F.col("n_signers"))
 

@@ -11,12 +11,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a task cuts into words, about.
+TASK_BYTES = 32_000_000
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as lexical items, dealt to all cores."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    cores = spark.sparkContext.defaultParallelism
-    if len(d.inputFiles()) < cores:  # a table of few files would be cut into words by few tasks
-        d = d.repartition(2 * cores)
+    # By recording, so that its words are counted where they are; about 32 MB of text a task, however much there is.
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    d = d.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(parts, "doc_id")
     return tokens_of(d)
 
 
