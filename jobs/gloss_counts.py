@@ -42,6 +42,8 @@ STATE = {
     "signers": "region_code string, gloss string, speaker_id string, batch long",
 }
 TOP_N, MIN_SIGNERS = 100, 2
+#: Bytes of text that a task cuts into words, about; a task's memory follows them, not the batch.
+TASK_BYTES = 8_000_000
 GLOSSES = "gloss string, occurrences long, n_files long, n_signers long, percent_of_tokens double, tag string"
 
 
@@ -65,19 +67,22 @@ def count_batch(documents: DataFrame, number: int, out: str) -> int:
     """The partial tables of one micro-batch; returns how many rows it read."""
     spark = documents.sparkSession
     known = state(spark, out, "documents").where(F.col("batch") < number).select("doc_id")
-    taken, read = Observation(f"taken-{number}"), documents.count()  # Parquet knows its rows without reading them
+    taken = Observation(f"taken-{number}")
+    read, size = documents.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     # Ids as text, as the library has recordings: documents are dealt by id once, and their words are counted where they are.
-    named = documents.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("string"))
-    new = named.dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
+    # The number of parts is given, as adaptive execution would join small parts into tasks of some 64 MB of compressed text.
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    named = documents.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("string")).repartition(parts, "doc_id")
+    new = named.dropDuplicates(["doc_id"]).join(known.repartition(parts, "doc_id"), "doc_id", "left_anti")
     folder = lambda name: f"{out}/state/{name}/batch={number}"
-    # The words are counted once and written; the two smaller tables are made from what was written.
-    rows = tokens_of(new)
+    # The words are counted once and written; the two smaller tables are made from what was written. A document is one row by
+    # now, with one region and one speaker, so its cells are summed, and counted as documents, without its id.
     cells = f"{out}/state/cells"
-    corpus.gloss_cells(corpus.add_flags(rows)).write.mode("overwrite").parquet(cells)
-    written = spark.read.schema("region_code string, gloss string, speaker_id string, source_file string, occurrences long").parquet(cells)
-    by_file = written.groupBy("region_code", "gloss", "source_file").agg(F.sum("occurrences").alias("occurrences"))
-    by_file.groupBy("region_code", "gloss").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("n_files")).write.mode("overwrite").parquet(folder("counts"))
-    written.select("region_code", "gloss", "speaker_id").distinct().write.mode("overwrite").parquet(folder("signers"))
+    by_file = corpus.gloss_cells(corpus.add_flags(tokens_of(new)))
+    by_file.groupBy("region_code", "gloss", "speaker_id").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("n_files")).write.mode("overwrite").parquet(cells)
+    written = spark.read.schema("region_code string, gloss string, speaker_id string, occurrences long, n_files long").parquet(cells)
+    written.groupBy("region_code", "gloss").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_files").alias("n_files")).write.mode("overwrite").parquet(folder("counts"))
+    written.select("region_code", "gloss", "speaker_id").write.mode("overwrite").parquet(folder("signers"))
     # Last, so that a batch that stops half way finds its documents unknown when it runs again.
     new.select("doc_id").observe(taken, F.count("*").alias("documents")).write.mode("overwrite").parquet(folder("documents"))
     log.info("batch %d: %d rows, %d new documents", number, read, taken.get["documents"])

@@ -116,6 +116,19 @@ def test_words_are_counted_where_their_documents_are(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_task_cuts_a_bounded_share_of_the_text(spark, tmp_path, monkeypatch):
+    """Documents are dealt by the bytes of their text, so that a batch of any size has small tasks."""
+    monkeypatch.setattr(gloss_counts, "TASK_BYTES", 1000, raising=False)
+    documents = [(n, f"w{n % 7} a a " + "b " * 50, "en" if n % 2 else "fr", f"s{n % 3}", 0) for n in range(400)]
+    frame = spark.createDataFrame(documents + documents[:9], SCHEMA).select("doc_id", "text", "lang", "source")
+    out = str(tmp_path / "out")
+    gloss_counts.count_batch(frame, 0, out)
+    assert len(files_of(f"{out}/state/documents")) > 30  # 43 kB of text; joined into one part before
+    assert gloss_counts.state(spark, out, "counts").where("region_code = 'fr' AND gloss = 'a'").select("occurrences", "n_files").collect() == [(400, 200)]
+    counts = {(r["region_code"], r["gloss"]): (r["occurrences"], r["n_files"]) for r in gloss_counts.state(spark, out, "counts").collect()}
+    assert counts[("en", "b")] == (10_000, 200) and sum(n for n, _ in counts.values()) == 400 * 53
+
+
 def test_a_run_that_dies_is_taken_up(spark, tmp_path, monkeypatch):
     source, out, mark = (str(tmp_path / n) for n in ("d", "out", "mark"))
     spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(source)
