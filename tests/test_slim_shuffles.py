@@ -22,3 +22,18 @@ def test_lines_are_dealt_for_one_join(spark):
     plan = adapters.marked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "l_orderkey" in joins[0] and "o_custkey" in joins[1]  # the other way round before: lines dealt by order, then by customer
+
+
+def test_summary_counts_cells(flagged):
+    out = corpus.summary(flagged)
+    for r in out.collect():
+        some = [x for x in ROWS if r["tag"] in ("GLOBAL", x[2])]
+        parsed = [x for x in some if not x[5] and not x[6]]
+        items = [x[4] for x in parsed if x[4]]
+        assert (r["n_files_parsed"], r["n_signers"], r["n_annotations"]) == (distinct(x[0] for x in some), distinct(x[1] for x in some), len(some))
+        assert (r["n_parsed"], r["n_ambiguous"], r["n_compound"]) == (len(parsed), sum(x[6] != "" for x in some), sum(x[5] != "" for x in some))
+        assert (r["n_unique_annotation_strings"], r["n_with_lexical"], r["n_unique_lexical_items"]) == (distinct(x[3] for x in parsed), len(items), distinct(items))
+        assert r["n_lexical_items_occurring_once"] == sum(items.count(x) == 1 for x in set(items))
+        assert (r["n_lexical_only"], r["n_key_only"], r["n_lexical_with_key"], r["n_empty"]) == tuple(sum(bool(x[4]) == w and bool(x[7]) == k for x in parsed) for w, k in ((True, False), (False, True), (True, True), (False, False)))
+    assert {r["tag"] for r in out.collect()} == {"GLOBAL", "A", "B"}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # every row was copied for each distinct count

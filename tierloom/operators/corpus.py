@@ -67,30 +67,37 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.sum("n_keys").cast("long").alias("n_keys"), F.count_if("has_blocking_key").alias("n_blocking"))
 
 
+def facts(*kinds: Column) -> Column:
+    """A row as one fact a column: its kind, the column's place from 0, and its value; null values are no facts.
+
+    Distinct counts are then counts of cells of (kind, value) after one grouping with slim rows, where several distinct counts in
+    one aggregate would copy every row with all aggregates' buffers for each of them.
+    """
+    known = F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("kind"), c.cast("string").alias("value"))) for i, c in enumerate(kinds)])
+    return F.explode(F.array_compact(known))
+
+
 def summary(flagged: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """One row of headline counts for the corpus and for each region.
 
     ``index`` has region_code and duration_ms, one row per recording.
     """
     parsed, lexical = F.col("is_parsed"), F.col("has_lexical")
-    main = by_scope(
-        flagged,
-        F.count_distinct("source_file").alias("n_files_parsed"),
-        F.count_distinct("speaker_id").alias("n_signers"),
-        F.count("*").alias("n_annotations"),
-        F.count_if(parsed).alias("n_parsed"),
-        F.count_if("is_ambiguous").alias("n_ambiguous"),
-        F.count_if("is_compound").alias("n_compound"),
-        F.count_distinct(F.when(parsed, F.col("annotation"))).alias("n_unique_annotation_strings"),
-        F.count_if(parsed & lexical).alias("n_with_lexical"),
-        F.count_if("lexical_only").alias("n_lexical_only"),
-        F.count_if("key_only").alias("n_key_only"),
-        F.count_if("lexical_with_key").alias("n_lexical_with_key"),
-        F.count_if("empty_row").alias("n_empty"),
-    )
-    items = by_scope(flagged.where(parsed & lexical), F.count("*").alias("n"), keys=["lexical_item"])
-    words = items.groupBy("tag").agg(F.count("*").alias("n_unique_lexical_items"), F.count_if(F.col("n") == 1).alias("n_lexical_items_occurring_once"))
-    out = main.join(words, "tag", "left").na.fill(0, ["n_unique_lexical_items", "n_lexical_items_occurring_once"])
+    shapes = {"n_parsed": parsed, "n_ambiguous": F.col("is_ambiguous"), "n_compound": F.col("is_compound"), "n_with_lexical": parsed & lexical, "n_lexical_only": F.col("lexical_only"), "n_key_only": F.col("key_only"), "n_lexical_with_key": F.col("lexical_with_key"), "n_empty": F.col("empty_row")}
+    bits = {name: 1 << i for i, name in enumerate(shapes)}
+    shape = sum((F.when(c, bits[name]).otherwise(0) for name, c in shapes.items()), F.lit(0))
+    fact = facts(shape, F.col("source_file"), F.col("speaker_id"), F.when(parsed, F.col("annotation")), F.when(parsed & lexical, F.col("lexical_item")))
+    cells = flagged.select("region_code", fact.alias("f")).groupBy("region_code", "f.kind", "f.value").agg(F.count("*").alias("n"))
+    kind, n = F.col("kind"), F.col("n")
+    rows = {name: F.coalesce(F.sum(F.when((kind == 0) & (F.col("value").try_cast("int").bitwiseAND(bit) != 0), n)), F.lit(0)).alias(name) for name, bit in bits.items()}
+    distinct = lambda i, name: F.count_if(kind == i).alias(name)
+    counts = [
+        distinct(1, "n_files_parsed"), distinct(2, "n_signers"), F.coalesce(F.sum(F.when(kind == 0, n)), F.lit(0)).alias("n_annotations"), rows["n_parsed"], rows["n_ambiguous"], rows["n_compound"],
+        distinct(3, "n_unique_annotation_strings"), rows["n_with_lexical"], rows["n_lexical_only"], rows["n_key_only"], rows["n_lexical_with_key"], rows["n_empty"],
+        distinct(4, "n_unique_lexical_items"), F.count_if((kind == 4) & (n == 1)).alias("n_lexical_items_occurring_once"),
+    ]
+    whole = cells.groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    out = whole.groupBy(F.lit(GLOBAL).alias("tag")).agg(*counts).unionByName(cells.groupBy(F.col("region_code").alias("tag")).agg(*counts))
     if index is not None:
         out = out.join(by_scope(index, F.count("*").alias("n_files_elan_matched"), F.sum("duration_ms").alias("total_recording_ms")), "tag", "left").na.fill(0, ["n_files_elan_matched", "total_recording_ms"])
         out = out.withColumn("annotations_per_minute", F.when(F.col("total_recording_ms") > 0, F.col("n_annotations") / (F.col("total_recording_ms") / F.lit(60000.0))))
