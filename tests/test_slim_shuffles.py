@@ -37,3 +37,13 @@ def test_summary_counts_cells(flagged):
         assert (r["n_lexical_only"], r["n_key_only"], r["n_lexical_with_key"], r["n_empty"]) == tuple(sum(bool(x[4]) == w and bool(x[7]) == k for x in parsed) for w, k in ((True, False), (False, True), (True, True), (False, False)))
     assert {r["tag"] for r in out.collect()} == {"GLOBAL", "A", "B"}
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # every row was copied for each distinct count
+
+
+def test_recordings_are_dealt_once(flagged):
+    out = corpus.per_file(flagged)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # two before
+    for r in out.collect():
+        some = [x for x in ROWS if x[0] == r["source_file"]]
+        parsed = [x for x in some if not x[5] and not x[6]]
+        assert (r["region_code"], r["n_signers"], r["n_annotations"], r["n_parsed"]) == (min(x[2] for x in some), distinct(x[1] for x in some), len(some), len(parsed))
+        assert (r["n_ambiguous"], r["n_compound"], r["n_unique_lexical_items"]) == (sum(x[6] != "" for x in some), sum(x[5] != "" for x in some), distinct(x[4] for x in parsed if x[4]))

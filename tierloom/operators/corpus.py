@@ -120,14 +120,20 @@ def key_counts(flagged: DataFrame) -> DataFrame:
 
 def per_file(flagged: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """One row per source file; ``durations`` (source_file, duration_ms, ordinal) keeps the last of duplicates."""
-    out = flagged.groupBy("source_file").agg(
+    # Rows are dealt by recording once; all grouping is by recording and more, so it happens where they are.
+    slim = flagged.select("source_file", "region_code", "speaker_id", "is_parsed", "is_ambiguous", "is_compound", F.when(F.col("is_parsed") & F.col("has_lexical"), F.col("lexical_item")).alias("item")).repartition("source_file")
+    some = lambda flag: F.count_if((F.col("f.kind") == 0) & F.col(flag))
+    cells = slim.select("*", facts(F.lit(""), F.col("speaker_id"), F.col("item")).alias("f")).groupBy("source_file", "f.kind", "f.value").agg(
+        F.min("region_code").alias("region_code"), F.count("*").alias("n"), some("is_parsed").alias("n_parsed"), some("is_ambiguous").alias("n_ambiguous"), some("is_compound").alias("n_compound")
+    )
+    out = cells.groupBy("source_file").agg(
         F.min("region_code").alias("region_code"),
-        F.count_distinct("speaker_id").alias("n_signers"),
-        F.count("*").alias("n_annotations"),
-        F.count_if("is_parsed").alias("n_parsed"),
-        F.count_if("is_ambiguous").alias("n_ambiguous"),
-        F.count_if("is_compound").alias("n_compound"),
-        F.count_distinct(F.when(F.col("is_parsed") & F.col("has_lexical"), F.col("lexical_item"))).alias("n_unique_lexical_items"),
+        F.count_if(F.col("kind") == 1).alias("n_signers"),
+        F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("n_annotations"),
+        F.sum("n_parsed").alias("n_parsed"),
+        F.sum("n_ambiguous").alias("n_ambiguous"),
+        F.sum("n_compound").alias("n_compound"),
+        F.count_if(F.col("kind") == 2).alias("n_unique_lexical_items"),
     )
     out = out.withColumn("ambiguous_percent", percent(F.col("n_ambiguous"), F.col("n_annotations")))
     if durations is not None:
