@@ -56,3 +56,13 @@ def test_bootstrap_holds_few_draws(spark):
     tracemalloc.stop()
     means = sums[np.random.default_rng(3).integers(0, n, size=(500, n))].mean(axis=1)
     assert found == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+def test_bootstrap_ci_of_signers(spark):
+    """Every cell has the interval of its signers' sums and counts in id order; one signer has none."""
+    rows = [("k", f"s{i:02d}", float(i % 7 + j), True) for i in range(12) for j in range(i % 3 + 1)] + [("k", "s00", 99.0, False), ("lone", "s01", 2.0, True)]
+    out = {r["keyword"]: r for r in space.bootstrap_ci(spark.createDataFrame(rows[::-1], "keyword string, signer_id string, regions_used double, hand_present boolean"), ["keyword"]).collect()}
+    clips = [[x[2] for x in rows if x[0] == "k" and x[1] == f"s{i:02d}" and x[3]] for i in range(12)]
+    want = space.bootstrap_mean(np.array([sum(c) for c in clips]), np.array([float(len(c)) for c in clips]))
+    assert (out["k"]["ci_low"], out["k"]["ci_high"]) == pytest.approx(want) and out["k"]["n_signers"] == 12 and out["k"]["ci_quality"] == "solid"
+    assert out["lone"]["ci_low"] is None and out["lone"]["n_signers"] == 1

@@ -197,7 +197,7 @@ def bootstrap_ci(clips: DataFrame, keys: Sequence[str], value: str = "regions_us
         found = [bootstrap_mean(np.asarray(s, float), np.asarray(c, float)) for s, c in zip(sums, counts, strict=True)]
         return pd.DataFrame(found, columns=["low", "high"])
 
-    ci = F.when(F.size("signers") >= 2, interval(*(F.transform("signers", lambda x, k=k: x[k]) for k in "sc")))
+    ci = F.when(F.size("signers") >= 2, interval("signers.s", "signers.c"))
     out = cells.select(*keys, F.size("signers").alias("n_signers"), ci.alias("ci"))
     return out.select(*keys, "n_signers", F.col("ci.low").alias("ci_low"), F.col("ci.high").alias("ci_high"), ci_quality(F.col("n_signers")).alias("ci_quality"))
 
