@@ -46,6 +46,9 @@ BATCH_BYTES = 12_000_000
 HOT_DOCS = 20_000
 #: Bytes of text whose hashes meet in a bucket, about.
 BUCKET_BYTES = 12_000_000
+#: Bytes of text whose windows are hashed at once, about, and bytes after which a radix sort looks for groups that are done.
+HELD_BYTES = 1 << 18
+_LOOKS = (4, 12, 24)
 _NO_ID = (1 << 63) - 1
 _CODEC = "zstd"
 _DEALT = pa.schema([("g", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int32()), ("body", pa.binary())])
@@ -61,15 +64,18 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:n], a[width - have : width - have + n]) if width > have else a
 
 
-def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end, 48-bit hash) of the maximal runs of windows with the same smallest gram hash."""
+def runs(data: np.ndarray, ends: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end, 48-bit hash, text) of the maximal runs of windows with the same smallest gram hash.
+
+    ``data`` holds texts one after another, which stop at ``ends``; a window lies in one of them.
+    """
     gram = min(GRAM, threshold)
     if len(data) < threshold:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     n = len(data) - gram + 1
     if gram == GRAM:
-        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
+        eight = np.array(np.ndarray(len(data) - 7, "<u8", data, strides=(1,)))
         h = eight[:n] * _MIX[0]
         h ^= h >> np.uint64(29)
         h += eight[8 : 8 + n] * _MIX[1]
@@ -81,11 +87,18 @@ def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.n
     h *= _MIX[2]
     h ^= h >> np.uint64(29)
     least = _sliding_min(h, threshold - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    begins = np.concatenate([[0], ends[:-1]])
+    edges = np.concatenate([begins, np.maximum(ends - threshold + 1, begins)])
+    new[edges[edges < len(new)]] = True
+    first = np.flatnonzero(new)
+    end, text = np.append(first[1:], len(least)), np.searchsorted(ends, first, side="right")
+    inside = first + threshold <= ends[text]
+    first, end, text = first[inside], end[inside], text[inside]
     # A smallest value says little in its high bits; it is mixed again before it is dealt by them.
     mixed = least[first] * _MIX[1]
     mixed ^= mixed >> np.uint64(31)
-    return first, np.append(first[1:], len(least)), (mixed * _MIX[0]) >> np.uint64(16)
+    return first, end, (mixed * _MIX[0]) >> np.uint64(16), text
 
 
 def _radix_order(keys: np.ndarray) -> np.ndarray:
@@ -102,41 +115,70 @@ def _radix_order(keys: np.ndarray) -> np.ndarray:
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Groups of two or more starts whose next ``depth`` bytes are equal (numbers into ``starts``).
+    """Groups of two or more starts whose next ``depth`` bytes are equal (numbers into ``starts``)."""
+    members, heads = _radix_members(data, starts, depth, np.zeros(len(starts), np.int64))
+    return np.split(members, heads[1:]) if len(members) else []
+
+
+def _radix_members(data: np.ndarray, starts: np.ndarray, depth: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of ``radix_groups`` one after another, and where each begins; only starts of one ``group`` (ascending) meet.
 
     Most significant digit first: each pass deals what is still together by its next digit of two bytes, by
-    radix, and drops what is alone.
+    radix, and drops what is alone. Now and then a group whose rest is equal throughout is done.
     """
     members = np.arange(len(starts))
-    group = np.zeros(len(starts), dtype=np.int64)
-    padded = np.concatenate([data, np.zeros(2, dtype=np.uint8)]).astype(np.uint16)
-    pairs = padded[:-1] << 8 | padded[1:]
+    group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    pairs = padded[:-1].astype(np.uint16) << 8 | padded[1:]
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, depth, 2):
-        digit = pairs[starts[members] + at] if at + 1 < depth else padded[starts[members] + at]
-        order = np.argsort(digit, kind="stable")
-        order = order[_radix_order(group[order])]
-        members, group, digit = members[order], group[order], digit[order]
+        if at in _LOOKS and depth - at >= 8 and len(members):
+            first = starts[members[np.flatnonzero(np.diff(group, prepend=-1))][group]]
+            own, equal = starts[members], np.ones(len(members), bool)
+            for k in (*range(at, depth - 8, 8), depth - 8):
+                equal &= words[own + k] == words[first + k]
+            whole = np.bincount(group[~equal], minlength=int(group[-1]) + 1) == 0
+            done.append((members[whole[group]], group[whole[group]]))
+            members, group = members[~whole[group]], group[~whole[group]]
         if not len(members):
-            return []
+            break
+        digit = pairs[starts[members] + at] if at + 1 < depth else padded[starts[members] + at].astype(np.uint16)
+        if len(members) > 256 * (int(group[-1]) + 1):
+            order = np.argsort(digit, kind="stable")
+            order = order[_radix_order(group[order])]
+        else:  # groups are in order already, and digits within small ones are soon put in order
+            order = np.argsort(group << 16 | digit, kind="stable")
+        members, group, digit = members[order], group[order], digit[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
         group = np.cumsum(new) - 1
         together = np.bincount(group)[group] > 1
         members, group = members[together], group[together]
-    if not len(members):
-        return []
-    return np.split(members, np.flatnonzero(group[1:] != group[:-1]) + 1)
+        group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+    done.append((members, group))
+    heads = [np.flatnonzero(np.diff(g, prepend=-1)) for _, g in done]
+    before = np.cumsum([0, *(len(m) for m, _ in done)])
+    return np.concatenate([m for m, _ in done]), np.concatenate([h + n for h, n in zip(heads, before, strict=False)])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _documents(batch: pa.Table) -> Iterator[tuple[int, bytes]]:
-    """(id, bytes) of the documents of a batch, without copying its columns into lists of text."""
+def _texts(batch: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """(ids, ends, texts one after another) of the documents of a batch, some texts at a time."""
+    ids, ends, held = [], [], bytearray()
     for part in batch.to_batches():
-        ids, sizes = part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist()
-        for doc, size, data in zip(ids, sizes, part.column("body"), strict=True):
-            yield (_NO_ID if doc is None else doc), pa.decompress(data.as_buffer(), size, _CODEC, asbytes=True) if size else b""
+        for doc, size, data in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), part.column("body"), strict=True):
+            if size:
+                held += pa.decompress(data.as_buffer(), size, _CODEC)
+            ids.append(_NO_ID if doc is None else doc)
+            ends.append(len(held))
+            if len(held) >= HELD_BYTES:
+                yield np.array(ids), np.array(ends), bytes(held)
+                ids, ends, held = [], [], bytearray()
+    if ids:
+        yield np.array(ids), np.array(ends), bytes(held)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +204,15 @@ def _numbers(rows: pa.Table, name: str) -> np.ndarray:
 
 def send_hashes(batch: pa.Table, g: int, buckets: int, threshold: int) -> pa.Table:
     """A: the batch's distinct hashes with their number of documents."""
-    by_doc: dict[int, list[np.ndarray]] = {}
-    for doc, data in _documents(batch):
-        by_doc.setdefault(doc, []).append(np.unique(runs(np.frombuffer(data, np.uint8), threshold)[2]))
-    each = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in by_doc.values()]
-    hashes, docs = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    met = [(hashes, ids[text]) for ids, ends, data in _texts(batch) for _, _, hashes, text in [runs(np.frombuffer(data, np.uint8), ends, threshold)]]
+    hashes, ids = (np.concatenate([np.zeros(0, kind), *(x[i] for x in met)]) for i, kind in enumerate((np.uint64, np.int64)))
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    other = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+    once = other.copy()
+    once[1:] |= ids[1:] != ids[:-1]
+    docs = np.add.reduceat(once, np.flatnonzero(other), dtype=np.int64) if len(hashes) else np.zeros(0, np.int64)
+    hashes = hashes[other]
     return pa.table([_bucket(hashes, buckets).astype(np.int32), np.full(len(hashes), g, np.int32), hashes, docs.astype(np.int32)], schema=_A)
 
 
@@ -179,40 +225,73 @@ def find_repeated(bucket: pa.Table, hot_docs: int) -> pa.Table:
     return pa.table([_numbers(bucket, "g")[kept], hashes[kept], n[kept] >= hot_docs], schema=_R)
 
 
-def _candidates(data: bytes, repeated: np.ndarray, hot: np.ndarray, threshold: int) -> Iterator[tuple[int, int, bytes]]:
-    """(key, first window, content) of the runs to compare; a hot run gives each window by itself."""
-    first, end, hashes = runs(np.frombuffer(data, np.uint8), threshold)
-    at = np.searchsorted(repeated, hashes)
-    kept = repeated[np.minimum(at, max(0, len(repeated) - 1))] == hashes if len(repeated) else np.zeros(len(hashes), bool)
-    first, end, hashes = first[kept], end[kept], hashes[kept]
-    is_hot = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
-    for a, b, h, burning in zip(first.tolist(), end.tolist(), hashes.tolist(), is_hot.tolist(), strict=True):
-        if burning:
-            for s in range(a, b):
-                window = data[s : s + threshold]
-                yield xxhash.xxh64_intdigest(window, 1) >> 16, s, window
-        else:
-            yield h, a, data[a : b - 1 + threshold]
+def _expand(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of ``n``, one after another."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class _Known:
+    """Hashes to look for; most others are told by a table of their high bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.hashes >> np.uint64(26)] = True
+
+    def where(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of those that are known, ascending."""
+        maybe = np.flatnonzero(self.table[hashes >> np.uint64(26)])
+        if not len(maybe):
+            return maybe
+        wanted = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return maybe[self.hashes[at] == wanted]
+
+
+def _candidates(data: bytes, ends: np.ndarray, repeated: _Known, hot: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(key, first window, text, content, digest) of the runs to compare; a hot run gives each window by itself."""
+    first, end, keys, text = runs(np.frombuffer(data, np.uint8), ends, threshold)
+    kept = repeated.where(keys)
+    first, end, keys, text = first[kept], end[kept], keys[kept], text[kept]
+    is_hot = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+    if is_hot.any():
+        n = np.where(is_hot, end - first, 1)
+        keys, text, burning = (np.repeat(x, n) for x in (keys, text, is_hot))
+        first, end = _expand(first, n), np.repeat(end, n)
+        end[burning] = first[burning] + 1
+    contents = [data[a:b] for a, b in zip(first.tolist(), (end - 1 + threshold).tolist(), strict=True)]
+    if is_hot.any():
+        keys[burning] = [xxhash.xxh64_intdigest(contents[i], 1) >> 16 for i in np.flatnonzero(burning).tolist()]
+    return keys, first, text, contents, np.fromiter(map(xxhash.xxh64_intdigest, contents), np.uint64, len(contents))
 
 
 def send_runs(batch: pa.Table, found: pa.Table, g: int, buckets: int, threshold: int) -> pa.Table:
     """B: the batch's distinct runs with repeated hashes and their smallest doc_id; its hot hashes, for C."""
-    is_hot = _numbers(found, "hot").astype(bool)
-    repeated, hot = np.sort(_numbers(found, "hash")), np.sort(_numbers(found, "hash")[is_hot])
-    seen: dict[bytes, list] = {}
-    for doc, data in _documents(batch):
-        for key, _, content in _candidates(data, repeated, hot, threshold):
-            known = seen.get(content)
-            if known is None:
-                seen[content] = [key, doc, False]
-            elif doc != known[1]:
-                known[1:] = [min(doc, known[1]), True]
-    told = list(seen.values())
-    keys = np.fromiter((x[0] for x in told), np.uint64, len(told))
+    hot = np.sort(_numbers(found, "hash")[_numbers(found, "hot").astype(bool)])
+    repeated = _Known(_numbers(found, "hash"))
+    keys, docs, digests = ([np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.uint64))
+    contents: list[bytes] = []
+    for ids, ends, data in _texts(batch):
+        key, _, text, content, digest = _candidates(data, ends, repeated, hot, threshold)
+        # Of what is equal here the smallest and the largest document tell all.
+        order = np.lexsort((ids[text], digest))
+        new = np.concatenate([[True], digest[order[1:]] != digest[order[:-1]]])[: len(order)]
+        once = order[new | np.append(new[1:], True)[: len(order)]]
+        for held, new in ((keys, key), (docs, ids[text]), (digests, digest)):
+            held.append(new[once])
+        contents += [content[i] for i in once.tolist()]
+    keys, docs = np.concatenate(keys), np.concatenate(docs)
+    _, first, same = np.unique(np.concatenate(digests), return_index=True, return_inverse=True)
+    least, most = np.full(len(first), _NO_ID, np.int64), np.full(len(first), -(1 << 63), np.int64)
+    np.minimum.at(least, same, docs)
+    np.maximum.at(most, same, docs)
+    keys = keys[first]
     where = np.concatenate([_bucket(keys, buckets), np.full(len(hot), g % buckets)]).astype(np.int32)
-    none = [None] * len(hot)
-    columns = [where, np.full(len(where), g, np.int32), np.concatenate([keys, hot]), [x[1] for x in told] + none, [x[2] for x in told] + none, [*seen, *none]]
-    return pa.table(columns, schema=_B).take(np.lexsort((columns[2], where)))
+    hashes, none = np.concatenate([keys, hot]), len(hot)
+    order = np.lexsort((hashes, where))
+    told = pa.array([*(contents[i] for i in first.tolist()), *[None] * none], pa.binary()), pa.array(least, pa.int64()), pa.array(most != least, pa.bool_())
+    doc, several = (pa.concat_arrays([x, pa.nulls(none, x.type)]) for x in told[1:])
+    return pa.table([where, np.full(len(where), g, np.int32), hashes, doc, several, told[0]], schema=_B).take(pa.array(order))
 
 
 def smallest_owners(bucket: pa.Table, threshold: int) -> pa.Table:
@@ -231,81 +310,84 @@ def smallest_owners(bucket: pa.Table, threshold: int) -> pa.Table:
     key_of[codes] = keys
     _, which, times = np.unique(key_of, return_inverse=True, return_counts=True)
     crowd = np.flatnonzero(times[which] > 1)
-    crowd = crowd[np.argsort(which[crowd], kind="stable")].tolist()
-    mixed = _sorted_owners([contents[i] for i in crowd], {contents[i]: int(least[i]) for i in crowd}, threshold)
+    crowd = crowd[np.argsort(which[crowd], kind="stable")]
+    stretch_of, stretch_windows, stretch_doc, n_stretches = _sorted_owners([contents[i] for i in crowd.tolist()], which[crowd], least[crowd], threshold)
     digests = np.fromiter(map(xxhash.xxh64_intdigest, contents), np.uint64, len(contents))
     windows = np.fromiter(map(len, contents), np.int64, len(contents)) - (threshold - 1)
-    is_mixed = np.zeros(len(contents), bool)
-    is_mixed[crowd] = True
+    place = np.full(len(contents), -1)
+    place[crowd] = np.arange(len(crowd))
     # Rows whose run is one stretch, then those of the rest, for which each stretch counts.
-    row = np.flatnonzero(~is_mixed[codes] & (several.astype(bool) | (least[codes] < docs)))
+    is_mixed, twice = place[codes] >= 0, several.astype(bool)
+    row = np.flatnonzero(~is_mixed & (twice | (least[codes] < docs)))
     code = codes[row]
     parts = [pa.table([g[row], keys[row], digests[code], np.zeros(len(row), np.int32), windows[code].astype(np.int32), least[code]], schema=_M), hot]
-    out: list[list] = [[] for _ in _M]
-    rest = np.flatnonzero(is_mixed[codes])
-    for at_g, key, doc, twice, code in zip(*(x[rest].tolist() for x in (g, keys, docs, several, codes)), strict=True):
-        stretches = mixed[contents[code]]
-        if not twice and all(d >= doc for _, d in stretches):
-            continue
-        for at, (n, smallest) in enumerate(stretches):
-            for column, value in zip(out, (at_g, key, int(digests[code]), at, n, smallest), strict=True):
-                column.append(value)
-    return pa.concat_tables([*parts, pa.table(out, schema=_M)])
-
-
-def _sorted_owners(contents: list[bytes], owner: dict[bytes, int], threshold: int) -> dict[bytes, list[tuple[int, int]]]:
-    """Stretches (windows, smallest doc_id) of runs that may share only some of their windows."""
+    if len(crowd):
+        smallest = np.minimum.reduceat(stretch_doc, stretch_of)
+        row = np.flatnonzero(is_mixed)
+        row = row[twice[row] | (smallest[place[codes[row]]] < docs[row])]
+        at = place[codes[row]]
+        n = n_stretches[at]
+        stretch, row = _expand(stretch_of[at], n), np.repeat(row, n)
+        parts.append(pa.table([g[row], keys[row], digests[codes[row]], _expand(np.zeros(len(n), np.int64), n).astype(np.int32), stretch_windows[stretch].astype(np.int32), stretch_doc[stretch]], schema=_M))
+    return pa.concat_tables(parts)
+
+
+def _sorted_owners(contents: list[bytes], hashes: np.ndarray, owner: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs, by their hashes in order, that may share only some of their windows: of each its first stretch, then the windows and smallest doc_id
+    of all stretches, and how many a run has."""
+    none = np.zeros(0, np.int64)
     if not contents:
-        return {}
+        return none, none, none, none
     data = np.frombuffer(b"".join(contents), np.uint8)
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     windows = sizes - threshold + 1
     begins = np.cumsum(sizes) - sizes
     first = np.cumsum(windows) - windows
-    starts = np.repeat(begins - first, windows) + np.arange(windows.sum())
-    least = np.repeat(np.fromiter((owner[c] for c in contents), np.int64, len(contents)), windows)
-    for group in radix_groups(data, starts, threshold):
-        least[group] = least[group].min()
-    out = {}
-    for content, a, n in zip(contents, first.tolist(), windows.tolist(), strict=True):
-        own = least[a : a + n]
-        cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
-        edges = [0, *cuts.tolist(), n]
-        out[content] = [(y - x, int(own[x])) for x, y in zip(edges, edges[1:], strict=False)]
-    return out
+    starts = _expand(begins, windows)
+    least = np.repeat(owner, windows)
+    members, heads = _radix_members(data, starts, threshold, np.repeat(hashes, windows))
+    if len(members):
+        least[members] = np.repeat(np.minimum.reduceat(least[members], heads), np.diff(heads, append=len(members)))
+    cut = np.concatenate([[True], least[1:] != least[:-1]])
+    cut[first] = True
+    edges = np.flatnonzero(cut)
+    stretch_of = np.searchsorted(edges, first)
+    return stretch_of, np.diff(edges, append=len(least)), least[edges], np.diff(stretch_of, append=len(edges))
 
 
 def remove_repeats(batch: pa.Table, owners: pa.Table, threshold: int) -> pa.Table:
     """C: what is left of each document of a batch."""
-    owners = owners.sort_by([("content", "ascending"), ("at", "ascending")])
     runs_ = owners.filter(owners.column("content").is_valid())
     hot = np.unique(_numbers(owners.filter(owners.column("content").is_null()), "hash"))
-    repeated = np.unique(_numbers(owners, "hash"))
-    spans_of: dict[int, list[tuple[int, int]]] = {}
-    for digest, windows, least in zip(*(runs_.column(name).to_pylist() for name in ("content", "windows", "doc")), strict=True):
-        spans_of.setdefault(digest, []).append((windows, least))
-    out: list[list] = [[] for _ in _RESULT]
-    for doc, data in _documents(batch):
-        covered = np.zeros(len(data) + 1, dtype=np.int32)
-        marked = False
-        if spans_of:
-            for _, at, content in _candidates(data, repeated, hot, threshold):
-                for n, least in spans_of.get(xxhash.xxh64_intdigest(content), ()):
-                    if least < doc:
-                        covered[at] += 1
-                        covered[at + n - 1 + threshold] -= 1
-                        marked = True
-                    at += n
-        kept, removed, spans = data, 0, 0
-        if marked:
-            gone = np.cumsum(covered[:-1]) > 0
-            removed = int(gone.sum())
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        row = (None if doc == _NO_ID else doc, len(data), removed, spans, hashlib.sha256(kept).hexdigest())
-        for column, value in zip(out, row, strict=True):
-            column.append(value)
-    return pa.table(out, schema=_RESULT)
+    repeated = _Known(np.unique(_numbers(owners, "hash")))
+    digest, at, windows, least = (_numbers(runs_, name) for name in ("content", "at", "windows", "doc"))
+    order = np.lexsort((at, digest))
+    windows, least = windows[order].astype(np.int64), least[order]
+    known, first_stretch, n_stretches = np.unique(digest[order], return_index=True, return_counts=True)
+    before = np.cumsum(windows) - windows
+    parts = []
+    for ids, ends, data in _texts(batch):
+        size, sizes = len(data), np.diff(ends, prepend=0)
+        begins = ends - sizes
+        gone = np.zeros(size, bool)
+        if len(known):
+            _, first, text, _, digest = _candidates(data, ends, repeated, hot, threshold)
+            at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+            told = np.flatnonzero(known[at] == digest)
+            at = at[told]
+            stretch, run = _expand(first_stretch[at], n_stretches[at]), np.repeat(told, n_stretches[at])
+            start = first[run] + before[stretch] - np.repeat(before[first_stretch[at]], n_stretches[at])
+            taken = least[stretch] < ids[text[run]]
+            start, stop = start[taken], start[taken] + windows[stretch[taken]] - 1 + threshold
+            gone = np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(stop, minlength=size + 1))[:size] > 0
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        opens[begins[sizes > 0]] = gone[begins[sizes > 0]]
+        removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0) for x in (gone, opens))
+        left = np.frombuffer(data, np.uint8)
+        kept = (data[a:b] if not n else left[a:b][~gone[a:b]].tobytes() for a, b, n in zip(begins.tolist(), ends.tolist(), removed.tolist(), strict=True))
+        parts.append(pa.table([pa.array(ids, mask=ids == _NO_ID), sizes, removed, spans, [hashlib.sha256(x).hexdigest() for x in kept]], schema=_RESULT))
+    return pa.concat_tables([_RESULT.empty_table(), *parts])
 
 
 def repeated_windows(documents: DataFrame, threshold: int = THRESHOLD, batch_bytes: int = BATCH_BYTES, hot_docs: int = HOT_DOCS, fan: int = FAN) -> DataFrame:
